@@ -62,3 +62,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder (never a local checkpoint)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder for intermediate tables, inside the shared checkpoint folder
+    (never a machine-local temporary folder on a cluster)."""
+    import uuid
+
+    base = checkpoint_dir(spark).rstrip("/")
+    return f"{base}/huntlake-tables/{name}-{uuid.uuid4().hex[:12]}"
