@@ -1 +1,275 @@
-"""Queries (filled in as operators land)."""
+"""Queries: models (M1-M15) and sampling.
+
+Training queries use few boosting rounds (the library default is 100) so the
+verification stays quick; they read the whole tables.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from huntlake import schemas as S
+from huntlake.functions import logs as L
+from huntlake.functions.cols import c
+from huntlake.models import classifier as M
+from huntlake.models.encoder import LinearAutoencoder, encoded_columns, reconstruction_error_column
+from huntlake.models.iforest import IsolationForest
+from huntlake.models.preprocess import preprocess_pipeline
+from huntlake.operators import metrics as V, sample as X
+from huntlake.operators.scale import Scaler
+from huntlake.plans.catalog import query, r6
+from huntlake.plans.oracle import register, with_flows
+from huntlake.sources.tables import flows_view, logs_view
+
+FEATS = S.EXPECTED_FEATURES
+QUICK_GBT = {"maxIter": 5}
+
+
+def _flows_model_input(spark, sf_dir):
+    """The 17 features with missing values imputed (I2), as the detector feeds its models."""
+    from huntlake.operators.impute import impute_median
+    df = flows_view(spark, sf_dir).select("flow_id", *[c(n) for n in FEATS], "Stage", "is_apt")
+    return impute_median(df, FEATS)
+
+
+# --- M1 ------------------------------------------------------------------------------
+
+@query("m1_isolation_forest")
+def m1(spark, sf_dir):
+    logs = logs_view(spark, sf_dir).select("log_id", "event", *L.text_features("event"))
+    cols = ["event_length", "marker_count", "underscore_count"]
+    model = IsolationForest(cols, key="log_id").fit(logs)
+    out = model.transform(logs)
+    return out.select("log_id", "event", "anomaly_score", "is_anomaly",
+                      L.anomaly_to_label("is_anomaly").alias("classification"))
+
+
+# --- M2-M7 ---------------------------------------------------------------------------
+
+def _scaled_flows(spark, sf_dir):
+    df = _flows_model_input(spark, sf_dir)
+    return Scaler(FEATS, method="robust").fit(df).transform(df)
+
+
+@query("m2_m4_encoder")
+def m2(spark, sf_dir):
+    df = _scaled_flows(spark, sf_dir)
+    model = LinearAutoencoder(FEATS).fit(df)
+    k = len(model.get_state()["components"])
+    out = model.transform(df)
+    return out.select("flow_id", "reconstruction_error", "is_anomaly", *[f"encoded_{i}" for i in range(k)])
+
+
+# Fixed literal encoder (2 components x 3 features) shared by the Spark query and its SQL.
+FIXED_ENCODER = {
+    "cols": ["Packet Length Mean", "Packet Length Std", "Flow Packets/s"],
+    "mean": [400.0, 110.0, 25.0],
+    "components": [[0.6, 0.8, 0.0], [0.0, 0.0, 1.0]],
+}
+
+
+def _lit(v: float) -> str:
+    t = repr(float(v))
+    return t if ("e" in t or "inf" in t or "nan" in t) else t + "e0"
+
+
+def _fixed_error_sql() -> str:
+    st = FIXED_ENCODER
+    w = np.array(st["components"]).T
+    a = w @ w.T - np.eye(len(st["cols"]))
+    total = "0.0e0"
+    for i in range(len(st["cols"])):
+        r = "0.0e0"
+        for j, name in enumerate(st["cols"]):
+            if a[i, j] != 0.0:
+                r = f"({r} + {_lit(a[i, j])} * (coalesce(\"{name}\", 0.0e0) - {_lit(st['mean'][j])}))"
+        total = f"({total} + {r} * {r})"
+    return f"({total} / {_lit(len(st['cols']))})"
+
+
+def _fixed_encoded_sql() -> list[str]:
+    st = FIXED_ENCODER
+    out = []
+    for i, comp in enumerate(st["components"]):
+        e = "0.0e0"
+        for j, name in enumerate(st["cols"]):
+            if comp[j] != 0.0:
+                e = f"({e} + {_lit(comp[j])} * (coalesce(\"{name}\", 0.0e0) - {_lit(st['mean'][j])}))"
+        out.append(f"{e} AS encoded_{i}")
+    return out
+
+
+@query("m3_reconstruction_error")
+def m3(spark, sf_dir):
+    df = flows_view(spark, sf_dir)
+    return df.select("flow_id", r6(reconstruction_error_column(FIXED_ENCODER)).alias("reconstruction_error"),
+                     *[r6(col).alias(f"encoded_{i}") for i, col in enumerate(encoded_columns(FIXED_ENCODER))])
+
+
+register("m3_reconstruction_error", with_flows(
+    f"SELECT flow_id, round({_fixed_error_sql()}, 6) AS reconstruction_error, "
+    + ", ".join(f"round({e.rsplit(' AS ', 1)[0]}, 6) AS {e.rsplit(' AS ', 1)[1]}" for e in _fixed_encoded_sql())
+    + " FROM flows"))
+
+
+@query("m5_m6_anomaly_threshold")
+def m5(spark, sf_dir):
+    df = flows_view(spark, sf_dir).select("flow_id", reconstruction_error_column(FIXED_ENCODER))
+    thr = V.anomaly_threshold(df, "reconstruction_error", 0.95)
+    return df.select("flow_id", F.lit(thr).alias("threshold"),
+                     (F.col("reconstruction_error") > F.lit(thr)).alias("is_anomaly")) \
+        .withColumn("threshold", r6(F.col("threshold")))
+
+
+register("m5_m6_anomaly_threshold", with_flows(f"""
+SELECT flow_id, round(t, 6) AS threshold, e > t AS is_anomaly
+FROM (SELECT flow_id, {_fixed_error_sql()} AS e FROM flows) x,
+     (SELECT quantile_cont({_fixed_error_sql()}, 0.95) AS t FROM flows) q"""))
+
+
+@query("m7_stack_features")
+def m7(spark, sf_dir):
+    from huntlake.models.encoder import stack_features
+    df = _scaled_flows(spark, sf_dir)
+    model = LinearAutoencoder(FEATS, k=4).fit(df)
+    out = stack_features(model.transform(df), FEATS, k=4)
+    return out.select("flow_id", vector_to_array("features").alias("features"))
+
+
+# --- M8-M14 --------------------------------------------------------------------------
+
+def _assembled(spark, sf_dir):
+    df = _flows_model_input(spark, sf_dir)
+    va = VectorAssembler(inputCols=FEATS, outputCol="features", handleInvalid="keep")
+    return va.transform(df).withColumn("label", F.col("is_apt").cast("double"))
+
+
+def _quick_gbt(spark, sf_dir):
+    data = _assembled(spark, sf_dir)
+    train, _ = X.hash_split(data, "flow_id", 0.8, 42)
+    model = M.boosted_classifier("features", "label", **QUICK_GBT).fit(train)
+    return model, data
+
+
+@query("m8_m9_score")
+def m9(spark, sf_dir):
+    model, data = _quick_gbt(spark, sf_dir)
+    return M.score(model, data).select("flow_id", "is_apt", "apt_probability", "apt_prediction")
+
+
+@query("m9_score")
+def m9b(spark, sf_dir):
+    """Scoring only (the bench measures inference): a model fitted on the smallest
+    fixture scores the whole table."""
+    model, _ = _quick_gbt(spark, "/root/testdata/sf0.001")
+    return M.score(model, _assembled(spark, sf_dir)).select("flow_id", "apt_probability", "apt_prediction")
+
+
+@query("m10_stage_classifier")
+def m10(spark, sf_dir):
+    flows = _flows_model_input(spark, sf_dir)
+    model = M.stage_classifier(num_trees=10, max_depth=5).fit(flows)
+    logs = logs_view(spark, sf_dir).select("log_id", "event", *L.keyword_features("event"))
+    return M.predict_stage(model, logs).select("log_id", "event", "predicted_stage")
+
+
+@query("m11_feature_importance")
+def m11(spark, sf_dir):
+    model, _ = _quick_gbt(spark, sf_dir)
+    return M.feature_importance(model, FEATS, top_n=20)
+
+
+@query("m12_explain_rows")
+def m12(spark, sf_dir):
+    model, data = _quick_gbt(spark, sf_dir)
+    flagged = M.score(model, data).where(F.col("apt_prediction") == 1)
+    return M.explain_rows(model, flagged, "flow_id", FEATS, top_k=5)
+
+
+@query("m13_tune")
+def m13(spark, sf_dir):
+    data = _assembled(spark, sf_dir)
+    _, results = M.tune(data, n_trials=2, base={"maxIter": 3}, parallelism=2)
+    return spark.createDataFrame(results, "params string, validation_auc double")
+
+
+@query("m14_train_detector")
+def m14(spark, sf_dir):
+    df = _flows_model_input(spark, sf_dir)
+    _, _, metrics = M.train_detector(df, target="is_apt", key="flow_id", maxIter=5)
+    return metrics
+
+
+# --- M15 -----------------------------------------------------------------------------
+
+@query("m15_preprocess_flows")
+def m15(spark, sf_dir):
+    df = flows_view(spark, sf_dir).select("flow_id", "flow_start", *[c(n) for n in FEATS], "Stage", "is_apt")
+    model = preprocess_pipeline(target="is_apt", exclude=("flow_id",)).fit(df)
+    out = model.transform(df)
+    return out.select("flow_id", r6(c("Flow Bytes/s")).alias("Flow Bytes/s"), "potential_data_exfil",
+                      "Stage_lateral", "Stage_normal", r6(c("is_exfiltration")).alias("is_exfiltration"))
+
+
+register("m15_preprocess_flows", with_flows("""
+SELECT flow_id, round((fb - m) / coalesce(nullif(iqr, 0), 1), 6) AS "Flow Bytes/s",
+  coalesce(fb > p95, false) AS potential_data_exfil,
+  coalesce("Stage" = 'lateral', false) AS "Stage_lateral", coalesce("Stage" = 'normal', false) AS "Stage_normal",
+  round((ex - em) / coalesce(nullif(eiqr, 0), 1), 6) AS is_exfiltration
+FROM imp, st""", """imp AS (SELECT flow_id, coalesce("Flow Bytes/s", (SELECT quantile_cont("Flow Bytes/s", 0.5) FROM flows)) AS fb,
+  "Stage", CAST(coalesce(contains(lower("Stage"), 'exfiltration'), false) AS INTEGER) AS ex FROM flows)""",
+    """st AS (SELECT quantile_cont(fb, 0.5) AS m, quantile_cont(fb, 0.75) - quantile_cont(fb, 0.25) AS iqr,
+  quantile_cont(fb, 0.95) AS p95, quantile_cont(ex, 0.5) AS em, quantile_cont(ex, 0.75) - quantile_cont(ex, 0.25) AS eiqr
+  FROM imp)"""))
+
+
+# --- X1-X4 ---------------------------------------------------------------------------
+
+@query("x1_stratified_split")
+def x1(spark, sf_dir):
+    df = flows_view(spark, sf_dir).select("flow_id", "is_apt")
+    train, test = X.stratified_split(df, "flow_id", "is_apt", 0.8, 42)
+    return train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test"))) \
+        .groupBy("split", "is_apt").agg(F.count(F.lit(1)).alias("count"))
+
+
+register("x1_stratified_split", with_flows("""
+SELECT 'train' AS split, is_apt, CAST(round(0.8 * count(*)) AS BIGINT) AS count FROM flows GROUP BY is_apt
+UNION ALL SELECT 'test', is_apt, count(*) - CAST(round(0.8 * count(*)) AS BIGINT) FROM flows GROUP BY is_apt"""))
+
+
+@query("x2_hash_split")
+def x2(spark, sf_dir):
+    df = flows_view(spark, sf_dir).select("flow_id", "is_apt")
+    train, test = X.hash_split(df, "flow_id", 0.8, 42)
+    return train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
+
+
+@query("x3_smote")
+def x3(spark, sf_dir):
+    df = _flows_model_input(spark, sf_dir)
+    return X.smote(df, "flow_id", "is_apt", FEATS, minority=1, ratio=0.7, k=5)
+
+
+@query("x3_class_weights")
+def x3w(spark, sf_dir):
+    df = flows_view(spark, sf_dir).select("flow_id", "is_apt")
+    w = X.class_weights(df, "is_apt")
+    return w.groupBy("is_apt").agg(F.first("weight").alias("weight"), F.count(F.lit(1)).alias("count")) \
+        .withColumn("weight", r6(F.col("weight")))
+
+
+register("x3_class_weights", with_flows("""
+SELECT is_apt, round((SELECT count(*) FROM flows) / (2.0 * count(*)), 6) AS weight, count(*) AS count
+FROM flows GROUP BY is_apt"""))
+
+
+@query("x4_class_distribution")
+def x4(spark, sf_dir):
+    return X.class_distribution(flows_view(spark, sf_dir), "Stage")
+
+
+register("x4_class_distribution", with_flows('SELECT "Stage" AS label, count(*) AS count FROM flows GROUP BY "Stage"'))
