@@ -1 +1,160 @@
-"""Queries (filled in as operators land)."""
+"""Queries: Structured Streaming (W7-W10, W1-W4 on a stream). Each query lands
+data derived from the driver tables as files in the shared scratch area, runs the
+streaming query with ``availableNow`` and returns what it wrote, read back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from huntlake.functions.cols import c
+from huntlake.functions.time import LOG_TIME_FORMAT, iso_timestamp
+from huntlake.plans.catalog import query, r6
+from huntlake.plans.oracle import iso_sql, register, with_flows, with_logs
+from huntlake.session import scratch_path
+from huntlake.sources.tables import flows_view, logs_view
+from huntlake.streaming import delta as SD, ingest as SI, monitor as SM, windows as SW
+
+TS = '"timestamp"'
+
+
+def _log_csv_files(spark, sf_dir):
+    """The log view as header-less CSV files, one file set per day."""
+    path = scratch_path(spark, "log-stream-csv")
+    logs = logs_view(spark, sf_dir)
+    logs.select(F.date_format("timestamp", LOG_TIME_FORMAT).alias("t"), "source", "destination", "event",
+                F.to_date("timestamp").alias("day")) \
+        .repartition("day").drop("day").write.option("header", False).csv(path)
+    return path
+
+
+def _log_parquet_files(spark, sf_dir):
+    path = scratch_path(spark, "log-stream-parquet")
+    logs_view(spark, sf_dir).repartition(8, F.to_date("timestamp")).write.parquet(path)
+    return path
+
+
+def _log_stream(spark, path, watermark="10 minutes"):
+    schema = logs_view(spark, "/root/testdata/sf0.001").schema
+    return spark.readStream.schema(schema).parquet(path).withWatermark("timestamp", watermark)
+
+
+@query("w7_stream_log_ingest")
+def w7(spark, sf_dir):
+    src = _log_csv_files(spark, sf_dir)
+    index_path, attack_path = scratch_path(spark, "w7-index"), scratch_path(spark, "w7-attacks")
+    q = SI.start_log_ingest(spark, src, index_path, attack_path, scratch_path(spark, "w7-ckpt"))
+    q.awaitTermination()
+    return spark.read.parquet(index_path).select(iso_timestamp("timestamp").alias("timestamp"), "source",
+                                                 "destination", "event", "classification")
+
+
+register("w7_stream_log_ingest", with_logs(f"""
+SELECT {iso_sql("date_trunc('second', " + TS + ")")} AS "timestamp", source, destination, event,
+  CASE WHEN contains(event, 'APT_attack') THEN 'attaque' ELSE 'normal' END AS classification FROM logs"""))
+
+
+def _w8(seconds):
+    def fn(spark, sf_dir):
+        src = _log_parquet_files(spark, sf_dir)
+        out = scratch_path(spark, "w8-out")
+        q = SW.start_flow_windows(spark, _log_stream(spark, src), out, scratch_path(spark, "w8-ckpt"),
+                                  window=f"{seconds} seconds")
+        q.awaitTermination()
+        res = SW.latest_windows(spark, out)
+        return res.select("flow_id", "window_start", "packets", "flow_duration", "flow_packets_per_sec",
+                          r6(F.col("flow_mean_time_delta")).alias("flow_mean_time_delta"), "flow_direction_ratio")
+    return fn
+
+
+def _w8_sql(seconds):
+    return with_logs(f"""
+SELECT flow_id, CAST(b * {seconds} AS BIGINT) AS window_start, count(*) AS packets,
+  CASE WHEN count(*) > 1 THEN max(t) - min(t) END AS flow_duration,
+  CASE WHEN count(*) > 1 THEN CASE WHEN max(t) - min(t) > 0 THEN count(*) / (max(t) - min(t)) ELSE 0 END END AS flow_packets_per_sec,
+  round(CASE WHEN count(*) > 1 THEN (max(t) - min(t)) / (count(*) - 1) END, 6) AS flow_mean_time_delta,
+  CASE WHEN count(*) > 1 THEN CASE WHEN count_if(p = 'TCP') + count_if(p = 'UDP') > 0
+    THEN count_if(p = 'TCP') / (count_if(p = 'TCP') + count_if(p = 'UDP')) ELSE 0.5 END END AS flow_direction_ratio
+FROM (SELECT coalesce(source, 'nan') || '_' || coalesce(destination, 'nan') AS flow_id, epoch_us({TS}) / 1e6 AS t,
+        upper(coalesce(protocol, 'nan')) AS p, CAST(floor(epoch_us({TS}) / 1e6 / {seconds}) AS BIGINT) AS b FROM logs) x
+GROUP BY flow_id, b""")
+
+
+query("w8_stream_flow_windows_60s")(_w8(60))
+register("w8_stream_flow_windows_60s", _w8_sql(60))
+query("w8_stream_flow_windows_1d")(_w8(86400))
+register("w8_stream_flow_windows_1d", _w8_sql(86400))
+
+
+@query("w9_stream_flow_delta")
+def w9(spark, sf_dir):
+    src = _log_parquet_files(spark, sf_dir)
+    out = scratch_path(spark, "w9-out")
+    stream = SD.stream_flow_delta(_log_stream(spark, src), "source", "destination", key_col="log_id")
+    q = (stream.writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", scratch_path(spark, "w9-ckpt")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(out).select(F.col("row_key").alias("log_id"), "flow_id", "time_delta")
+
+
+register("w9_stream_flow_delta", with_logs(f"""
+SELECT log_id, flow_id, t - lag(t) OVER (PARTITION BY flow_id ORDER BY t, log_id) AS time_delta
+FROM (SELECT log_id, coalesce(source, 'nan') || '_' || coalesce(destination, 'nan') AS flow_id,
+        epoch_us({TS}) / 1e6 AS t FROM logs) x"""))
+
+
+def _flow_batches(spark, sf_dir):
+    """Flows as parquet files, one folder per monitoring batch (flow_id % 20)."""
+    from huntlake.plans.q_metrics import scored
+    path = scratch_path(spark, "flow-batches")
+    scored(spark, sf_dir).write.partitionBy("batch").parquet(path)
+    return path
+
+
+@query("w10_stream_score")
+def w10(spark, sf_dir):
+    from huntlake.models import classifier as M
+    from huntlake.plans.q_ml import _assembled, _flows_model_input  # noqa: F401
+    from pyspark.ml.feature import VectorAssembler
+    from huntlake import schemas as S
+    from huntlake.operators.impute import MissingValueImputer
+
+    flows = flows_view(spark, sf_dir).select("flow_id", *[c(n) for n in S.EXPECTED_FEATURES], "is_apt")
+    imputer = MissingValueImputer(S.EXPECTED_FEATURES, numeric_strategy="median").fit(flows)
+    va = VectorAssembler(inputCols=S.EXPECTED_FEATURES, outputCol="features", handleInvalid="keep")
+    train = va.transform(imputer.transform(flows)).withColumn("label", F.col("is_apt").cast("double"))
+    gbt = M.boosted_classifier("features", "label", maxIter=5).fit(train)
+    from pyspark.ml import PipelineModel
+    model = PipelineModel(stages=[imputer, va, gbt])
+    src = scratch_path(spark, "w10-in")
+    flows.write.parquet(src)
+    stream = spark.readStream.schema(flows.schema).option("maxFilesPerTrigger", 2).parquet(src)
+    out = scratch_path(spark, "w10-out")
+    q = (SM.score_stream(model, stream).select("flow_id", "is_apt", "apt_probability", "apt_prediction")
+         .writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", scratch_path(spark, "w10-ckpt")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(out)
+
+
+@query("w1_w4_stream_monitor")
+def w1s(spark, sf_dir):
+    src = _flow_batches(spark, sf_dir)
+    schema = spark.read.parquet(src).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(src)
+    base = scratch_path(spark, "w-monitor")
+    calls = []
+
+    def retrain(rows):
+        # W3/W4 hook: a real deployment refits the detector here; the F1 of the
+        # buffered rows under the current model is recorded as the new baseline
+        from huntlake.operators.metrics import binary_metrics_wide
+        calls.append(1)
+        return float(binary_metrics_wide(rows, "is_apt", "apt_prediction").first()["f1"])
+
+    mon = SM.StreamMonitor(spark, base, threshold=0.02, buffer_rows=1000, mode="buffer", retrain=retrain)
+    q = SM.start_monitor(stream, mon, scratch_path(spark, "w-monitor-ckpt"))
+    q.awaitTermination()
+    hist = mon.history()
+    if hist is None:
+        return spark.createDataFrame([], "batch long, samples long, f1 double, degraded boolean, retrained boolean")
+    return hist.select("batch", "samples", "f1", "degraded", "retrained")
