@@ -24,7 +24,11 @@ def query(name: str):
 
 
 def r6(col):
-    return F.round(col.cast("double"), 6)
+    """Round half away from zero at 6 decimals in binary arithmetic (the oracle's
+    ``round(x, 6)``); cheap codegen math instead of per-value BigDecimal."""
+    x = col.cast("double")
+    scaled = F.signum(x) * F.floor(F.abs(x) * 1e6 + 0.5).cast("double") / 1e6
+    return F.when(F.abs(x) < 1e12, scaled).otherwise(x)
 
 
 def load_all() -> None:
