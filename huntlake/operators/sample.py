@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from huntlake.functions.cols import c
-from huntlake.operators.prefix import running_sums
+from huntlake.operators.prefix import row_numbers, running_sums
 
 BUCKETS = 1_000_000
 
@@ -98,10 +98,14 @@ def smote(df: DataFrame, key: str, label: str, features: list[str], minority=1,
     per_row, extra = divmod(need, n_min)
     mins = df.where(c(label) == F.lit(minority)).select(
         *[F.coalesce(c(f).cast("double"), F.lit(0.0)).alias(f) for f in features],
-        proj.alias("__proj"), hash_bucket(key, seed).alias("__h"))
-    # rows whose hash rank is below `extra` make one more sample: use the hash as a cheap rank proxy
-    extra_cut = int(extra / n_min * BUCKETS)
-    mins = mins.withColumn("__m", F.lit(per_row) + F.when(F.col("__h") < extra_cut, 1).otherwise(0))
+        proj.alias("__proj"), hash_bucket(key, seed).alias("__h"), c(key).alias("__key"))
+    # the first `extra` rows in hash order make one more sample (distributed row numbers)
+    if extra:
+        mins = row_numbers(mins, ["__h", "__key"], out="__rn")
+        mins = mins.withColumn("__m", F.lit(per_row) + F.when(F.col("__rn") <= extra, 1).otherwise(0)).drop("__rn")
+    else:
+        mins = mins.withColumn("__m", F.lit(per_row))
+    mins = mins.drop("__key")
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = mins.repartitionByRange(n, "__proj", "__h").sortWithinPartitions("__proj", "__h")
     lab_value = minority
