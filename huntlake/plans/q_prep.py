@@ -282,3 +282,12 @@ def l5(spark, sf_dir):
 register("l5_label_variance_p95", with_flows("""
 SELECT flow_id, CASE WHEN "Packet Length Variance" > (SELECT quantile_cont("Packet Length Variance", 0.95) FROM flows)
   THEN 1 ELSE 0 END AS label FROM flows"""))
+
+
+@query("i3_impute_knn")
+def i3(spark, sf_dir):
+    """I3 on the whole flow table (every row is a donor); checked against a NumPy
+    brute force in tests/test_operators.py (the SQL form is a full cross product)."""
+    from huntlake.operators.knn import impute_knn
+    out = impute_knn(_flows17(spark, sf_dir), FEATS, "flow_id", k=5)
+    return out.select("flow_id", r6(c("Flow Bytes/s")).alias("Flow Bytes/s"))

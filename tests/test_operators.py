@@ -214,3 +214,30 @@ def test_empty_input(spark):
     assert V.confusion_matrix(df, "y", "p").count() == 4
     assert V.binary_metrics(df, "y", "p").where("value <> 0").count() == 0
     assert H is not None and c("x") is not None
+
+
+def test_knn_imputation_matches_brute_force(spark):
+    import numpy as np
+    from huntlake.operators.knn import impute_knn
+    from huntlake.sources.tables import flows_view
+    feats = S.EXPECTED_FEATURES[:6]
+    df = flows_view(spark, "/root/testdata/sf0.001").select("flow_id", *[c(n) for n in feats])
+    # one row per key (the smallest fixture repeats one flow_id)
+    df = df.dropDuplicates(["flow_id"])
+    pdf = df.toPandas().sort_values("flow_id").reset_index(drop=True)
+    out = impute_knn(df, feats, "flow_id", k=5, chunk_rows=50).toPandas().set_index("flow_id")
+    x = pdf[feats].to_numpy(dtype=float)
+    keys = pdf["flow_id"].to_numpy()
+    j = feats.index("Flow Bytes/s")
+    checked = 0
+    for r in np.flatnonzero(np.isnan(x[:, j])):
+        present = ~np.isnan(x[r])
+        donors = np.flatnonzero(~np.isnan(x[:, j]))
+        both = present & ~np.isnan(x[donors])
+        sq = np.nansum((x[donors] - x[r]) ** 2 * both, axis=1)
+        dist = np.sqrt(sq * len(feats) / both.sum(axis=1))
+        order = np.lexsort((keys[donors], dist))[:5]
+        want = x[donors[order], j].mean()
+        assert math.isclose(out.loc[keys[r], "Flow Bytes/s"], want, rel_tol=1e-9)
+        checked += 1
+    assert checked > 10
