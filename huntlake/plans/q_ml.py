@@ -273,3 +273,22 @@ def x4(spark, sf_dir):
 
 
 register("x4_class_distribution", with_flows('SELECT "Stage" AS label, count(*) AS count FROM flows GROUP BY "Stage"'))
+
+
+@query("s13_model_store")
+def s13(spark, sf_dir):
+    """The fitted preparation pipeline saved, loaded back and applied (the
+    loaded model must reproduce M15's pinned columns)."""
+    from huntlake.session import scratch_path
+    from huntlake.sources import model_store
+    df = flows_view(spark, sf_dir).select("flow_id", "flow_start", *[c(n) for n in FEATS], "Stage", "is_apt")
+    path = scratch_path(spark, "s13-model")
+    model_store.save_model(preprocess_pipeline(target="is_apt", exclude=("flow_id",)).fit(df), path)
+    out = model_store.load_model(path).transform(df)
+    return out.select("flow_id", r6(c("Flow Bytes/s")).alias("Flow Bytes/s"), "potential_data_exfil",
+                      "Stage_lateral", "Stage_normal", r6(c("is_exfiltration")).alias("is_exfiltration"))
+
+
+from huntlake.plans.oracle import ORACLE as _ORACLE  # noqa: E402
+
+register("s13_model_store", _ORACLE["m15_preprocess_flows"])

@@ -138,6 +138,15 @@ def w10(spark, sf_dir):
 
 @query("w1_w4_stream_monitor")
 def w1s(spark, sf_dir):
+    return _monitor(spark, sf_dir, "buffer")
+
+
+@query("w4_stream_immediate_retrain")
+def w4s(spark, sf_dir):
+    return _monitor(spark, sf_dir, "immediate")
+
+
+def _monitor(spark, sf_dir, mode):
     src = _flow_batches(spark, sf_dir)
     schema = spark.read.parquet(src).schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(src)
@@ -151,7 +160,7 @@ def w1s(spark, sf_dir):
         calls.append(1)
         return float(binary_metrics_wide(rows, "is_apt", "apt_prediction").first()["f1"])
 
-    mon = SM.StreamMonitor(spark, base, threshold=0.02, buffer_rows=1000, mode="buffer", retrain=retrain)
+    mon = SM.StreamMonitor(spark, base, threshold=0.02, buffer_rows=1000, mode=mode, retrain=retrain)
     q = SM.start_monitor(stream, mon, scratch_path(spark, "w-monitor-ckpt"))
     q.awaitTermination()
     hist = mon.history()
