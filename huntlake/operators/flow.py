@@ -3,14 +3,18 @@
 Scale design (one flow may hold a third of all rows):
 
 * Rows are split by (flow, time bucket). ``lag`` runs inside each bucket, so a hot
-  flow spreads over many tasks; this is the only shuffle of the row data.
+  flow spreads over many tasks. The statistics branch shuffles only the key
+  columns (flow, bucket, time, order key) by the same (flow, bucket) key; the
+  row branch carries the input columns once.
 * A small table with one row per (flow, bucket) carries what crosses bucket
   borders: the previous bucket's last time (the first row's predecessor) and the
   partial sums of deltas. Flow statistics are exact sums over that table
   (the mean of consecutive deltas telescopes to duration / (n - 1); the sample
   std comes from the sum and sum of squares of all deltas).
 * Statistics return to the rows through the (flow, bucket) key that the rows are
-  already partitioned by, so the big side is not shuffled again.
+  already partitioned by, so the row side is not shuffled again for the join
+  (the statistics side is one row per flow and bucket: broadcast by AQE when
+  small, otherwise shuffled to match).
 """
 
 from __future__ import annotations
