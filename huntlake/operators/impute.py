@@ -82,16 +82,32 @@ class MissingValueImputer(JsonEstimator):
         return {"numeric": numeric, "categorical": categorical}
 
 
+def columns_with_nulls(df: DataFrame, cols: list[str]) -> list[str]:
+    """Which of ``cols`` hold a NULL or NaN (one cheap counting pass)."""
+    if not cols:
+        return []
+    row = df.agg(*[F.count_if(nan_to_null(c(n)).isNull()).alias(f"n{i}") for i, n in enumerate(cols)]).first()
+    return [n for i, n in enumerate(cols) if row[f"n{i}"] > 0]
+
+
+def _one_shot(df: DataFrame, cols, exclude, strategy: str, exact: bool = True) -> DataFrame:
+    """Fit and transform the same frame: only columns that have gaps need a statistic."""
+    cols = cols or roles.numeric_columns(df, tuple(exclude))
+    todo = columns_with_nulls(df, cols)
+    if not todo:
+        return df
+    return MissingValueImputer(todo, numeric_strategy=strategy, categorical_strategy="none",
+                               exclude=list(exclude), exact=exact).fit(df).transform(df)
+
+
 def impute_mean(df: DataFrame, cols: list[str] | None = None, exclude=()) -> DataFrame:
-    """I1."""
-    return MissingValueImputer(cols, numeric_strategy="mean", categorical_strategy="none",
-                               exclude=list(exclude)).fit(df).transform(df)
+    """I1 (use ``MissingValueImputer`` to fit once and reuse on other frames)."""
+    return _one_shot(df, cols, exclude, "mean")
 
 
 def impute_median(df: DataFrame, cols: list[str] | None = None, exclude=(), exact=True) -> DataFrame:
     """I2 (exact median = linear interpolation at 0.5)."""
-    return MissingValueImputer(cols, numeric_strategy="median", categorical_strategy="none",
-                               exclude=list(exclude), exact=exact).fit(df).transform(df)
+    return _one_shot(df, cols, exclude, "median", exact)
 
 
 def impute_mode(df: DataFrame, cols: list[str] | None = None, exclude=()) -> DataFrame:
