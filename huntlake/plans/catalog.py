@@ -24,11 +24,9 @@ def query(name: str):
 
 
 def r6(col):
-    """Round half away from zero at 6 decimals in binary arithmetic (the oracle's
-    ``round(x, 6)``); cheap codegen math instead of per-value BigDecimal."""
-    x = col.cast("double")
-    scaled = F.signum(x) * F.floor(F.abs(x) * 1e6 + 0.5).cast("double") / 1e6
-    return F.when(F.abs(x) < 1e12, scaled).otherwise(x)
+    """Round half to even at 6 decimals in binary arithmetic, rint(x * 1e6) / 1e6:
+    the oracle's ``round_even(x, 6)``, and cheap codegen math (no BigDecimal)."""
+    return F.rint(col.cast("double") * 1e6) / 1e6
 
 
 def load_all() -> None:

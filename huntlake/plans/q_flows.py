@@ -45,8 +45,8 @@ def _measures_sql(n="n", dur="dur", dmean="dmean", dstd="dstd", tcp="tcp", udp="
     return f"""{one} {n} END AS flow_packets_count,
   {one} {dur} END AS flow_duration,
   {one} CASE WHEN {dur} > 0 THEN {n} / {dur} ELSE 0 END END AS flow_packets_per_sec,
-  round({one} {dmean} END, 6) AS flow_mean_time_delta,
-  round({one} {dstd} END, 6) AS flow_std_time_delta,
+  round_even({one} {dmean} END, 6) AS flow_mean_time_delta,
+  round_even({one} {dstd} END, 6) AS flow_std_time_delta,
   {one} CASE WHEN {tcp} + {udp} > 0 THEN {tcp} / ({tcp} + {udp}) ELSE 0.5 END END AS flow_direction_ratio"""
 
 
@@ -168,7 +168,7 @@ def a_beacon(spark, sf_dir):
 register("a2_a3_flow_beaconing", with_logs("""
 SELECT log_id, coalesce(dur > 600, false) AS is_long_connection, coalesce(dur < 1, false) AS is_scan_connection,
   coalesce(coalesce(dstd / nullif(dmean, 0), 0) < 0.1, false) AS potential_beaconing,
-  round(coalesce(dstd / nullif(dmean, 0), 0), 6) AS flow_time_regularity
+  round_even(coalesce(dstd / nullif(dmean, 0), 0), 6) AS flow_time_regularity
 FROM (SELECT d.log_id, CASE WHEN n > 1 THEN s.dur END AS dur, CASE WHEN n > 1 THEN dmean END AS dmean,
         CASE WHEN n > 1 THEN dstd END AS dstd FROM d JOIN s USING (flow_id)) z""", _L_CTE,
     "d AS (SELECT *, t - lag(t) OVER (PARTITION BY flow_id ORDER BY t, log_id) AS dl FROM l)",

@@ -138,14 +138,12 @@ def s12(spark, sf_dir):
 
 def _s12_sql():
     src = _p2_sql()
-    body, cte = src, None
     cols = []
     for name in S.EXPECTED_FEATURES:
         if name in ("URG Flag Count", "Fwd Segment Size Avg", "Bwd Segment Size Avg"):
             cols.append(f'0.0e0 AS "{name}"')
         else:
             cols.append(f'"{name}"')
-    inner = body.replace("WITH ", "", 1)
     # reuse the P2 statement as a sub-select
     return f"SELECT log_id, {', '.join(cols)} FROM ({src}) p2"
 
@@ -166,7 +164,7 @@ register("t2_t4_time_features", with_logs("""
 SELECT log_id, CAST(hour("timestamp") AS INTEGER) AS timestamp_hour, CAST(day("timestamp") AS INTEGER) AS timestamp_day,
   CAST(month("timestamp") AS INTEGER) AS timestamp_month, CAST(isodow("timestamp") - 1 AS INTEGER) AS timestamp_dayofweek,
   CAST(weekofyear("timestamp") AS INTEGER) AS timestamp_weekofyear,
-  round((epoch_us("timestamp") - epoch_us(TIMESTAMP '2020-01-01 00:00:00')) / 86400e6, 6) AS timestamp_days_since_ref,
+  round_even((epoch_us("timestamp") - epoch_us(TIMESTAMP '2020-01-01 00:00:00')) / 86400e6, 6) AS timestamp_days_since_ref,
   CASE WHEN hour("timestamp") <= 5 THEN 'night' WHEN hour("timestamp") <= 11 THEN 'morning'
        WHEN hour("timestamp") <= 17 THEN 'afternoon' WHEN hour("timestamp") <= 23 THEN 'evening' END
     AS timestamp_time_category

@@ -120,7 +120,7 @@ def v5(spark, sf_dir):
 
 
 register("v5_roc_auc", with_flows(
-    "SELECT round(sum(n * ((tp - p) + p / 2.0)) / nullif(max(pos) * max(neg), 0), 6) AS roc_auc FROM cu",
+    "SELECT round_even(sum(n * ((tp - p) + p / 2.0)) / nullif(max(pos) * max(neg), 0), 6) AS roc_auc FROM cu",
     M_CTE, G_CTE, CUM_CTE))
 
 
@@ -140,7 +140,7 @@ def v6a(spark, sf_dir):
 
 
 register("v6_pr_auc", with_flows("""
-SELECT round(sum((rec - r0) * (prec + p0) / 2), 6) AS pr_auc FROM (
+SELECT round_even(sum((rec - r0) * (prec + p0) / 2), 6) AS pr_auc FROM (
   SELECT tp / pos AS rec, tp / (tp + fp) AS prec,
     coalesce(lag(tp / pos) OVER (ORDER BY s DESC), 0e0) AS r0,
     coalesce(lag(tp / (tp + fp)) OVER (ORDER BY s DESC), 1e0) AS p0 FROM cu) d""", M_CTE, G_CTE, CUM_CTE))
@@ -154,8 +154,8 @@ def v7(spark, sf_dir):
 
 
 register("v7_error_summary", with_flows(" UNION ALL ".join(
-    f"SELECT '{n}' AS score_name, round(avg({x}), 6) AS mean, round(stddev_pop({x}), 6) AS std, min({x}) AS min, "
-    f"max({x}) AS max, round(quantile_cont({x}, 0.95), 6) AS threshold FROM m"
+    f"SELECT '{n}' AS score_name, round_even(avg({x}), 6) AS mean, round_even(stddev_pop({x}), 6) AS std, min({x}) AS min, "
+    f"max({x}) AS max, round_even(quantile_cont({x}, 0.95), 6) AS threshold FROM m"
     for n, x in (("error", "score"), ("probability", "ml_prob"))), M_CTE))
 
 
@@ -236,8 +236,8 @@ def c1(spark, sf_dir):
 
 
 register("c1_compare_metrics", with_flows(f"""
-SELECT detector, metric, round(value, 6) AS value FROM ({_c1_sql()}) x
-UNION ALL SELECT 'ml', 'roc_auc', round(sum(n * ((tp - p) + p / 2.0)) / nullif(max(pos) * max(neg), 0), 6) FROM cm""",
+SELECT detector, metric, round_even(value, 6) AS value FROM ({_c1_sql()}) x
+UNION ALL SELECT 'ml', 'roc_auc', round_even(sum(n * ((tp - p) + p / 2.0)) / nullif(max(pos) * max(neg), 0), 6) FROM cm""",
                                           M_CTE, GM_CTE))
 
 
@@ -250,7 +250,7 @@ def c2(spark, sf_dir):
 
 register("c2_metric_difference", with_flows(f"""
 SELECT metric, max(CASE WHEN detector = 'siem' THEN value END) AS siem, max(CASE WHEN detector = 'ml' THEN value END) AS ml,
-  round(max(CASE WHEN detector = 'ml' THEN value END) - max(CASE WHEN detector = 'siem' THEN value END), 6) AS difference
+  round_even(max(CASE WHEN detector = 'ml' THEN value END) - max(CASE WHEN detector = 'siem' THEN value END), 6) AS difference
 FROM ({_c1_sql()}) x WHERE metric IN ('accuracy', 'precision', 'recall', 'f1') GROUP BY metric""", M_CTE))
 
 
@@ -263,7 +263,7 @@ def c3(spark, sf_dir):
 
 
 register("c3_c4_detection_time_diff", with_flows("""
-SELECT count(*) AS pairs, round(avg(d), 6) AS mean, round(quantile_cont(d, 0.5), 6) AS median, min(d) AS min, max(d) AS max,
+SELECT count(*) AS pairs, round_even(avg(d), 6) AS mean, round_even(quantile_cont(d, 0.5), 6) AS median, min(d) AS min, max(d) AS max,
   count_if(d < 0) AS ml_faster, count_if(d > 0) AS siem_faster
 FROM (SELECT CAST(epoch_us(ml_detection_time) - epoch_us(siem_detection_time) AS DOUBLE) / 1e6 AS d FROM m
       WHERE is_apt = 1 AND siem_detection = 1 AND apt_prediction = 1) t""", M_CTE))
@@ -437,6 +437,6 @@ def w6(spark, sf_dir):
 register("w6_monitor_summary", with_flows("""
 SELECT count(*) AS total_batches, CAST(sum(samples) AS BIGINT) AS total_samples,
   count_if(degraded AND floor(buffered_rows / 5000) > floor((buffered_rows - dr) / 5000)) AS adaptations,
-  round(avg(f1), 6) AS mean_f1, arg_min(f1, batch) AS first_f1, arg_max(f1, batch) AS last_f1,
+  round_even(avg(f1), 6) AS mean_f1, arg_min(f1, batch) AS first_f1, arg_max(f1, batch) AS last_f1,
   arg_max(f1, batch) - arg_min(f1, batch) AS f1_improvement
 FROM tr JOIN fl USING (batch, degraded)""", M_CTE, HIST_CTE, W3_CTE))

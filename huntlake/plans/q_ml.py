@@ -110,8 +110,8 @@ def m3(spark, sf_dir):
 
 
 register("m3_reconstruction_error", with_flows(
-    f"SELECT flow_id, round({_fixed_error_sql()}, 6) AS reconstruction_error, "
-    + ", ".join(f"round({e.rsplit(' AS ', 1)[0]}, 6) AS {e.rsplit(' AS ', 1)[1]}" for e in _fixed_encoded_sql())
+    f"SELECT flow_id, round_even({_fixed_error_sql()}, 6) AS reconstruction_error, "
+    + ", ".join(f"round_even({e.rsplit(' AS ', 1)[0]}, 6) AS {e.rsplit(' AS ', 1)[1]}" for e in _fixed_encoded_sql())
     + " FROM flows"))
 
 
@@ -125,7 +125,7 @@ def m5(spark, sf_dir):
 
 
 register("m5_m6_anomaly_threshold", with_flows(f"""
-SELECT flow_id, round(t, 6) AS threshold, e > t AS is_anomaly
+SELECT flow_id, round_even(t, 6) AS threshold, e > t AS is_anomaly
 FROM (SELECT flow_id, {_fixed_error_sql()} AS e FROM flows) x,
      (SELECT quantile_cont({_fixed_error_sql()}, 0.95) AS t FROM flows) q"""))
 
@@ -234,10 +234,10 @@ def m15(spark, sf_dir):
 
 
 register("m15_preprocess_flows", with_flows("""
-SELECT flow_id, round((fb - m) / coalesce(nullif(iqr, 0), 1), 6) AS "Flow Bytes/s",
+SELECT flow_id, round_even((fb - m) / coalesce(nullif(iqr, 0), 1), 6) AS "Flow Bytes/s",
   coalesce(fb > p95, false) AS potential_data_exfil,
   coalesce("Stage" = 'lateral', false) AS "Stage_lateral", coalesce("Stage" = 'normal', false) AS "Stage_normal",
-  round((ex - em) / coalesce(nullif(eiqr, 0), 1), 6) AS is_exfiltration
+  round_even((ex - em) / coalesce(nullif(eiqr, 0), 1), 6) AS is_exfiltration
 FROM imp, st""", """imp AS (SELECT flow_id, coalesce("Flow Bytes/s", (SELECT quantile_cont("Flow Bytes/s", 0.5) FROM flows)) AS fb,
   "Stage", CAST(coalesce(contains(lower("Stage"), 'exfiltration'), false) AS INTEGER) AS ex FROM flows)""",
     """st AS (SELECT quantile_cont(fb, 0.5) AS m, quantile_cont(fb, 0.75) - quantile_cont(fb, 0.25) AS iqr,
@@ -282,7 +282,7 @@ def x3w(spark, sf_dir):
 
 
 register("x3_class_weights", with_flows("""
-SELECT is_apt, round((SELECT count(*) FROM flows) / (2.0 * count(*)), 6) AS weight, count(*) AS count
+SELECT is_apt, round_even((SELECT count(*) FROM flows) / (2.0 * count(*)), 6) AS weight, count(*) AS count
 FROM flows GROUP BY is_apt"""))
 
 

@@ -39,7 +39,7 @@ def i1(spark, sf_dir):
 
 
 def _fill_sql(agg):
-    cols = ", ".join(f'round(coalesce("{n}", (SELECT {agg.format(x=chr(34) + n + chr(34))} FROM flows)), 6) AS "{n}"'
+    cols = ", ".join(f'round_even(coalesce("{n}", (SELECT {agg.format(x=chr(34) + n + chr(34))} FROM flows)), 6) AS "{n}"'
                      for n in FEATS)
     return with_flows(f"SELECT flow_id, {cols} FROM flows")
 
@@ -192,7 +192,7 @@ def z1(spark, sf_dir):
 def _scale_sql(center, scale, where_fit="", where_apply=""):
     stats = ", ".join(f'{center.format(x=chr(34) + n + chr(34))} AS c{i}, {scale.format(x=chr(34) + n + chr(34))} AS s{i}'
                       for i, n in enumerate(FEATS))
-    cols = ", ".join(f'round(("{n}" - c{i}) / coalesce(nullif(s{i}, 0), 1), 6) AS "{n}"' for i, n in enumerate(FEATS))
+    cols = ", ".join(f'round_even(("{n}" - c{i}) / coalesce(nullif(s{i}, 0), 1), 6) AS "{n}"' for i, n in enumerate(FEATS))
     return with_flows(f"SELECT flow_id, {cols} FROM flows, (SELECT {stats} FROM flows {where_fit}) st {where_apply}")
 
 

@@ -71,7 +71,7 @@ def _w8_sql(seconds):
 SELECT flow_id, CAST(b * {seconds} AS BIGINT) AS window_start, count(*) AS packets,
   CASE WHEN count(*) > 1 THEN max(t) - min(t) END AS flow_duration,
   CASE WHEN count(*) > 1 THEN CASE WHEN max(t) - min(t) > 0 THEN count(*) / (max(t) - min(t)) ELSE 0 END END AS flow_packets_per_sec,
-  round(CASE WHEN count(*) > 1 THEN (max(t) - min(t)) / (count(*) - 1) END, 6) AS flow_mean_time_delta,
+  round_even(CASE WHEN count(*) > 1 THEN (max(t) - min(t)) / (count(*) - 1) END, 6) AS flow_mean_time_delta,
   CASE WHEN count(*) > 1 THEN CASE WHEN count_if(p = 'TCP') + count_if(p = 'UDP') > 0
     THEN count_if(p = 'TCP') / (count_if(p = 'TCP') + count_if(p = 'UDP')) ELSE 0.5 END END AS flow_direction_ratio
 FROM (SELECT coalesce(source, 'nan') || '_' || coalesce(destination, 'nan') AS flow_id, epoch_us({TS}) / 1e6 AS t,
