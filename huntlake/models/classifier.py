@@ -209,8 +209,10 @@ def train_detector(df: DataFrame, target: str = "is_apt", key: str = "flow_id",
     """Split -> fit preparation -> encoder (+threshold) -> stack -> boosted trees
     -> metrics on the held-out split. Returns (PipelineModel, feature names, metrics)."""
     train, test = hash_split(df, key, 1.0 - test_fraction, seed)
+    train = train.persist(StorageLevel.MEMORY_AND_DISK)
     prep, names = fit_preprocess(train, target=target, exclude=(key,) + tuple(exclude))
-    ptrain = prep.transform(train)
+    # the prepared frame feeds the encoder fit (three passes) and the assembler
+    ptrain = prep.transform(train).persist(StorageLevel.MEMORY_AND_DISK)
     enc = LinearAutoencoder(names, k=k).fit(ptrain)
     k_eff = len(enc.get_state()["components"])
     stack_cols = names + ["reconstruction_error"] + [f"encoded_{i}" for i in range(k_eff)]
@@ -223,6 +225,8 @@ def train_detector(df: DataFrame, target: str = "is_apt", key: str = "flow_id",
     assembled = assembled.persist(StorageLevel.MEMORY_AND_DISK)
     gbt = boosted_classifier("features", "label", weight=weight, **gbt_params).fit(assembled)
     assembled.unpersist()
+    ptrain.unpersist()
+    train.unpersist()
     model = PipelineModel(stages=list(prep.stages) + [enc, assembler, gbt])
     scored_test = score(model, test.withColumn("label", c(target).cast("double")), threshold)
     metrics = V.binary_metrics(scored_test, target, "apt_prediction", detector="classifier")
