@@ -38,6 +38,28 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return spark
 
 
+# Settings for a large cluster (reading ~100 TB): many shuffle partitions that AQE
+# coalesces at run time, skew-join splitting, larger scan splits, and a broadcast
+# threshold that only admits small dimension-like sides.
+CLUSTER_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.files.maxPartitionBytes": str(512 * 1024 * 1024),
+    "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+    "spark.sql.session.timeZone": "UTC",
+}
+
+
+def apply_cluster_conf(spark: SparkSession, overrides: dict | None = None) -> None:
+    """Apply the runtime SQL settings above to an existing (cluster) session."""
+    for k, v in {**CLUSTER_CONF, **(overrides or {})}.items():
+        spark.conf.set(k, v)
+
+
 def ensure_utc(spark: SparkSession) -> None:
     """Epoch arithmetic on TIMESTAMP_NTZ columns is only stable in UTC."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
