@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from huntlake import schemas as S
-from huntlake.functions import logs as L, net, time as tfn
+from huntlake.functions import logs as L, time as tfn
 from huntlake.functions.cols import c
 from huntlake.operators import features as feat, roles
 from huntlake.plans.catalog import query, r6

@@ -1,10 +1,8 @@
 """Properties: invariants, save/load, plan checks."""
 
 import math
-import os
 
 import numpy as np
-import pytest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
