@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from huntlake.functions.cols import c, zero_if_null_div
-from huntlake.operators.prefix import running_sums
+from huntlake.operators.prefix import running_sums_with_totals
 from huntlake.operators.stats import quantiles
 
 METRICS = ["accuracy", "precision", "recall", "f1"]
@@ -103,10 +103,9 @@ def score_groups(df: DataFrame, truth: str, score: str | Column) -> DataFrame:
 
 def _cumulated(df: DataFrame, truth: str, score) -> tuple[DataFrame, Column, Column]:
     g = score_groups(df, truth, score)
-    cum = running_sums(g, ["score"], ["p", "n"], descending=True)
-    # class totals are two numbers: fitted like any other parameter, then literals
-    tot = g.agg(F.sum("p").alias("P"), F.sum("n").alias("N")).first()
-    return cum, F.lit(float(tot["P"] or 0.0)), F.lit(float(tot["N"] or 0.0))
+    # the class totals fall out of the per-partition totals of the running sums
+    cum, tot = running_sums_with_totals(g, ["score"], ["p", "n"], descending=True)
+    return cum, F.lit(float(tot["p"])), F.lit(float(tot["n"]))
 
 
 def roc_curve(df: DataFrame, truth: str, score) -> DataFrame:
