@@ -47,15 +47,17 @@ def _bucketed_lag(df: DataFrame, key_col: str, time_col: str, order_key: str,
     return base.withColumn("__d", F.col("__t") - F.lag("__t").over(w))
 
 
-def _bucket_table(lagged: DataFrame, key_col: str, protocol_col: str | None) -> DataFrame:
-    """One row per (flow, bucket): counts, bounds, delta sums, carry-in from the previous bucket."""
+def _bucket_table(lagged: DataFrame, key_col: str, protocol_col: str | None,
+                  extra: tuple[str, ...] = ()) -> DataFrame:
+    """One row per (flow, bucket): counts, bounds, delta sums, carry-in from the
+    previous bucket of the same group (the flow, or the flow and ``extra`` keys)."""
     aggs = [F.count(F.lit(1)).alias("__n"), F.min("__t").alias("__tmin"), F.max("__t").alias("__tmax"),
             F.sum("__d").alias("__sd"), F.sum(F.col("__d") * F.col("__d")).alias("__sdd")]
     if protocol_col:
         aggs += [F.count_if(c(protocol_col) == "TCP").alias("__tcp"),
                  F.count_if(c(protocol_col) == "UDP").alias("__udp")]
-    fb = lagged.groupBy(c(key_col).alias("__k"), F.col("__b").alias("__kb")).agg(*aggs)
-    wb = Window.partitionBy("__k").orderBy("__kb")
+    fb = lagged.groupBy(c(key_col).alias("__k"), *[F.col(e) for e in extra], F.col("__b").alias("__kb")).agg(*aggs)
+    wb = Window.partitionBy("__k", *extra).orderBy("__kb")
     fb = fb.withColumn("__carry", F.lag("__tmax").over(wb))
     return fb.withColumn("__cross", F.col("__tmin") - F.col("__carry"))
 
@@ -87,17 +89,17 @@ def _measures(n: Column, tmin: Column, tmax: Column, sd: Column, sdd: Column,
     return cols
 
 
-def _flow_table(fb: DataFrame, has_proto: bool) -> DataFrame:
+def _flow_table(fb: DataFrame, has_proto: bool, extra: tuple[str, ...] = ()) -> DataFrame:
     aggs = [F.sum("__n").alias("n"), F.min("__tmin").alias("tmin"), F.max("__tmax").alias("tmax"),
             (F.coalesce(F.sum("__sd"), F.lit(0.0)) + F.coalesce(F.sum("__cross"), F.lit(0.0))).alias("sd"),
             (F.coalesce(F.sum("__sdd"), F.lit(0.0))
              + F.coalesce(F.sum(F.col("__cross") * F.col("__cross")), F.lit(0.0))).alias("sdd")]
     if has_proto:
         aggs += [F.sum("__tcp").alias("tcp"), F.sum("__udp").alias("udp")]
-    g = fb.groupBy("__k").agg(*aggs)
-    return g.select("__k", *_measures(F.col("n"), F.col("tmin"), F.col("tmax"), F.col("sd"), F.col("sdd"),
-                                      F.col("tcp") if has_proto else None,
-                                      F.col("udp") if has_proto else None))
+    g = fb.groupBy("__k", *extra).agg(*aggs)
+    return g.select("__k", *extra, F.col("n").alias("__packets"),
+                    *_measures(F.col("n"), F.col("tmin"), F.col("tmax"), F.col("sd"), F.col("sdd"),
+                               F.col("tcp") if has_proto else None, F.col("udp") if has_proto else None))
 
 
 def flow_features(df: DataFrame, src_col: str = "source_ip", dst_col: str = "destination_ip",
@@ -117,7 +119,7 @@ def flow_features(df: DataFrame, src_col: str = "source_ip", dst_col: str = "des
     keyed = df.withColumn(key_col, flow_key(src_col, dst_col))
     lagged = _bucketed_lag(keyed, key_col, time_col, order_key, bucket_seconds)
     fb = _bucket_table(lagged, key_col, proto)
-    flows = _flow_table(fb, proto is not None)
+    flows = _flow_table(fb, proto is not None).drop("__packets")
     per_bucket = fb.select("__k", "__kb", "__carry").join(flows, "__k")
     out = lagged.join(per_bucket, (c(key_col) == F.col("__k")) & (F.col("__b") == F.col("__kb")), "left")
     delta = F.when(F.col("flow_packets_count").isNull(), F.lit(None)) \
@@ -136,7 +138,7 @@ def flow_stats(df: DataFrame, src_col: str, dst_col: str, time_col: str,
     keyed = df.withColumn(key_col, flow_key(src_col, dst_col))
     lagged = _bucketed_lag(keyed, key_col, time_col, order_key, bucket_seconds)
     flows = _flow_table(_bucket_table(lagged, key_col, proto), proto is not None)
-    return flows.withColumnRenamed("__k", key_col)
+    return flows.drop("__packets").withColumnRenamed("__k", key_col)
 
 
 def flow_window_agg(df: DataFrame, src_col: str, dst_col: str, time_col: str,
@@ -145,23 +147,22 @@ def flow_window_agg(df: DataFrame, src_col: str, dst_col: str, time_col: str,
     """H7: the flow measures per flow and tumbling window of ``window_seconds``.
 
     Output: flow key, window_start (epoch seconds), packets, measures (NULL for a
-    window holding a single row). The window is part of the key, which also
-    splits hot flows; ``lag`` and the aggregate share one shuffle.
+    window holding a single row). Long windows are cut into sub-buckets of at
+    most an hour (when the window is a whole number of hours) with the same
+    carry-over as ``flow_features``, so a hot flow-window still spreads over
+    tasks.
     """
     order_key = order_key or time_col
     proto = protocol_col if protocol_col and protocol_col in df.columns else None
+    sub = 3600 if window_seconds > 3600 and window_seconds % 3600 == 0 else window_seconds
     keyed = df.withColumn(key_col, flow_key(src_col, dst_col))
-    lagged = _bucketed_lag(keyed, key_col, time_col, order_key, window_seconds)
-    aggs = [F.count(F.lit(1)).alias("n"), F.min("__t").alias("tmin"), F.max("__t").alias("tmax"),
-            F.coalesce(F.sum("__d"), F.lit(0.0)).alias("sd"),
-            F.coalesce(F.sum(F.col("__d") * F.col("__d")), F.lit(0.0)).alias("sdd")]
-    if proto:
-        aggs += [F.count_if(c(proto) == "TCP").alias("tcp"), F.count_if(c(proto) == "UDP").alias("udp")]
-    g = lagged.groupBy(c(key_col), F.col("__b")).agg(*aggs)
-    return g.select(c(key_col), (F.col("__b") * window_seconds).alias("window_start"),
-                    F.col("n").alias("packets"),
-                    *_measures(F.col("n"), F.col("tmin"), F.col("tmax"), F.col("sd"), F.col("sdd"),
-                               F.col("tcp") if proto else None, F.col("udp") if proto else None))
+    lagged = _bucketed_lag(keyed, key_col, time_col, order_key, sub)
+    lagged = lagged.withColumn("__w", (F.floor(F.col("__t") / window_seconds) * window_seconds).cast("long"))
+    fb = _bucket_table(lagged, key_col, proto, extra=("__w",))
+    flows = _flow_table(fb, proto is not None, extra=("__w",))
+    feats = [n for n in FLOW_FEATURES if n in flows.columns]
+    return flows.select(F.col("__k").alias(key_col), F.col("__w").alias("window_start"),
+                        F.col("__packets").alias("packets"), *feats)
 
 
 def flow_union(*frames: DataFrame) -> DataFrame:
