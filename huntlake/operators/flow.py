@@ -119,8 +119,17 @@ def flow_features(df: DataFrame, src_col: str = "source_ip", dst_col: str = "des
     keyed = df.withColumn(key_col, flow_key(src_col, dst_col))
     lagged = _bucketed_lag(keyed, key_col, time_col, order_key, bucket_seconds)
     fb = _bucket_table(lagged, key_col, proto)
-    flows = _flow_table(fb, proto is not None).drop("__packets")
-    per_bucket = fb.select("__k", "__kb", "__carry").join(flows, "__k")
+    # flow totals as window sums over the (small) bucket table: same partitioning as
+    # the carry window, so no second aggregation and join of that table
+    wf = Window.partitionBy("__k")
+    cross = F.coalesce(F.col("__cross"), F.lit(0.0))
+    per_bucket = fb.select(
+        "__k", "__kb", "__carry",
+        *_measures(F.sum("__n").over(wf), F.min("__tmin").over(wf), F.max("__tmax").over(wf),
+                   F.coalesce(F.sum("__sd").over(wf), F.lit(0.0)) + F.sum(cross).over(wf),
+                   F.coalesce(F.sum("__sdd").over(wf), F.lit(0.0)) + F.sum(cross * cross).over(wf),
+                   F.sum("__tcp").over(wf) if proto else None, F.sum("__udp").over(wf) if proto else None))
+    flows = per_bucket
     out = lagged.join(per_bucket, (c(key_col) == F.col("__k")) & (F.col("__b") == F.col("__kb")), "left")
     delta = F.when(F.col("flow_packets_count").isNull(), F.lit(None)) \
         .otherwise(F.coalesce(F.col("__d"), F.col("__t") - F.col("__carry"))).cast("double")
