@@ -77,20 +77,19 @@ def _lit(v: float) -> str:
 
 
 def _fixed_error_sql() -> str:
+    """Same arithmetic, in the same order, as ``reconstruction_error_column``."""
     st = FIXED_ENCODER
-    w = np.array(st["components"]).T
-    a = w @ w.T - np.eye(len(st["cols"]))
-    total = "0.0e0"
-    for i in range(len(st["cols"])):
-        r = "0.0e0"
-        for j, name in enumerate(st["cols"]):
-            if a[i, j] != 0.0:
-                r = f"({r} + {_lit(a[i, j])} * (coalesce(\"{name}\", 0.0e0) - {_lit(st['mean'][j])}))"
-        total = f"({total} + {r} * {r})"
-    return f"({total} / {_lit(len(st['cols']))})"
+    ys = [f"(coalesce(\"{name}\", 0.0e0) - {_lit(st['mean'][j])})" for j, name in enumerate(st["cols"])]
+    y2 = "0.0e0"
+    for y in ys:
+        y2 = f"({y2} + {y} * {y})"
+    e2 = "0.0e0"
+    for e in _fixed_encoded_sql(bare=True):
+        e2 = f"({e2} + {e} * {e})"
+    return f"(greatest({y2} - {e2}, 0.0e0) / {_lit(len(st['cols']))})"
 
 
-def _fixed_encoded_sql() -> list[str]:
+def _fixed_encoded_sql(bare: bool = False) -> list[str]:
     st = FIXED_ENCODER
     out = []
     for i, comp in enumerate(st["components"]):
@@ -98,7 +97,7 @@ def _fixed_encoded_sql() -> list[str]:
         for j, name in enumerate(st["cols"]):
             if comp[j] != 0.0:
                 e = f"({e} + {_lit(comp[j])} * (coalesce(\"{name}\", 0.0e0) - {_lit(st['mean'][j])}))"
-        out.append(f"{e} AS encoded_{i}")
+        out.append(e if bare else f"{e} AS encoded_{i}")
     return out
 
 
