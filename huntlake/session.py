@@ -73,6 +73,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     configured = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster "
+                               "(running sums and intermediate tables are written there)")
         configured = tempfile.mkdtemp(prefix="huntlake-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     if not sc.getCheckpointDir():
