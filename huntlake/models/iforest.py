@@ -1,7 +1,8 @@
 """M1: isolation forest, fitted and scored on Spark.
 
-* Sampling: every row joins tree t when a hash of (key, t) falls below
-  sample_size / n, so each tree gets about ``sample_size`` rows (no driver sample).
+* Sampling: every row joins tree t when a hash of (row draw, t) falls below
+  sample_size / n, so each tree gets about ``sample_size`` rows (no driver sample),
+  also when many rows share a key.
 * Fitting: ``groupBy(tree_id).applyInPandas`` grows the trees in parallel; a tree
   group is bounded by the sample size. Only the trees (a few hundred nodes each)
   come back to the driver.
@@ -130,10 +131,12 @@ class IsolationForest(JsonEstimator):
         p = min(1.0, psi / max(n, 1))
         max_depth = int(math.ceil(math.log2(max(psi, 2))))
         trees_ids = F.sequence(F.lit(0), F.lit(o["n_trees"] - 1))
-        ident = c(key) if key else F.xxhash64(*[c(x) for x in cols])
-        member = F.filter(trees_ids, lambda t: F.pmod(F.xxhash64(ident, t, F.lit(o["seed"])), F.lit(1_000_000))
-                          < F.lit(int(p * 1_000_000)))
-        sampled = dataset.select(F.explode(member).alias("tree_id"),
+        # a per-row draw keeps tree samples bounded even when many rows share a key
+        # (identical rows would otherwise all land in the same trees)
+        ident = F.xxhash64(c(key), F.rand(o["seed"])) if key else F.xxhash64(F.rand(o["seed"]))
+        member = F.filter(trees_ids, lambda t: F.pmod(F.xxhash64(F.col("__id"), t, F.lit(o["seed"])),
+                                                      F.lit(1_000_000)) < F.lit(int(p * 1_000_000)))
+        sampled = dataset.withColumn("__id", ident).select(F.explode(member).alias("tree_id"),
                                  *[F.coalesce(c(x).cast("double"), F.lit(0.0)).alias(f"f{i}") for i, x in enumerate(cols)])
         seed = o["seed"]
         nf = len(cols)
