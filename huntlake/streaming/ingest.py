@@ -23,8 +23,8 @@ def read_log_stream(spark: SparkSession, path: str, max_files_per_trigger: int |
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     raw = reader.csv(path)
-    parsed = raw.withColumn("timestamp", F.try_to_timestamp(F.col("timestamp"), F.lit(time_format))) \
-                .where(F.col("timestamp").isNotNull())
+    parsed = raw.withColumn("raw_time", F.col("timestamp")) \
+                .withColumn("timestamp", F.try_to_timestamp(F.col("timestamp"), F.lit(time_format)))
     return parsed.withWatermark("timestamp", watermark)
 
 
@@ -40,15 +40,21 @@ def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
 
 def start_log_ingest(spark: SparkSession, in_path: str, index_path: str, attack_path: str,
                      checkpoint: str, available_now: bool = True, max_files_per_trigger: int | None = None,
-                     watermark: str = "10 minutes"):
-    """Start the W7 query: every row to the index, attacks to the attack store."""
-    stream = enrich_logs(read_log_stream(spark, in_path, max_files_per_trigger, watermark))
+                     watermark: str = "10 minutes", quarantine_path: str | None = None):
+    """Start the W7 query: every parsed row to the index, attacks to the attack store,
+    lines whose time does not parse to the quarantine (when a path is given)."""
+    stream = read_log_stream(spark, in_path, max_files_per_trigger, watermark)
 
     def route(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
-            _write_batch(batch, index_path, batch_id)
-            _write_batch(batch.where(F.col("classification") == S.LABEL_ATTACK), attack_path, batch_id)
+            good = enrich_logs(batch.where(F.col("timestamp").isNotNull()).drop("raw_time"))
+            _write_batch(good, index_path, batch_id)
+            _write_batch(good.where(F.col("classification") == S.LABEL_ATTACK), attack_path, batch_id)
+            if quarantine_path:
+                _write_batch(batch.where(F.col("timestamp").isNull()).select(
+                    F.concat_ws(",", "raw_time", "source", "destination", "event").alias("raw")),
+                    quarantine_path, batch_id)
         finally:
             batch.unpersist()
 

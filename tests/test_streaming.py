@@ -95,3 +95,16 @@ def test_keyed_state_delta_multi_batch_equal_batch(spark):
     # the stream cannot know a flow stays single-row, so it keeps NULL only for first rows
     assert all(got[k] == v for k, v in want.items() if v is not None)
     assert os.path.basename(out)
+
+
+def test_ingest_quarantines_bad_lines(spark):
+    base = scratch_path(spark, "bad-lines")
+    spark.createDataFrame([("2024-01-01 00:00:01", "10.0.0.1", "10.0.0.2", "APT_attack_port_scan"),
+                           ("yesterday", "10.0.0.1", "10.0.0.2", "user_login")],
+                          "t string, s string, d string, e string").coalesce(1) \
+        .write.option("header", False).csv(base)
+    index, attacks, quarantine = scratch_path(spark, "qi"), scratch_path(spark, "qa"), scratch_path(spark, "qq")
+    SI.start_log_ingest(spark, base, index, attacks, scratch_path(spark, "qc"),
+                        quarantine_path=quarantine).awaitTermination()
+    assert spark.read.parquet(index).count() == 1 and spark.read.parquet(attacks).count() == 1
+    assert [r["raw"] for r in spark.read.parquet(quarantine).collect()] == ["yesterday,10.0.0.1,10.0.0.2,user_login"]
