@@ -15,6 +15,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 import numpy as np
@@ -157,7 +158,6 @@ class IsolationForest(JsonEstimator):
         state = {"trees": trees, "psi": psi, "offset": 0.0}
         model = IsolationForestModel()
         model._set(inputCols=cols, options=self.getOrDefault(self.options))
-        import json
         model._set(state=json.dumps(state))
         # offset: contamination quantile of the training score_samples (weighted by multiplicity)
         if o.get("score_distinct", True):
