@@ -10,10 +10,11 @@ from huntlake.functions.cols import c, nan_to_null
 
 # percentile_approx accuracy used when exact=False (relative error 1e-4).
 APPROX_ACCURACY = 10000
-# Up to this many rows, exact quantiles use Spark's ``percentile`` (value maps merged
-# in one task, fast for small inputs); above it, ``exact_quantiles`` (iterative
-# selection, every pass a distributed scan with map-side aggregation).
-PERCENTILE_ROW_LIMIT = 20_000_000
+# Up to this many values (rows x columns), exact quantiles use Spark's ``percentile``:
+# its per-value maps are merged in one task, so at most this many entries (well
+# under a GB) ever meet there; above it, ``exact_quantiles`` (iterative selection,
+# every pass a distributed scan with map-side aggregation).
+PERCENTILE_VALUE_LIMIT = 12_000_000
 
 
 def quantile_exprs(col: str, qs: list[float], exact: bool = True):
@@ -27,7 +28,7 @@ def quantiles(df: DataFrame, cols: list[str], qs: list[float], exact: bool = Tru
     """Quantiles (linear interpolation, like pandas/numpy) of several columns in one job."""
     if not cols:
         return {}
-    if exact and df.count() > PERCENTILE_ROW_LIMIT:
+    if exact and df.count() * len(cols) > PERCENTILE_VALUE_LIMIT:
         # beyond this size the per-value maps of ``percentile`` would be merged in one
         # task; switch to the distributed exact selection
         return exact_quantiles(df, cols, qs)
