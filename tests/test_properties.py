@@ -164,3 +164,22 @@ def test_scan_prunes_and_pushes(spark):
     plan = logs._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(event_id), GreaterThan(event_id,100)]" in plan
     assert "ReadSchema: struct<event_id:bigint,event_type:string>" in plan
+
+
+def test_robust_scaling_centres_medians(spark):
+    from huntlake.operators import scale as Z
+    df = I.impute_median(flows_view(spark, SMALL).select(*[c(n) for n in FEATS]))
+    out = Z.scale_robust(df)
+    med = stats.quantiles(out, FEATS, [0.5])
+    assert all(abs(v[0]) < 1e-12 for v in med.values())
+
+
+def test_metrics_invariant_under_repartition(spark):
+    df = flows_view(spark, SMALL).select("is_apt", "siem_detection",
+                                         F.coalesce(c("Flow Bytes/s"), F.lit(0.0)).alias("s"))
+    a = V.roc_auc(df, "is_apt", "s").first()[0]
+    b = V.roc_auc(df.repartition(5, "siem_detection"), "is_apt", "s").first()[0]
+    assert math.isclose(a, b, rel_tol=1e-12)
+    m1 = _sorted(V.binary_metrics(df, "is_apt", "siem_detection"))
+    m2 = _sorted(V.binary_metrics(df.repartition(3), "is_apt", "siem_detection"))
+    assert m1 == m2
