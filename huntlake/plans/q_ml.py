@@ -310,3 +310,45 @@ def s13(spark, sf_dir):
 from huntlake.plans.oracle import ORACLE as _ORACLE  # noqa: E402
 
 register("s13_model_store", _ORACLE["m15_preprocess_flows"])
+
+
+# --- end-to-end flows of the three log detectors ---------------
+
+@query("m10_p5_log_suspects")
+def log_suspects(spark, sf_dir):
+    """Stage predictor: P2 keyword features -> M10 stage classifier (trained on the
+    flow stages) -> P5 non-benign rows ('normal' is the benign stage here)."""
+    from huntlake.operators.features import suspects_only
+    flows = _flows_model_input(spark, sf_dir)
+    model = M.stage_classifier(num_trees=10, max_depth=5).fit(flows)
+    logs = logs_view(spark, sf_dir).select("log_id", "timestamp", "source", "destination", "event",
+                                           *L.keyword_features("event"))
+    staged = M.predict_stage(model, logs)
+    return suspects_only(staged, "predicted_stage", benign="normal") \
+        .select("log_id", "source", "destination", "event", "predicted_stage")
+
+
+@query("m1_s6_log_detector")
+def log_detector(spark, sf_dir):
+    """Forest detector: S1 CSV scan -> P3 text features -> M1 isolation forest ->
+    P4 label -> S6 routed writes; returns the routed stores read back."""
+    from huntlake.functions.time import LOG_TIME_FORMAT
+    from huntlake.session import scratch_path
+    from huntlake.sources import readers as R, sinks as K
+    src = scratch_path(spark, "detector-csv")
+    logs_view(spark, sf_dir).select(F.date_format("timestamp", LOG_TIME_FORMAT), "source", "destination",
+                                    "event").write.option("header", False).csv(src)
+    logs = R.scan_log_csv(spark, src)
+    feats = logs.select("*", *L.text_features("event"), F.xxhash64("timestamp", "source", "destination", "event")
+                        .alias("row_key"))
+    cols = ["event_length", "marker_count", "underscore_count"]
+    scored = IsolationForest(cols, key="row_key").fit(feats).transform(feats)
+    labelled = scored.withColumn("classification", L.anomaly_to_label("is_anomaly")) \
+        .select("timestamp", "source", "destination", "event", "is_anomaly", "classification")
+    index_path, attack_path = scratch_path(spark, "detector-index"), scratch_path(spark, "detector-attacks")
+    K.sink_routed(labelled, index_path, attack_path)
+    idx = spark.read.json(index_path).groupBy("classification").agg(F.count(F.lit(1)).alias("rows")) \
+        .select(F.lit("index").alias("store"), "classification", "rows")
+    att = spark.read.parquet(attack_path).groupBy("classification").agg(F.count(F.lit(1)).alias("rows")) \
+        .select(F.lit("attacks").alias("store"), "classification", "rows")
+    return idx.unionByName(att)
