@@ -1,12 +1,14 @@
 """Operator 6: quality classifier from weak labels.
 
-Two questions are asked of a document, is it junk and is it toxic. For each, several
-overlapping heuristic labellers vote bad, good or nothing. Expectation-maximisation
+Four questions are asked of a document: is it symbol noise, shouting, repetition, or
+toxic. For each, several overlapping heuristic labellers vote bad, good or nothing.
+(One question for all kinds of junk would break the model's assumption that labellers
+err independently: a repetitive text is not noisy.) Expectation-maximisation
 over the counts of vote patterns of ALL documents estimates how often each labeller
 votes what in the good and in the bad class; the posterior of a document's pattern
 is its training label. A sparse linear scorer over hashed features (words, word
 beginnings, shape thresholds) is trained on these posteriors and judges every
-document; a document is accepted if neither probability exceeds one half.
+document; a document is accepted if no probability exceeds one half.
 
 Bounds, all parameters: the scorer is fitted on at most about ``sample_docs``
 documents, taken by a hash of the id; lexicon labellers are mined from the labelled
@@ -38,9 +40,13 @@ BAD, GOOD, NONE = 2, 1, 0
 INSULTS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "pathetic", "worthless", "disgusting", "clown", "imbecile", "dumbass", "bastard", "bitch", "retard")
 SYMBOLS = b"!#$%&*|<>{}[]=~^\\@+_"
 #: Shape: name -> (good below, bad above), and the thresholds that become features.
-SHAPES = {"symbols": (0.02, 0.08), "shouting": (0.2, 0.5), "repetition": (0.05, 0.2), "endings": (0.1, 0.3)}
+SHAPES = {"symbols": (0.02, 0.08), "endings": (0.1, 0.3), "marked_words": (0.1, 0.3),
+          "capitals": (0.2, 0.5), "capital_words": (0.2, 0.5), "capital_pairs": (0.2, 0.5),
+          "same_as_last": (0.05, 0.2), "same_as_last_but_one": (0.05, 0.2), "same_pairs": (0.3, 0.6)}
 SHAPE_STEPS = (0.02, 0.05, 0.1, 0.2, 0.3, 0.5)
-TASKS = {"junk": tuple(SHAPES), "toxic": ("insults", "mined_a", "mined_b", "mined_stems")}
+TASKS = {"noise": tuple(SHAPES)[:3], "shouting": tuple(SHAPES)[3:6], "repetition": tuple(SHAPES)[6:],
+         "toxic": ("insults", "mined_a", "mined_b", "mined_stems")}
+SCORES = tuple(f"p_{task}" for task in TASKS)
 
 _SEPARATOR = WHITE.copy()
 _SEPARATOR[[b for b in range(128) if not chr(b).isalnum()]] = True
@@ -54,7 +60,7 @@ _LETTER[97:123] = True
 
 def _bucket(h: np.ndarray, salt: int) -> np.ndarray:
     """Feature number of a hash; stems and words of equal spelling differ by the salt."""
-    return ((h + U64(salt) * U64(0x9E3779B97F4A7C15)) >> U64(64 - BITS)).astype(np.int64)
+    return ((h + U64(salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) >> U64(64 - BITS)).astype(np.int64)
 
 
 def _insult_features() -> np.ndarray:
@@ -82,15 +88,33 @@ def text_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         return (total[offsets[1:]] - total[offsets[:-1]]).astype(float)
 
     w_start, w_end, w_row = word_bounds(data, offsets)
-    words = np.bincount(w_row, minlength=n).astype(float)
-    shape[:, 0] = per_row(_SYMBOL[data]) / np.maximum(per_row(~WHITE[data]), 1)
+    words = np.maximum(np.bincount(w_row, minlength=n), 1).astype(float)
+
+    def word_share(mask):
+        return np.bincount(w_row[mask], minlength=n) / words
+
+    def inside(mask):
+        total = np.r_[0, np.cumsum(mask)]
+        return total[w_end] - total[w_start]
+
     letters = per_row(_LETTER[data])
-    shape[:, 1] = np.where(letters >= 20, per_row(_UPPER[data]) / np.maximum(letters, 1), 0)
+    upper = inside(_UPPER[data])
     whole = span_hash(running, w_start, w_end)
-    same = (whole[1:] == whole[:-1]) & (w_row[1:] == w_row[:-1])
-    shape[:, 2] = np.bincount(w_row[1:][same], minlength=n) / np.maximum(words, 1)
+    shape[:, 0] = per_row(_SYMBOL[data]) / np.maximum(per_row(~WHITE[data]), 1)
     if len(w_end):
-        shape[:, 3] = np.bincount(w_row[_SYMBOL[data[w_end - 1]]], minlength=n) / np.maximum(words, 1)
+        shape[:, 1] = word_share(_SYMBOL[data[w_end - 1]])
+        shape[:, 2] = word_share(inside(_SYMBOL[data]) > 0)
+    loud = letters >= 20
+    shape[:, 3] = np.where(loud, per_row(_UPPER[data]) / np.maximum(letters, 1), 0)
+    shape[:, 4] = np.where(loud, word_share((upper > 0) & (upper == inside(_LETTER[data]))), 0)
+    shape[:, 5] = np.where(loud, word_share(upper > 1), 0)
+    for k in (1, 2):
+        same = np.r_[np.zeros(min(k, len(whole)), bool), (whole[k:] == whole[:-k]) & (w_row[k:] == w_row[:-k])]
+        shape[:, 5 + k] = word_share(same)
+    if len(whole) > 1:
+        pair = np.flatnonzero(w_row[1:] == w_row[:-1])
+        _, firsts = np.unique(whole[pair] * U64(3) + whole[pair + 1] + w_row[pair].astype(np.uint64) * U64(0xC2B2AE3D27D4EB4F), return_index=True)
+        shape[:, 8] = np.where(words >= 20, 1 - np.bincount(w_row[pair[firsts]], minlength=n) / np.maximum(words - 1, 1), 0)
     return np.concatenate(all_rows), np.concatenate(feats), shape
 
 
@@ -114,7 +138,7 @@ def _votes(rows: np.ndarray, feats: np.ndarray, shape: np.ndarray, lexicons: dic
     """Votes of all labellers of each task (rows x labellers)."""
     low, high = np.array([SHAPES[s][0] for s in SHAPES]), np.array([SHAPES[s][1] for s in SHAPES])
     has_words = np.bincount(rows, minlength=len(shape)) > 0
-    junk = np.where(shape > high, BAD, np.where((shape < low) & has_words[:, None], GOOD, NONE))
+    form = np.where(shape > high, BAD, np.where((shape < low) & has_words[:, None], GOOD, NONE))
     toxic = np.zeros((len(shape), len(TASKS["toxic"])), np.int64)
     for k, name in enumerate(TASKS["toxic"]):
         lexicon = lexicons.get(name)
@@ -123,7 +147,7 @@ def _votes(rows: np.ndarray, feats: np.ndarray, shape: np.ndarray, lexicons: dic
             flag[lexicon] = True
             hits = np.bincount(rows[flag[feats]], minlength=len(shape))
             toxic[:, k] = np.where(hits > 0, BAD, np.where(has_words, GOOD, NONE))
-    return {"junk": junk, "toxic": toxic}
+    return {task: toxic if task == "toxic" else form[:, [list(SHAPES).index(x) for x in names]] for task, names in TASKS.items()}
 
 
 def _pattern(votes: np.ndarray) -> np.ndarray:
@@ -149,38 +173,48 @@ def estimate_accuracies(patterns: np.ndarray, counts: np.ndarray, labellers: int
     return table, bad
 
 
-def mine_lexicon(rows: np.ndarray, feats: np.ndarray, label: np.ndarray, least: int = 4) -> np.ndarray:
-    """Features that stand in at least ``least`` bad rows and almost never in good ones. One (row, feature) pair each."""
-    size = 1 << BITS
-    bad_docs, good_docs = max(1, int(label.sum())), max(1, int((~label).sum()))
-    bad = np.bincount(feats[label[rows]], minlength=size)
-    good = np.bincount(feats[~label[rows]], minlength=size)
-    return np.flatnonzero((bad >= least) & (bad / bad_docs > 50 * good / good_docs) & (bad >= 10 * good))
-
-
-def train_linear(rows: np.ndarray, feats: np.ndarray, n: int, target: np.ndarray, l1: float = 2e-4, rounds: int = 60) -> tuple[np.ndarray, float]:
-    """Logistic loss against soft labels with an L1 penalty, by accelerated proximal gradient steps."""
-    kept = np.bincount(feats, minlength=N_FEATURES) >= 3
-    use = kept[feats]
-    rows, feats = rows[use], feats[use]
-    size = np.sqrt(np.maximum(np.bincount(rows, minlength=n), 1))
-    value = (1 / size)[rows]  # a step bound that long documents don't dominate
-    balance = np.where(target > 0.5, 0.5 / max(1e-6, (target > 0.5).mean()), 0.5 / max(1e-6, (target <= 0.5).mean()))
-    balance = np.minimum(balance, 20)
-    w = look = np.zeros(N_FEATURES)
+def telling_features(rows: np.ndarray, feats: np.ndarray, bad: np.ndarray, size: int, least: float = 4, evidence: float = 6) -> np.ndarray:
+    """Features whose rows are bad so much more often than rows at large that chance over all
+    features would hardly do it: the binomial tail, bounded by its relative entropy, is under
+    10 ** -evidence, and that are bad more often than not. One (row, feature) pair each; ``bad`` is each row's share of being bad."""
+    prior = float(np.clip(bad.mean(), 1e-6, 1 - 1e-6))
+    n = np.bincount(feats, minlength=size).astype(float)
+    hits = np.bincount(feats, weights=bad[rows], minlength=size)
+    rate = np.clip(hits / np.maximum(n, 1), 1e-9, 1 - 1e-9)
+    tail = n * (rate * np.log10(rate / prior) + (1 - rate) * np.log10((1 - rate) / (1 - prior)))
+    return np.flatnonzero((hits >= least) & (rate > max(0.6, (1 + prior) / 2)) & (tail > evidence))
+
+
+def mine_lexicon(rows: np.ndarray, feats: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Features that tell bad rows and stand almost only in bad rows."""
+    found = telling_features(rows, feats, label.astype(float), 1 << BITS)
+    good = np.bincount(feats[~label[rows]], minlength=1 << BITS)[found]
+    bad = np.bincount(feats[label[rows]], minlength=1 << BITS)[found]
+    return found[bad >= 10 * good]
+
+
+def train_linear(rows: np.ndarray, feats: np.ndarray, n: int, target: np.ndarray, l2: float = 1e-3, rounds: int = 600) -> tuple[np.ndarray, float]:
+    """Logistic loss against soft labels over the telling features, by accelerated gradient steps.
+    All other weights are zero, so a long document gathers no chance evidence; none is negative."""
+    kept = telling_features(rows, feats, target, N_FEATURES)
+    place = np.full(N_FEATURES, -1)
+    place[kept] = np.arange(len(kept))
+    use = place[feats] >= 0
+    rows, feats = rows[use], place[feats[use]]
+    w = look = np.zeros(len(kept))
     b = b_look = float(np.log((target.mean() + 1e-3) / (1 - target.mean() + 1e-3)))
-    t, step = 1.0, 4 / max(1e-9, np.max(balance))
+    t, step = 1.0, 4 / (np.bincount(rows, minlength=n).max(initial=0) + 1)
     for _ in range(rounds):
-        margin = np.bincount(rows, weights=look[feats] * value, minlength=n) + b_look
-        wrong = (1 / (1 + np.exp(-np.clip(margin, -50, 50))) - target) * balance / n
-        gradient = np.bincount(feats, weights=wrong[rows] * value, minlength=N_FEATURES)
-        new = look - step * gradient
-        new = np.sign(new) * np.maximum(np.abs(new) - step * l1, 0)
-        b_new = b_look - step * wrong.sum()
+        margin = np.bincount(rows, weights=look[feats], minlength=n) + b_look
+        wrong = 1 / (1 + np.exp(-np.clip(margin, -50, 50))) - target
+        gradient = np.bincount(feats, weights=wrong[rows], minlength=len(kept)) / n + l2 * look / n
+        new, b_new = np.maximum(look - step * gradient, 0), b_look - step * wrong.mean()
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         look, b_look = new + (t - 1) / t_new * (new - w), b_new + (t - 1) / t_new * (b_new - b)
         w, b, t = new, b_new, t_new
-    return w, b
+    out = np.zeros(N_FEATURES)
+    out[kept] = w
+    return out, b
 
 
 def _unique_pairs(rows: np.ndarray, feats: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -228,7 +262,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id
         if (label & part).sum() >= 10 and (part & ~label).sum() >= 10:
             number = np.cumsum(part) - 1
             inside = part[rows]
-            model.lexicons[name] = mine_lexicon(number[rows[inside]], feats[inside], label[part], 8 if name == "mined_stems" else 4)
+            model.lexicons[name] = mine_lexicon(number[rows[inside]], feats[inside], label[part])
 
     lexicons = docs.sparkSession.sparkContext.broadcast(model.lexicons)  # at most 2 ** BITS feature numbers each
 
@@ -256,7 +290,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id
 
 
 def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, p_junk, p_toxic, accepted) of every row."""
+    """(doc_id, a probability for each task, accepted) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge(batches):
@@ -264,11 +298,14 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
         for whole in batches:
             for batch in pieces(whole, "text"):
                 p = probabilities(batch.column(1), m)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p["junk"]), pa.array(p["toxic"]), pa.array((p["junk"] <= 0.5) & (p["toxic"] <= 0.5))],
-                                                 ["doc_id", "p_junk", "p_toxic", "accepted"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, p.values()), pa.array(accepted(p))], ["doc_id", *SCORES, "accepted"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")) \
-        .mapInArrow(judge, "doc_id long, p_junk double, p_toxic double, accepted boolean")
+        .mapInArrow(judge, f"doc_id long, {' double, '.join(SCORES)} double, accepted boolean")
+
+
+def accepted(p: dict[str, np.ndarray]) -> np.ndarray:
+    return np.logical_and.reduce([x <= 0.5 for x in p.values()])
 
 
 def probabilities(column: pa.Array, model: QualityModel) -> dict[str, np.ndarray]:
@@ -298,6 +335,6 @@ def accepted_only(docs: DataFrame, model: QualityModel, text_col: str = "text")
         for whole in batches:
             for batch in pieces(whole, text_col):
                 p = probabilities(batch.column(at), shared.value)
-                yield batch.filter(pa.array((p["junk"] <= 0.5) & (p["toxic"] <= 0.5)))
+                yield batch.filter(pa.array(accepted(p)))
 
     return docs.mapInArrow(keep, docs.schema)

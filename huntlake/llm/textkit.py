@@ -126,10 +126,10 @@ def shingles(hashes: np.ndarray, rows: np.ndarray, width: int) -> tuple[np.ndarr
     firsts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
     lengths = np.diff(np.r_[firsts, n])
     for f, k in zip(firsts[lengths < width], lengths[lengths < width]):
-        h = U64(0)
+        h = np.full(1, k, np.uint64)
         for x in hashes[f:f + k]:
-            h = h * U64(0xC2B2AE3D27D4EB4F) + x if h else x + U64(k)
-        total[f], whole[f] = mix(np.array([h]))[0], True
+            h = h * U64(0xC2B2AE3D27D4EB4F) + x
+        total[f], whole[f] = mix(h)[0], True
     at = np.flatnonzero(whole)
     return total[at], rows[at], at
 
