@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from huntlake.llm import decontaminate, html_text, packing, pstable, quality, secrets, simhash, warc
+from huntlake.llm import decontaminate, html_text, packing, pstable, quality, rlbwt, secrets, simhash, warc
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -24,6 +24,11 @@ def op1_secret_scan(spark, sf_dir):
     return secrets.secret_digest(secrets.scan_secrets(_table(spark, sf_dir, "documents")))
 
 
+@query
+def op2_suffix_dedup(spark, sf_dir):
+    return rlbwt.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_warc_capture_index(spark, sf_dir):
     return warc.archive_round_trip(_table(spark, sf_dir, "pages"))
