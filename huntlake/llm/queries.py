@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from huntlake.llm import decontaminate, html_text, packing, pstable, quality, rlbwt, secrets, simhash, warc
+from huntlake.llm import decontaminate, html_text, packing, ppm, pstable, quality, rlbwt, secrets, simhash, warc
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -72,3 +72,8 @@ def op8_embedding_near_dedup(spark, sf_dir):
 @query
 def op9_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(_table(spark, sf_dir, "documents"), capacity=2048)
+
+
+@query
+def op10_lm_scoring(spark, sf_dir):
+    return ppm.score_documents(_table(spark, sf_dir, "documents"))
