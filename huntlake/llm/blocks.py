@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from huntlake.llm.textkit import pieces, utf8
 from huntlake.session import cut_lineage
 
-BLOCK_BYTES, BUCKET_BYTES = 1 << 20, 1 << 24
+BLOCK_BYTES, BUCKET_BYTES = 1 << 20, 1 << 23
 
 
 @dataclass
@@ -65,8 +65,19 @@ def make_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     built = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")) \
         .mapInArrow(build, "block long, ids array<long>, data binary, n_bytes long")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cut_lineage(built.repartition(n, "block"))
+    return _checkpoint_dealt(built, "block")
+
+
+def _checkpoint_dealt(df: DataFrame, key: str) -> DataFrame:
+    """Checkpoint that later joins on ``key`` need not shuffle. Spark keeps the partitioning of a
+    checkpoint only if the plan before it is fixed, so adaptive execution rests for this one step."""
+    conf, name = df.sparkSession.conf, "spark.sql.adaptive.enabled"
+    was = conf.get(name)
+    try:
+        conf.set(name, "false")
+        return cut_lineage(df.repartition(int(conf.get("spark.sql.shuffle.partitions")), key))
+    finally:
+        conf.set(name, was)
 
 
 def buckets_for(blocks: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> int:

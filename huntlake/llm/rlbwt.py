@@ -6,9 +6,10 @@ inside it, so equal strings have equal anchors at equal places. Neighbouring str
 one anchor form a span of at most 2 * width - k bytes.
 
 1. Blocks report their anchors; buckets answer which occur in more than one document.
-2. Blocks send the distinct spans of these, with the smallest document id of each. A
-   bucket builds a run-length compressed Burrows-Wheeler transform of its distinct spans
-   (terminators in span order), keeps samples at run ends (run starts with the count of
+2. Blocks send the distinct spans of these, with the smallest document id of each. Where
+   all documents show one and the same span for an anchor, its smallest document holds all
+   its strings. Of the other spans, the repetitive neighbourhoods of edits, a bucket builds
+   a run-length compressed Burrows-Wheeler transform (terminators in span order), keeps samples at run ends (run starts with the count of
    the symbol before them, which is all LF-mapping needs) and, at the ends of the runs of
    rows that agree on ``width`` symbols, the smallest document id. Each span is streamed
    backwards through the index: the matching statistic grows by one a step, and from
@@ -126,18 +127,19 @@ def _spans(block: Block, buckets: int, shared: dict[int, bytes]):
     spans, span, span_cuts = _by_bucket(content // U64(buckets) * U64(buckets) + keys % U64(buckets), buckets)
     example = np.zeros(len(spans), np.int64)
     example[span] = np.arange(len(span))
+    anchors = (keys[example] // U64(buckets)).astype(np.uint32)
     ids = np.array([0 if i is None else i for i in block.ids], np.int64)[rows]
     least = np.full(len(spans), np.iinfo(np.int64).max)
     np.minimum.at(least, span, ids)
-    return first, last, ids, span, example, least, span_cuts
+    return first, last, ids, span, example, least, anchors, span_cuts
 
 
 def ask_spans(buckets: int):
     def ask(block: Block):
-        first, last, _, _, example, least, cuts = _spans(block, buckets, _decode(block, 0))
+        first, last, _, _, example, least, anchors, cuts = _spans(block, buckets, _decode(block, 0))
         for bucket, a, b in cuts:
             f, e = first[example[a:b]], last[example[a:b]] + WIDTH
-            yield bucket, pack((e - f).astype(np.uint8), least[a:b], block.data[_ranges(f, e)])
+            yield bucket, pack((e - f).astype(np.uint8), anchors[a:b], least[a:b], block.data[_ranges(f, e)])
     return ask
 
 
@@ -161,17 +163,14 @@ class RunIndex:
         text = np.zeros(int(ends[-1]), np.uint16)
         text[_ranges(self.starts, ends - 1)] = data.astype(np.uint16) + 1
         last = np.repeat(ends - 1, lengths + 1)  # the terminator of each position's string
-        rank, size, ranks = self._first_rank(text, last), 7, {}
+        rank, size = self._first_rank(text, last), 7
         string_of = np.repeat(np.arange(m), lengths + 1)
-        while True:
-            ranks[size] = rank
-            if size >= 112:
-                break
-            rank = self._pair(rank, rank, size, last)
+        while size < max(width, int(lengths.max(initial=0)) + 1):
+            if size <= width <= 2 * size:  # rows that agree on ``width`` symbols: two overlapping parts agree
+                agree = self._pair(rank, width - size, last)
+            rank = self._pair(rank, size, last)
             size *= 2
-        part = ranks[28]  # rows that agree on ``width`` symbols: two overlapping halves agree
-        agree = self._pair(part, part, width - 28, last)
-        order = np.lexsort((string_of, rank)) if len(np.unique(rank)) < len(rank) else np.argsort(rank)
+        order = np.argsort(rank, kind="stable")  # equal to the terminator: in the order of the strings
         bwt = text[order - 1]  # a string's first symbol is preceded by the terminator before it
         head = np.flatnonzero(np.r_[True, bwt[1:] != bwt[:-1]])
         self.run_start, self.run_symbol = head, bwt[head]
@@ -193,7 +192,7 @@ class RunIndex:
     def _dense(keys: np.ndarray) -> np.ndarray:
         order = np.argsort(keys)
         new = np.r_[False, keys[order][1:] != keys[order][:-1]]
-        rank = np.empty(len(keys), np.int64)
+        rank = np.empty(len(keys), np.uint32)
         rank[order] = np.cumsum(new) + 1
         return rank
 
@@ -204,15 +203,14 @@ class RunIndex:
             key = (key << U64(9)) | text[at].astype(np.uint64)
         return self._dense(key)
 
-    def _pair(self, a: np.ndarray, b: np.ndarray, shift: int, last: np.ndarray) -> np.ndarray:
-        at = np.arange(len(a)) + shift
-        inside = at <= last
-        second = np.where(inside, b[np.minimum(at, len(a) - 1)], 0)
-        return self._dense((a.astype(np.uint64) << U64(32)) | second.astype(np.uint64))
+    def _pair(self, rank: np.ndarray, shift: int, last: np.ndarray) -> np.ndarray:
+        at = np.arange(len(rank)) + shift
+        second = np.where(at <= last, rank[np.minimum(at, len(rank) - 1)], 0)
+        return self._dense((rank.astype(np.uint64) << U64(32)) | second.astype(np.uint64))
 
-    def stream(self, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    def stream(self, width: int = WIDTH) -> np.ndarray:
         """Walks every string backwards. Returns, string by string, the smallest owner of each
-        ``width``-symbol string by its start, and the offsets of the strings in that list."""
+        ``width``-symbol string by its start."""
         windows = np.maximum(self.lengths - width + 1, 0)
         offsets = np.r_[0, np.cumsum(windows)]
         out = np.empty(int(offsets[-1]), np.int64)
@@ -226,32 +224,41 @@ class RunIndex:
             if step >= width:
                 group = np.searchsorted(self.group_start, row, side="right") - 1
                 out[offsets[lane[:live]] + left[:live] - step] = self.group_least[group]
-        return out, offsets
+        return out
 
 
 def answer_spans(bucket: int, questions: list[bytes]) -> list[bytes]:
     """For each string of each asked span, whether a document smaller than the span's own holds it."""
-    asked = [unpack(q, np.uint8, np.int64, np.uint8) for q in questions]
+    asked = [unpack(q, np.uint8, np.uint32, np.int64, np.uint8) for q in questions]
     lengths = np.concatenate([a[0] for a in asked]).astype(np.int64)
-    least = np.concatenate([a[1] for a in asked])
-    data = np.concatenate([a[2] for a in asked])
+    anchors = np.concatenate([a[1] for a in asked])
+    least = np.concatenate([a[2] for a in asked])
+    data = np.concatenate([a[3] for a in asked])
+    counts = [len(a[0]) for a in asked]
+    del asked
     ends = np.cumsum(lengths)
     starts = ends - lengths
-    content = span_hash(prefix_hashes(data), starts, ends)
-    distinct, example, which = np.unique(content, return_index=True, return_inverse=True)
-    owner = np.full(len(distinct), np.iinfo(np.int64).max)
+    _, example, which = np.unique(span_hash(prefix_hashes(data), starts, ends), return_index=True, return_inverse=True)
+    owner = np.full(len(example), np.iinfo(np.int64).max)
     np.minimum.at(owner, which, least)
-    index = RunIndex(data[_ranges(starts[example], ends[example])], lengths[example], owner)
-    smallest, offsets = index.stream()
+    windows = lengths[example] - WIDTH + 1
+    offsets = np.r_[0, np.cumsum(windows)]
+    smallest = np.repeat(owner, windows)
+    _, anchor, spans_of = np.unique(anchors[example], return_inverse=True, return_counts=True)
+    varied = np.flatnonzero(spans_of[anchor] > 1)
+    if len(varied):
+        pick = example[varied]
+        index = RunIndex(data[_ranges(starts[pick], ends[pick])], lengths[pick], owner[varied])
+        smallest[_ranges(offsets[varied], offsets[varied + 1])] = index.stream()
     windows = lengths - WIDTH + 1
     bits = smallest[_ranges(offsets[which], offsets[which] + windows)] < np.repeat(least, windows)
-    per_question = np.add.reduceat(windows, np.cumsum([0] + [len(a[0]) for a in asked])[:-1])
+    per_question = np.add.reduceat(windows, np.cumsum([0, *counts])[:-1])
     return [pack(np.packbits(x)) for x in np.split(bits, np.cumsum(per_question)[:-1])]
 
 
 def remaining(block: Block, buckets: int) -> tuple[np.ndarray, list[tuple[int, int, int, str]]]:
     """(mask of removed bytes, (bytes, removed, runs, digest of the rest) of each text)."""
-    first, last, ids, span, example, least, cuts = _spans(block, buckets, _decode(block, 0))
+    first, last, ids, span, example, least, _, cuts = _spans(block, buckets, _decode(block, 0))
     replies = _decode(block, 1)
     edge = np.zeros(len(block.data) + 1, np.int64)
     older = ids > least[span] if len(span) else np.zeros(0, bool)
