@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 
 from huntlake.functions.cols import c
 from huntlake.operators.fitted import JsonEstimator, JsonModel
+from huntlake.operators.stats import quantiles
 
 EULER = 0.5772156649
 
@@ -91,7 +92,7 @@ class IsolationForestModel(JsonModel):
     """Adds ``anomaly_score`` (the usual s in (0, 1]), ``score_samples`` (= -s)
     and ``is_anomaly`` (score_samples below the fitted offset)."""
 
-    def score_column(self, cols: list[str]):
+    def score_column(self, cols: list[str], nested: bool = False):
         st = self.get_state()
         trees, psi = st["trees"], st["psi"]
         norm = float(_c(np.array([psi]))[0]) or 1.0
@@ -101,15 +102,15 @@ class IsolationForestModel(JsonModel):
             x = np.column_stack([ser.to_numpy(dtype="float64", na_value=0.0) for ser in series])
             return pd.Series(np.power(2.0, -_path_lengths(trees, x) / norm))
 
-        return s(*[F.coalesce(c(n).cast("double"), F.lit(0.0)) for n in cols])
+        return s(*[F.coalesce((F.col(n) if nested else c(n)).cast("double"), F.lit(0.0)) for n in cols])
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         st, o = self.get_state(), self.get_options()
         cols = self.get_cols()
         if o.get("score_distinct", True):
-            distinct = dataset.select(*[c(n) for n in cols]).distinct()
-            scored = distinct.withColumn("anomaly_score", self.score_column(cols))
-            out = dataset.join(scored, on=cols, how="left")
+            vector = F.struct(*[F.coalesce(c(n).cast("double"), F.lit(0.0)).alias(f"f{i}") for i, n in enumerate(cols)])  # never null
+            scored = dataset.select(vector.alias("__x")).distinct().select("__x", self.score_column([f"__x.f{i}" for i in range(len(cols))], nested=True).alias("anomaly_score"))
+            out = dataset.withColumn("__x", vector).join(scored, on="__x", how="left").drop("__x")
         else:
             out = dataset.withColumn("anomaly_score", self.score_column(cols))
         out = out.withColumn("score_samples", -F.col("anomaly_score"))
@@ -132,11 +133,13 @@ class IsolationForest(JsonEstimator):
         p = min(1.0, psi / max(n, 1))
         max_depth = int(math.ceil(math.log2(max(psi, 2))))
         trees_ids = F.sequence(F.lit(0), F.lit(o["n_trees"] - 1))
-        # a per-row draw keeps tree samples bounded even when many rows share a key
-        # (identical rows would otherwise all land in the same trees)
-        ident = F.xxhash64(c(key), F.rand(o["seed"])) if key else F.xxhash64(F.rand(o["seed"]))
-        member = F.filter(trees_ids, lambda t: F.pmod(F.xxhash64(F.col("__id"), t, F.lit(o["seed"])),
-                                                      F.lit(1_000_000)) < F.lit(int(p * 1_000_000)))
+        if not key:
+            raise ValueError("the forest needs a key column that tells rows apart: its hash draws each tree's rows")
+        # 63 bits of a hash of (row, tree) against p: exact at any number of rows, and the
+        # same trees however the rows are partitioned
+        ident = F.xxhash64(c(key))
+        below = F.lit(min((1 << 63) - 1, int(p * (1 << 63)))).cast("long")
+        member = F.filter(trees_ids, lambda t: F.shiftrightunsigned(F.xxhash64(F.col("__id"), t, F.lit(o["seed"])), 1) <= below)
         sampled = dataset.withColumn("__id", ident).select(F.explode(member).alias("tree_id"),
                                  *[F.coalesce(c(x).cast("double"), F.lit(0.0)).alias(f"f{i}") for i, x in enumerate(cols)])
         seed = o["seed"]
@@ -153,6 +156,8 @@ class IsolationForest(JsonEstimator):
         schema = ("tree_id int, feat array<int>, thr array<double>, left array<int>, right array<int>, "
                   "size array<int>, m long")
         rows = sampled.groupBy("tree_id").applyInPandas(build, schema).collect()
+        if n and len(rows) < o["n_trees"]:
+            raise RuntimeError(f"{o['n_trees'] - len(rows)} trees have no rows: is the key column unique?")
         trees = [{"feat": list(r["feat"]), "thr": list(r["thr"]), "left": list(r["left"]),
                   "right": list(r["right"]), "size": list(r["size"])} for r in sorted(rows, key=lambda r: r["tree_id"])]
         state = {"trees": trees, "psi": psi, "offset": 0.0}
@@ -163,9 +168,9 @@ class IsolationForest(JsonEstimator):
         if o.get("score_distinct", True):
             g = dataset.groupBy(*[c(x) for x in cols]).agg(F.count(F.lit(1)).alias("__w"))
             g = g.withColumn("__s", -model.score_column(cols))
-            off = g.agg(F.percentile("__s", F.lit(o["contamination"]), F.col("__w")).alias("q")).first()["q"]
+            off = quantiles(g, ["__s"], [o["contamination"]], weight="__w")["__s"][0]
         else:
             s = dataset.select((-model.score_column(cols)).alias("__s"))
-            off = s.agg(F.percentile("__s", F.lit(o["contamination"])).alias("q")).first()["q"]
-        state["offset"] = float(off)
+            off = quantiles(s, ["__s"], [o["contamination"]])["__s"][0]
+        state["offset"] = float(off or 0.0)
         return state

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from huntlake.functions.cols import c
+from huntlake.operators.stats import quantiles
 from huntlake.operators.metrics import METRICS, metric_columns, roc_auc
 
 COUNTS = ["tp", "fp", "tn", "fn"]
@@ -57,7 +58,7 @@ def detection_time_diff(df: DataFrame, truth: str, siem: str, ml: str, siem_time
     mt = c(ml_time) if isinstance(ml_time, str) else ml_time
     diff = (F.unix_micros(mt.cast("timestamp")) - F.unix_micros(st.cast("timestamp"))).cast("double") / 1e6
     tp = df.where((c(truth) == 1) & (c(siem) == 1) & (c(ml) == 1)).select(diff.alias("d"))
-    median = F.percentile("d", F.lit(0.5)) if exact else F.percentile_approx("d", 0.5, 10000)
+    median = F.lit(quantiles(tp, ["d"], [0.5], exact=exact)["d"][0])
     return tp.agg(F.count(F.lit(1)).alias("pairs"), F.avg("d").alias("mean"), median.cast("double").alias("median"),
                   F.min("d").alias("min"), F.max("d").alias("max"),
                   F.count_if(F.col("d") < 0).alias("ml_faster"), F.count_if(F.col("d") > 0).alias("siem_faster"))

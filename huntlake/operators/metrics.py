@@ -128,11 +128,13 @@ def roc_auc(df: DataFrame, truth: str, score) -> DataFrame:
 
 
 def pr_curve(df: DataFrame, truth: str, score) -> DataFrame:
-    """V6: (threshold, recall, precision) per distinct score."""
+    """V6: (threshold, recall, precision) per distinct score, and the end point (recall 0, precision 1) without a threshold."""
     cum, P, N = _cumulated(df, truth, score)
     tp, fp = F.col("cum_p"), F.col("cum_n")
-    return cum.select(F.col("score").alias("threshold"), zero_if_null_div(tp, P).alias("recall"),
-                      zero_if_null_div(tp, tp + fp).alias("precision"))
+    end = df.sparkSession.range(1).select(F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("recall"),
+                                          F.lit(1.0).alias("precision"))
+    return end.unionByName(cum.select(F.col("score").alias("threshold"), zero_if_null_div(tp, P).alias("recall"),
+                                      zero_if_null_div(tp, tp + fp).alias("precision")))
 
 
 def pr_auc(df: DataFrame, truth: str, score) -> DataFrame:
@@ -154,14 +156,15 @@ def error_summary(df: DataFrame, scores: dict[str, str | Column], threshold_q: f
         x = (c(col) if isinstance(col, str) else col).cast("double")
         aggs += [F.avg(x).alias(f"m{i}"), F.stddev_pop(x).alias(f"s{i}"), F.min(x).alias(f"lo{i}"),
                  F.max(x).alias(f"hi{i}")]
-        if threshold_q is not None:
-            aggs.append((F.percentile(x, F.lit(threshold_q)) if exact
-                         else F.percentile_approx(x, threshold_q, 10000)).alias(f"t{i}"))
     wide = df.agg(*aggs)
+    cuts = {}
+    if threshold_q is not None:
+        columns = df.select(*[(c(col) if isinstance(col, str) else col).cast("double").alias(f"t{i}") for i, col in enumerate(scores.values())])
+        cuts = {k: v[0] for k, v in quantiles(columns, columns.columns, [threshold_q], exact=exact).items()}
     rows = F.array(*[F.struct(
         F.lit(name).alias("score_name"), F.col(f"m{i}").alias("mean"), F.col(f"s{i}").alias("std"),
         F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max"),
-        (F.col(f"t{i}") if threshold_q is not None else F.lit(None).cast("double")).alias("threshold"))
+        F.lit(cuts.get(f"t{i}")).cast("double").alias("threshold"))
         for i, name in enumerate(scores)])
     return wide.select(F.explode(rows).alias("s")).select("s.*")
 
@@ -192,13 +195,14 @@ def alert_rate(df: DataFrame, pred: str) -> DataFrame:
 
 
 def error_vs_prob(df: DataFrame, key: str, error: str | Column, prob: str | Column, truth: str,
-                  fraction: float = 0.01, seed: int = 42) -> DataFrame:
-    """(error, probability, label) points, a deterministic hash sample of the rows
-    (sampling is the feature: a bounded point cloud for plotting)."""
+                  fraction: float | None = None, seed: int = 42) -> DataFrame:
+    """(error, probability, label) points of all rows, or of a hash sample if a fraction is asked for."""
     bucket = F.pmod(F.xxhash64(c(key), F.lit(seed)), F.lit(1_000_000))
+    if fraction is not None:
+        df = df.where(bucket < int(fraction * 1_000_000))
     e = c(error) if isinstance(error, str) else error
     p = c(prob) if isinstance(prob, str) else prob
-    return df.where(bucket < int(fraction * 1_000_000)).select(
+    return df.select(
         c(key), e.cast("double").alias("error"), p.cast("double").alias("probability"),
         c(truth).alias("label"))
 

@@ -1,17 +1,19 @@
 """Monitoring in batch form (W1-W6). The streaming form lives in ``streaming.monitor``.
 
 A batch table has one row per batch, so everything after ``batch_metrics`` works
-on a table that is data/batch_size rows: still distributed, never collected.
+on a table that is data/batch_size rows, never collected.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from huntlake.functions.cols import c
 from huntlake.operators.metrics import metric_columns
-from huntlake.operators.prefix import row_numbers, running_sums
+from huntlake.operators.prefix import row_numbers
 
 
 def split_batches(df: DataFrame, key: str, batch_size: int = 200, min_batches: int = 5,
@@ -45,15 +47,42 @@ def drift_flags(history: DataFrame, threshold: float = 0.1) -> DataFrame:
                   .withColumn("degraded", F.coalesce(F.col("f1") < baseline - threshold, F.lit(False)))
 
 
-def adaptation_triggers(flags: DataFrame, buffer_rows: int = 1000) -> DataFrame:
-    """Degraded batches fill a buffer; a retrain fires whenever the buffered rows
-    reach ``buffer_rows`` (the buffer is then cleared). Running sum is distributed."""
-    deg = flags.withColumn("__deg_rows", F.when(F.col("degraded"), F.col("samples")).otherwise(F.lit(0)))
-    cum = running_sums(deg, ["batch"], ["__deg_rows"], descending=False, prefix="cum")
-    before = F.col("cum__deg_rows") - F.col("__deg_rows")
-    fired = F.floor(F.col("cum__deg_rows") / buffer_rows) > F.floor(before / buffer_rows)
-    return cum.withColumn("buffered_rows", F.col("cum__deg_rows").cast("long")) \
-              .withColumn("retrain", F.col("degraded") & fired).drop("__deg_rows", "cum__deg_rows")
+def adaptation_triggers(history: DataFrame, buffer_rows: int = 1000, threshold: float = 0.1, model: str | None = None) -> DataFrame:
+    """Adds baseline_f1, degraded, buffered_rows and retrain to the batch history.
+
+    The first batch sets the baseline. A degraded batch adds its rows to the buffer; once
+    the buffer holds ``buffer_rows`` a retrain fires, the buffer is cleared and the next
+    batch sets a new baseline. buffered_rows counts the batch itself, before clearing.
+    Each batch depends on the one before, so the (narrow) history of one monitored model
+    is folded in order, streamed and never held; ``model`` names the column that tells
+    models apart.
+    """
+    names = history.columns
+    schema = T.StructType([*history.schema.fields, T.StructField("baseline_f1", T.DoubleType()), T.StructField("degraded", T.BooleanType()),
+                           T.StructField("buffered_rows", T.LongType()), T.StructField("retrain", T.BooleanType())])
+
+    def fold(batches):
+        current, baseline, buffered = object(), None, 0
+        for pdf in batches:
+            added = []
+            for who, f1, samples in zip(pdf[model] if model else [None] * len(pdf), pdf["f1"], pdf["samples"]):
+                if who != current:
+                    current, baseline, buffered = who, None, 0
+                f1 = None if pd.isna(f1) else float(f1)
+                if baseline is None:
+                    baseline = f1
+                degraded = f1 is not None and baseline is not None and f1 < baseline - threshold
+                buffered += int(samples) if degraded else 0
+                retrain = degraded and buffered >= buffer_rows
+                added.append((baseline, degraded, buffered, retrain))
+                if retrain:
+                    baseline, buffered = None, 0
+            extra = pd.DataFrame(added, columns=["baseline_f1", "degraded", "buffered_rows", "retrain"], index=pdf.index)
+            yield pd.concat([pdf[names], extra], axis=1)
+
+    keys = [F.col(model)] if model else [F.lit(0)]
+    n = int(history.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return history.repartition(n, *keys).sortWithinPartitions(*([model] if model else []), "batch").mapInPandas(fold, schema)
 
 
 def monitor_summary(history: DataFrame) -> DataFrame:

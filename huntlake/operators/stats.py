@@ -3,41 +3,26 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from huntlake.functions.cols import c, nan_to_null
+from huntlake.session import cut_lineage
 
 # percentile_approx accuracy used when exact=False (relative error 1e-4).
 APPROX_ACCURACY = 10000
-# Up to this many values (rows x columns), exact quantiles use Spark's ``percentile``:
-# its per-value maps are merged in one task, so at most this many entries (well
-# under a GB) ever meet there; above it, ``exact_quantiles`` (iterative selection,
-# every pass a distributed scan with map-side aggregation).
-PERCENTILE_VALUE_LIMIT = 12_000_000
 
 
-def quantile_exprs(col: str, qs: list[float], exact: bool = True):
-    x = nan_to_null(c(col)).cast("double")
-    if exact:
-        return F.percentile(x, F.array(*[F.lit(q) for q in qs]))
-    return F.percentile_approx(x, [float(q) for q in qs], APPROX_ACCURACY)
-
-
-def quantiles(df: DataFrame, cols: list[str], qs: list[float], exact: bool = True) -> dict[str, list]:
-    """Quantiles (linear interpolation, like pandas/numpy) of several columns in one job."""
+def quantiles(df: DataFrame, cols: list[str], qs: list[float], exact: bool = True, weight: str | None = None) -> dict[str, list]:
+    """Quantiles (linear interpolation, like pandas/numpy) of several columns together."""
     if not cols:
         return {}
-    if exact and df.count() * len(cols) > PERCENTILE_VALUE_LIMIT:
-        # beyond this size the per-value maps of ``percentile`` would be merged in one
-        # task; switch to the distributed exact selection
-        return exact_quantiles(df, cols, qs)
-    row = df.agg(*[quantile_exprs(n, qs, exact).alias(f"q{i}") for i, n in enumerate(cols)]).first()
-    out = {}
-    for i, n in enumerate(cols):
-        vals = row[f"q{i}"]
-        out[n] = list(vals) if vals is not None else [None] * len(qs)
-    return out
+    if exact:
+        return exact_quantiles(df, cols, qs, weight)
+    row = df.agg(*[F.percentile_approx(_xcol(n), [float(q) for q in qs], APPROX_ACCURACY).alias(f"q{i}")
+                   for i, n in enumerate(cols)]).first()
+    return {n: list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(qs) for i, n in enumerate(cols)}
 
 
 def moments(df: DataFrame, cols: list[str], ddof: int = 0) -> dict[str, tuple]:
@@ -53,127 +38,66 @@ def moments(df: DataFrame, cols: list[str], ddof: int = 0) -> dict[str, tuple]:
     return {n: (row[f"m{i}"], row[f"s{i}"]) for i, n in enumerate(cols)}
 
 
-# Exact quantiles by iterative selection ---------------------------------------------
+# Exact quantiles -------------------------------------------------------------------
 #
-# Pass 1 brackets every target rank with ``percentile_approx`` (rank error at most
-# n / ACCURACY, so the values at p -/+ 2 / ACCURACY enclose the target). Pass 2
-# counts, per target, the values below and inside its bracket. Brackets holding
-# at most BRACKET_LIMIT values are finished from their small value histogram;
-# larger ones (only at very large n) are narrowed again with ``percentile_approx``
-# on the bracket's values. Every pass is one scan with map-side aggregation: no
-# value map of a whole column ever sits in one task.
-
-SELECT_ACCURACY = 10000
-BRACKET_LIMIT = 100_000
+# One path for every size. All columns become one table of (column, value, count),
+# summed on the map side first, so ties are one row. It is range-partitioned by
+# (column, value) and checkpointed; the counts per partition and column (at most one
+# row a partition and one a column) tell which partition holds each wanted rank, and a
+# second pass over these partitions reads the values off. No value map of a column sits
+# in one task, and at most two values per quantile and column come to the driver.
 
 
 def _xcol(name: str):
     return nan_to_null(c(name)).cast("double")
 
 
-def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float]) -> dict[str, list]:
+def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float], weight: str | None = None) -> dict[str, list]:
     """Exact quantiles with linear interpolation (numpy default, Spark ``percentile``,
-    DuckDB ``quantile_cont``) for several columns, in a few scans."""
+    DuckDB ``quantile_cont``) for several columns; ``weight`` names a column of row counts."""
     if not cols:
         return {}
-    eps = 2.0 / SELECT_ACCURACY
-    counts = df.agg(*[F.count(_xcol(n)).alias(f"n{i}") for i, n in enumerate(cols)]).first()
-    totals = [counts[f"n{i}"] for i in range(len(cols))]
-    # targets: (column index, 0-based rank)
-    targets = sorted({(i, r) for i in range(len(cols)) if totals[i] for q in qs
-                      for r in (int(np.floor((totals[i] - 1) * q)), int(np.ceil((totals[i] - 1) * q)))})
-    lo: dict = {}
-    hi: dict = {}
-    probs = {t: (max(0.0, t[1] / max(totals[t[0]] - 1, 1) - eps), min(1.0, t[1] / max(totals[t[0]] - 1, 1) + eps))
-             for t in targets}
-    aggs = [F.percentile_approx(_xcol(cols[t[0]]), list(probs[t]), SELECT_ACCURACY).alias(f"b{k}")
-            for k, t in enumerate(targets)]
-    row = df.agg(*aggs).first() if aggs else None
-    for k, t in enumerate(targets):
-        lo[t], hi[t] = row[f"b{k}"][0], row[f"b{k}"][1]
-    # widen to the column extremes when the bracket touches an end
-    found: dict = {}
-    below: dict = {}
-    pending = list(targets)
-    for _ in range(8):
-        if not pending:
-            break
-        aggs = []
-        for k, t in enumerate(pending):
-            x = _xcol(cols[t[0]])
-            aggs += [F.count_if(x < F.lit(lo[t])).alias(f"lt{k}"),
-                     F.count_if((x >= F.lit(lo[t])) & (x <= F.lit(hi[t]))).alias(f"in{k}")]
-        r = df.agg(*aggs).first()
-        small, large = [], []
-        for k, t in enumerate(pending):
-            if t in found:
-                continue
-            below[t] = r[f"lt{k}"]
-            inside = r[f"in{k}"]
-            local = t[1] - below[t]
-            if 0 <= local < inside and lo[t] == hi[t]:
-                found[t] = float(lo[t])
-            elif local < 0:
-                lo[t] = -float("inf")
-                large.append(t)
-            elif local >= inside:
-                hi[t] = float("inf")
-                large.append(t)
-            elif inside <= BRACKET_LIMIT:
-                small.append(t)
-            else:
-                large.append(t)
-        if small:
-            idx = F.array(*[F.lit(k) for k in range(len(small))])
-            colv = F.array(*[_xcol(cols[t[0]]) for t in small])
-            los = F.array(*[F.lit(float(lo[t])) for t in small])
-            his = F.array(*[F.lit(float(hi[t])) for t in small])
-            picked = df.select(F.explode(F.filter(
-                F.transform(idx, lambda k: F.struct(k.alias("t"), F.element_at(colv, k + 1).alias("v"))),
-                lambda s: (s["v"] >= F.element_at(los, s["t"] + 1)) & (s["v"] <= F.element_at(his, s["t"] + 1))))
-                .alias("s")).select("s.t", "s.v")
-            hist = picked.groupBy("t", "v").agg(F.count(F.lit(1)).alias("n")).collect()
-            per: dict = {}
-            for h in hist:
-                per.setdefault(h["t"], []).append((h["v"], h["n"]))
-            for k, t in enumerate(small):
-                pairs = sorted(per.get(k, []))
-                cum = np.cumsum([p_[1] for p_ in pairs])
-                pos = int(np.searchsorted(cum, t[1] - below[t], side="right"))
-                found[t] = float(pairs[pos][0])
-        if large:
-            aggs = []
-            for k, t in enumerate(large):
-                x = _xcol(cols[t[0]])
-                inside_x = F.when((x >= F.lit(lo[t])) & (x <= F.lit(hi[t])), x)
-                aggs.append(F.count(inside_x).alias(f"c{k}"))
-            sizes = df.agg(*aggs).first()
-            aggs = []
-            for k, t in enumerate(large):
-                x = _xcol(cols[t[0]])
-                inside_x = F.when((x >= F.lit(lo[t])) & (x <= F.lit(hi[t])), x)
-                m = max(sizes[f"c{k}"] - 1, 1)
-                p = (t[1] - below.get(t, 0)) / m if np.isfinite(lo[t]) else t[1] / m
-                aggs.append(F.percentile_approx(inside_x, [max(0.0, p - eps), min(1.0, p + eps)],
-                                                SELECT_ACCURACY).alias(f"b{k}"))
-            r2 = df.agg(*aggs).first()
-            for k, t in enumerate(large):
-                b = r2[f"b{k}"]
-                if b is not None and b[0] is not None:
-                    lo[t] = b[0] if np.isfinite(lo[t]) or b[0] is not None else lo[t]
-                    hi[t] = b[1]
-        pending = large
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), _xcol(name).alias("v")) for i, name in enumerate(cols)])
+    times = c(weight).cast("long") if weight else F.lit(1).cast("long")
+    counts = (df.select(F.explode(cells).alias("s"), times.alias("w")).select("s.i", "s.v", "w")
+              .where(F.col("v").isNotNull()).groupBy("i", "v").agg(F.sum("w").alias("n")))
+    ranged = cut_lineage(counts.repartitionByRange(n, "i", "v").sortWithinPartitions("i", "v")
+                         .withColumn("pid", F.spark_partition_id()))
+    parts = sorted((r["i"], r["pid"], r["n"]) for r in ranged.groupBy("i", "pid").agg(F.sum("n").alias("n")).collect())
+    totals = [sum(x for j, _, x in parts if j == i) for i in range(len(cols))]
+    wanted: dict[int, dict[int, list]] = {}
+    for i, total in enumerate(totals):
+        ranks = sorted({int(f((total - 1) * q)) for q in qs for f in (np.floor, np.ceil)}) if total else []
+        before = 0
+        for j, pid, size in parts:
+            if j == i:
+                for r in ranks:
+                    if before <= r < before + size:
+                        wanted.setdefault(pid, {}).setdefault(i, []).append((r, r - before))
+                before += size
+
+    def read(batches):
+        seen: dict = {}
+        for pdf in batches:
+            out = []
+            for (pid, i), g in pdf.groupby(["pid", "i"], sort=False):
+                start = seen.get((pid, i), 0)
+                ends = start + g["n"].cumsum().to_numpy()
+                seen[(pid, i)] = int(ends[-1])
+                for rank, local in wanted.get(int(pid), {}).get(int(i), []):
+                    if start <= local < ends[-1]:
+                        out.append((int(i), rank, float(g["v"].iloc[int(np.searchsorted(ends, local, side="right"))])))
+            yield pd.DataFrame(out, columns=["i", "rank", "v"])
+
+    found = {(r["i"], r["rank"]): r["v"] for r in ranged.where(F.col("pid").isin(list(wanted)))
+             .mapInPandas(read, "i int, rank long, v double").collect()} if wanted else {}
     out = {}
     for i, name in enumerate(cols):
-        n = totals[i]
-        if not n:
-            out[name] = [None] * len(qs)
-            continue
         vals = []
-        for q in qs:
-            h = (n - 1) * q
-            a, b_ = int(np.floor(h)), int(np.ceil(h))
-            va, vb = found[(i, a)], found[(i, b_)]
-            vals.append(va if a == b_ else (b_ - h) * va + (h - a) * vb)
-        out[name] = vals
+        for q in qs if totals[i] else []:
+            h = (totals[i] - 1) * q
+            a, b = int(np.floor(h)), int(np.ceil(h))
+            vals.append(found[(i, a)] if a == b else (b - h) * found[(i, a)] + (h - a) * found[(i, b)])
+        out[name] = vals or [None] * len(qs)
     return out

@@ -130,7 +130,8 @@ def v6c(spark, sf_dir):
 
 
 register("v6_pr_curve", with_flows(f"""
-SELECT s AS threshold, {_div('tp', 'pos')} AS recall, {_div('tp', 'tp + fp')} AS precision FROM cu""",
+SELECT s AS threshold, {_div('tp', 'pos')} AS recall, {_div('tp', 'tp + fp')} AS precision FROM cu
+UNION ALL SELECT NULL, 0e0, 1e0""",
                                    M_CTE, G_CTE, CUM_CTE))
 
 
@@ -207,7 +208,11 @@ FROM m""", M_CTE))
 
 @query("v11_error_vs_prob")
 def v11(spark, sf_dir):
-    return V.error_vs_prob(scored(spark, sf_dir), "flow_id", "score", "ml_prob", "is_apt", fraction=0.05)
+    return V.error_vs_prob(scored(spark, sf_dir), "flow_id", "score", "ml_prob", "is_apt")
+
+
+register("v11_error_vs_prob", with_flows("""
+SELECT flow_id, score AS error, ml_prob AS probability, is_apt AS label FROM m""", M_CTE))
 
 
 # --- comparison ----------------------------------------------------------------------
@@ -402,18 +407,26 @@ register("w2_drift_flags", with_flows("SELECT batch, f1, baseline_f1, degraded F
 
 @query("w3_adaptation_triggers")
 def w3(spark, sf_dir):
-    flags = W.drift_flags(_history(spark, sf_dir), threshold=0.02)
-    return W.adaptation_triggers(flags, buffer_rows=5000).select("batch", "degraded", "buffered_rows", "retrain")
+    out = W.adaptation_triggers(_history(spark, sf_dir), buffer_rows=5000, threshold=0.02)
+    return out.select("batch", "baseline_f1", "degraded", "buffered_rows", "retrain")
+
+
+W3_CTE = """hh AS (SELECT batch, samples, f1, row_number() OVER (ORDER BY batch) AS rn FROM h),
+fo AS (SELECT rn, batch, samples, f1, f1 AS baseline_f1, false AS degraded, CAST(0 AS BIGINT) AS buffered_rows, false AS retrain FROM hh WHERE rn = 1
+  UNION ALL
+  SELECT rn, batch, samples, f1, baseline_f1, degraded, CAST(kept + CASE WHEN degraded THEN samples ELSE 0 END AS BIGINT),
+    degraded AND kept + samples >= 5000
+  FROM (SELECT n.rn, n.batch, n.samples, n.f1, CASE WHEN p.retrain THEN n.f1 ELSE p.baseline_f1 END AS baseline_f1,
+      NOT p.retrain AND coalesce(n.f1 < p.baseline_f1 - 0.02, false) AS degraded, CASE WHEN p.retrain THEN 0 ELSE p.buffered_rows END AS kept
+    FROM fo p JOIN hh n ON n.rn = p.rn + 1) s)"""
+
 
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
 
-W3_CTE = """fl AS (SELECT batch, samples, f1, coalesce(f1 < (SELECT f1 FROM h ORDER BY batch LIMIT 1) - 0.02, false) AS degraded
-  FROM h),
-tr AS (SELECT batch, degraded, CAST(sum(CASE WHEN degraded THEN samples ELSE 0 END) OVER (ORDER BY batch) AS BIGINT) AS buffered_rows,
-  CASE WHEN degraded THEN samples ELSE 0 END AS dr FROM fl)"""
 
-register("w3_adaptation_triggers", with_flows("""
-SELECT batch, degraded, buffered_rows, degraded AND floor(buffered_rows / 5000) > floor((buffered_rows - dr) / 5000) AS retrain
-FROM tr""", M_CTE, HIST_CTE, W3_CTE))
+register("w3_adaptation_triggers", _recursive(with_flows("""
+SELECT batch, baseline_f1, degraded, buffered_rows, retrain FROM fo""", M_CTE, HIST_CTE, W3_CTE)))
 
 
 @query("w5_split_batches")
@@ -428,15 +441,13 @@ FROM flows"""))
 
 @query("w6_monitor_summary")
 def w6(spark, sf_dir):
-    flags = W.drift_flags(_history(spark, sf_dir), threshold=0.02)
-    out = W.monitor_summary(W.adaptation_triggers(flags, buffer_rows=5000))
+    out = W.monitor_summary(W.adaptation_triggers(_history(spark, sf_dir), buffer_rows=5000, threshold=0.02))
     return out.select("total_batches", "total_samples", "adaptations", r6(F.col("mean_f1")).alias("mean_f1"),
                       "first_f1", "last_f1", "f1_improvement")
 
 
-register("w6_monitor_summary", with_flows("""
-SELECT count(*) AS total_batches, CAST(sum(samples) AS BIGINT) AS total_samples,
-  count_if(degraded AND floor(buffered_rows / 5000) > floor((buffered_rows - dr) / 5000)) AS adaptations,
+register("w6_monitor_summary", _recursive(with_flows("""
+SELECT count(*) AS total_batches, CAST(sum(samples) AS BIGINT) AS total_samples, count_if(retrain) AS adaptations,
   round_even(avg(f1), 6) AS mean_f1, arg_min(f1, batch) AS first_f1, arg_max(f1, batch) AS last_f1,
   arg_max(f1, batch) - arg_min(f1, batch) AS f1_improvement
-FROM tr JOIN fl USING (batch, degraded)""", M_CTE, HIST_CTE, W3_CTE))
+FROM fo""", M_CTE, HIST_CTE, W3_CTE)))

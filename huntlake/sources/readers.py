@@ -23,13 +23,13 @@ def scan_log_csv(spark: SparkSession, path: str, time_format: str = LOG_TIME_FOR
     schema = T.StructType(S.LOG_SCHEMA_RAW.fields + [T.StructField(CORRUPT, T.StringType())])
     raw = (spark.read.schema(schema).option("header", False).option("mode", "PERMISSIVE")
            .option("columnNameOfCorruptRecord", CORRUPT).csv(path))
-    parsed = raw.withColumn("timestamp", F.try_to_timestamp(F.col("timestamp"), F.lit(time_format)))
+    text = F.concat_ws(",", *[F.coalesce(F.col(n).cast("string"), F.lit("")) for n in ("timestamp", "source", "destination", "event")])
+    parsed = raw.withColumn("__raw", F.coalesce(F.col(CORRUPT), text)).withColumn("timestamp", F.try_to_timestamp(F.col("timestamp"), F.lit(time_format)))
     bad_row = F.col(CORRUPT).isNotNull() | F.col("timestamp").isNull()
-    good = parsed.where(~bad_row).drop(CORRUPT)
+    good = parsed.where(~bad_row).drop(CORRUPT, "__raw")
     if not with_quarantine:
         return good
-    bad = parsed.where(bad_row).select(F.coalesce(F.col(CORRUPT), F.concat_ws(",", *[
-        F.col(n).cast("string") for n in ("timestamp", "source", "destination", "event")])).alias("raw"))
+    bad = parsed.where(bad_row).select(F.col("__raw").alias("raw"))
     return good, bad
 
 

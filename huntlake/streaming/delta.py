@@ -20,9 +20,11 @@ def stream_flow_delta(df: DataFrame, src_col: str, dst_col: str, time_col: str =
                       key_col: str = "log_id", ttl_seconds: int = 3600) -> DataFrame:
     """Per row: flow key, row key, epoch seconds and the delta to the flow's previous
     row (rows of a micro-batch are ordered by (time, key); across batches the state
-    carries the last time). Needs a watermark on ``time_col``."""
+    carries the last time). Needs a watermark on ``time_col``. A row without a time has
+    no place in its flow: it takes no part here, and the ingest keeps it aside (W7)."""
     keyed = df.select(flow_key(src_col, dst_col).alias("flow_id"), F.col(key_col).cast("long").alias("row_key"),
-                      (F.unix_micros(F.col(time_col)).cast("double") / 1e6).alias("t"), F.col(time_col))
+                      (F.unix_micros(F.col(time_col)).cast("double") / 1e6).alias("t"), F.col(time_col)) \
+        .where(F.col(time_col).isNotNull())
 
     def step(key, batches, state):
         if state.hasTimedOut:
