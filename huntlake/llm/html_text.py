@@ -44,21 +44,14 @@ FEATURES = ("words", "link_density", "previous_words", "previous_link_density",
 #: place of a block: inside an article, on a page without one, or outside on a page that has one
 INSIDE, NO_ARTICLE, OUTSIDE = 2, 1, 0
 
-#: The labelled table: FEATURES, then 1 for main text.
-LABELLED = [
-    # page with an article: paragraphs, headings, short lines and lists in it
-    (45, 0, 9, 0, 60, 0, INSIDE, 0, 1), (9, 0, 8, 0, 45, 0, INSIDE, 0, 1), (1, 0, 30, 0, 40, 0, INSIDE, 0, 1), (6, 0, 80, 0, 5, 0, INSIDE, 0, 1),
-    (120, 0.02, 1, 0, 9, 0, INSIDE, 0, 1), (4, 0, 0, 0, 0, 0, INSIDE, 0, 1), (14, 0.5, 40, 0, 50, 0, INSIDE, 0, 1), (3, 1, 60, 0, 70, 0.1, INSIDE, 0, 1),
-    (30, 0.1, 3, 1, 12, 0.2, INSIDE, 0, 1), (8, 0, 25, 0, 15, 0, INSIDE, 0, 1), (2, 0, 2, 0, 2, 0, INSIDE, 0, 1), (300, 0, 90, 0, 14, 0, INSIDE, 0, 1),
-    (5, 0, 3, 1, 40, 0, INSIDE, 0, 1), (8, 0, 2, 1, 2, 1, INSIDE, 0, 1), (1, 0, 4, 1, 0, 0, INSIDE, 0, 1), (3, 0, 6, 0.6, 2, 0, INSIDE, 0, 1), (9, 0, 5, 1, 3, 1, INSIDE, 0, 1),
-    (2, 0, 0, 0, 0, 0, INSIDE, 0, 1), (7, 0, 3, 0, 4, 0, INSIDE, 0, 1), (5, 1, 2, 1, 2, 1, INSIDE, 0, 1),
-    # boilerplate elements, wherever they stand
-    (1, 1, 1, 1, 1, 1, OUTSIDE, 1, 0), (8, 0, 1, 1, 11, 0, OUTSIDE, 1, 0), (16, 0, 60, 0, 0, 0, OUTSIDE, 1, 0), (40, 0, 30, 0, 35, 0, INSIDE, 1, 0),
-    (12, 0, 80, 0, 6, 0, INSIDE, 1, 0), (70, 0, 12, 0, 40, 0, INSIDE, 1, 0), (3, 1, 2, 1, 3, 1, NO_ARTICLE, 1, 0), (60, 0, 50, 0, 45, 0, NO_ARTICLE, 1, 0), (50, 0, 2, 1, 2, 1, NO_ARTICLE, 1, 0), (45, 0, 0, 0, 0, 0, NO_ARTICLE, 1, 0),
-    (25, 0.1, 4, 0, 5, 0, NO_ARTICLE, 1, 0), (5, 0, 40, 0, 30, 0, INSIDE, 1, 0), (90, 0, 20, 0, 10, 0, OUTSIDE, 1, 0), (30, 0, 2, 1, 7, 0, NO_ARTICLE, 1, 0),
-    # outside the article of a page that has one
-    (10, 0, 1, 1, 9, 0, OUTSIDE, 0, 0), (35, 0, 5, 0, 8, 0, OUTSIDE, 0, 0), (4, 0.5, 60, 0, 6, 0, OUTSIDE, 0, 0), (80, 0, 20, 0, 3, 1, OUTSIDE, 0, 0), (2, 0, 2, 1, 30, 0, OUTSIDE, 0, 0),
-    (4, 0, 2, 1, 60, 0, OUTSIDE, 0, 0), (2, 0, 0, 0, 45, 0, OUTSIDE, 0, 0), (8, 0, 30, 0, 50, 0, OUTSIDE, 0, 0), (6, 0, 1, 1, 90, 0, OUTSIDE, 0, 0),
+#: The labelled table: FEATURES, then 1 for main text. Where the place decides, blocks of all
+#: shapes between neighbours of all shapes are labelled alike: under boilerplate and outside
+#: the article of a page that has one nothing is main text, inside an article everything is.
+_SHAPES = ((1, 0), (2, 1), (8, 0), (40, 0), (40, 0.5), (120, 0.02))
+_NEIGHBOURS = ((0, 0), (3, 1), (50, 0))
+LABELLED = [(*own, *before, *after, place, boiler, label)
+            for place, boiler, label in ((INSIDE, 0, 1), (OUTSIDE, 0, 0), (INSIDE, 1, 0), (OUTSIDE, 1, 0), (NO_ARTICLE, 1, 0))
+            for own in _SHAPES for before in _NEIGHBOURS for after in _NEIGHBOURS] + [
     # pages without an article element: running text by length and links, short lines by their neighbours
     (40, 0, 8, 0, 50, 0, NO_ARTICLE, 0, 1), (25, 0.05, 40, 0, 30, 0, NO_ARTICLE, 0, 1), (90, 0.1, 3, 1, 60, 0, NO_ARTICLE, 0, 1), (18, 0, 70, 0, 20, 0, NO_ARTICLE, 0, 1),
     (7, 0, 40, 0, 55, 0, NO_ARTICLE, 0, 1), (4, 0, 60, 0, 35, 0, NO_ARTICLE, 0, 1), (10, 0, 30, 0, 45, 0.05, NO_ARTICLE, 0, 1), (16, 0.1, 2, 1, 33, 0, NO_ARTICLE, 0, 1),
