@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from huntlake.models import classifier as M
 from huntlake.models.encoder import LinearAutoencoder
 from huntlake.models.iforest import IsolationForest
 from huntlake.models.preprocess import preprocess_pipeline
-from huntlake.operators import flow as FL, impute as I, metrics as V, sample as X, stats
+from huntlake.operators import flow as FL, impute as I, metrics as V, monitor as W, sample as X, stats
 from huntlake.session import scratch_path
 from huntlake.sources import model_store
 from huntlake.sources.tables import flows_view, logs_view
@@ -63,8 +64,7 @@ def test_hash_and_stratified_splits_disjoint_complete(spark):
     assert tr.count() + te.count() == df.count()
 
 
-def test_exact_selection_quantiles_match_numpy(spark, monkeypatch):
-    monkeypatch.setattr(stats, "BRACKET_LIMIT", 40)
+def test_exact_quantiles_match_numpy(spark):
     df = flows_view(spark, SMALL)
     cols = ["Flow Bytes/s", "FIN Flag Count", "Packet Length Mean"]
     got = stats.exact_quantiles(df, cols, [0.0, 0.25, 0.5, 0.95, 1.0])
@@ -74,6 +74,58 @@ def test_exact_selection_quantiles_match_numpy(spark, monkeypatch):
         assert np.allclose(got[n], want, rtol=1e-12, atol=0), n
 
 
+def test_exact_quantiles_of_flags_nulls_and_weights(spark):
+    flag = spark.range(400_000).select((F.col("id") % 2).cast("double").alias("f"), F.lit(None).cast("double").alias("none"),
+                                       F.when(F.col("id") == 7, F.lit(float("nan"))).otherwise(F.lit(3.0)).alias("same"))
+    got = stats.exact_quantiles(flag, ["f", "none", "same"], [0.25, 0.5, 0.75])
+    assert got == {"f": [0.0, 0.5, 1.0], "none": [None] * 3, "same": [3.0] * 3}
+    weighted = spark.createDataFrame([(1.0, 3), (2.0, 1)], "x double, w long")
+    assert stats.quantiles(weighted, ["x"], [0.5, 1.0], weight="w") == {"x": [1.0, 2.0]}
+    assert stats.quantiles(weighted.limit(0), ["x"], [0.5]) == {"x": [None]}
+
+
+def test_forest_is_the_same_after_repartition_and_draws_small_shares(spark):
+    df = spark.range(20_000).select("id", (F.col("id") % 97).cast("double").alias("a"), F.when(F.col("id") % 5 == 0, None).otherwise(F.col("id") % 89).cast("double").alias("b"))
+    one = IsolationForest(["a", "b"], key="id", n_trees=10).fit(df)
+    two = IsolationForest(["a", "b"], key="id", n_trees=10).fit(df.repartition(7))
+    assert one.get_state()["offset"] == two.get_state()["offset"]
+    assert one.transform(df).where("anomaly_score is null").count() == 0
+    with pytest.raises(ValueError):
+        IsolationForest(["a", "b"]).fit(df)
+    share = 1e-7  # as of a few billion rows: the draw still takes its part
+    drawn = F.shiftrightunsigned(F.xxhash64(F.col("id"), F.lit(0), F.lit(42)), 1) <= F.lit(int(share * (1 << 63)))
+    assert 0 < spark.range(100_000_000).where(drawn).count() < 40
+
+
+def test_retrain_fold_clears_the_buffer_and_takes_a_new_baseline(spark):
+    def fires(f1, samples, **kw):
+        rows = [(k, s, f) for k, (f, s) in enumerate(zip(f1, samples))]
+        out = W.adaptation_triggers(spark.createDataFrame(rows, "batch long, samples long, f1 double").repartition(3), **kw).orderBy("batch").collect()
+        return [(r.degraded, r.buffered_rows, r.retrain) for r in out]
+
+    got = fires([0.9, 0.5, 0.5, 0.5, 0.2, 0.2], [700] * 6, buffer_rows=1000)
+    assert got == [(False, 0, False), (True, 700, False), (True, 1400, True), (False, 0, False), (True, 700, False), (True, 1400, True)]
+    assert fires([None, 0.5, 0.1], [10, 10, 10], buffer_rows=10)[2] == (True, 10, True)
+    both = spark.createDataFrame([("a", 0, 5, 0.9), ("a", 1, 5, 0.1), ("b", 0, 5, 0.1), ("b", 1, 5, 0.1)], "m string, batch long, samples long, f1 double")
+    assert {(r.m, r.batch): r.retrain for r in W.adaptation_triggers(both, 5, model="m").collect()} == {("a", 0): False, ("a", 1): True, ("b", 0): False, ("b", 1): False}
+
+
+def test_bad_lines_vectors_and_text_ports_are_kept(spark, tmp_path):
+    from pyspark.ml.linalg import Vectors
+
+    from huntlake.functions.heuristics import uncommon_port
+    from huntlake.sources.readers import scan_log_csv
+    from huntlake.sources.sinks import sink_predictions_csv
+
+    (tmp_path / "log.csv").write_text("not a time,1.1.1.1,2.2.2.2,user_login\n")
+    _, bad = scan_log_csv(spark, str(tmp_path / "log.csv"), with_quarantine=True)
+    assert [r.raw for r in bad.collect()] == ["not a time,1.1.1.1,2.2.2.2,user_login"]
+    sink_predictions_csv(spark.createDataFrame([(1, Vectors.dense(0.25, 0.75))], ["id", "probability"]), str(tmp_path / "out"), with_time=False)
+    assert spark.read.option("header", True).csv(str(tmp_path / "out")).first().probability == "[0.25,0.75]"
+    ports = spark.createDataFrame([("80",), ("4444",), ("x",), (None,)], "p string")
+    assert [r[0] for r in ports.select(uncommon_port("p")).collect()] == [False, True, True, True]
+
+
 def test_pipeline_save_load_roundtrip(spark):
     df = flows_view(spark, SMALL).select("flow_id", *[c(n) for n in FEATS], "Stage", "is_apt")
     model = preprocess_pipeline(target="is_apt", exclude=("flow_id",)).fit(df)
