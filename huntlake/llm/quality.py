@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from huntlake.llm.textkit import LOWER, U64, WHITE, pieces, prefix_hashes, span_hash, utf8, word_bounds
 
-SAMPLE_DOCS = 12_000
+SAMPLE_DOCS = 9_000
 BITS = 18
 BAD, GOOD, NONE = 2, 1, 0
 
@@ -197,7 +197,7 @@ def train_linear(rows: np.ndarray, feats: np.ndarray, n: int, target: np.ndarray
     """Logistic loss against soft labels over the telling features, by accelerated gradient steps.
     All other weights are zero, so a long document gathers no chance evidence; none is negative."""
     kept = telling_features(rows, feats, target, N_FEATURES)
-    place = np.full(N_FEATURES, -1)
+    place = np.full(N_FEATURES, -1, np.int32)
     place[kept] = np.arange(len(kept))
     use = place[feats] >= 0
     rows, feats = rows[use], place[feats[use]]
@@ -251,12 +251,14 @@ def fit_quality(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id
         return model
     lists = got.column("feats").combine_chunks()
     at = np.asarray(lists.offsets, np.int64)
-    feats = np.asarray(lists.flatten(), np.int64)
-    rows = np.repeat(np.arange(n), np.diff(at))
+    feats = np.asarray(lists.flatten(), np.int32)
+    rows = np.repeat(np.arange(n, dtype=np.int32), np.diff(at))
+    del lists
     shape = np.array(got.column("shape").to_pylist()).reshape(n, len(SHAPES))
     toxic = got.column("toxic").to_pylist()
     known = np.array([t is not None for t in toxic])
     label = np.array([t == 1 for t in toxic])
+    del got
     order = np.cumsum(known)
     for name, part in (("mined_a", known & (order % 2 == 0)), ("mined_b", known & (order % 2 == 1)), ("mined_stems", known)):
         if (label & part).sum() >= 10 and (part & ~label).sum() >= 10:
@@ -278,13 +280,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id
         .groupBy("task", "pattern").agg(F.sum("n").alias("n")).collect()  # at most 3 ** labellers rows a task
     votes = _votes(rows, feats, shape, model.lexicons)
     extra_rows, extra = shape_features(shape)
-    all_rows, all_feats = np.r_[rows, extra_rows], np.r_[feats, extra]
+    rows, feats = np.concatenate([rows, extra_rows.astype(np.int32)]), np.concatenate([feats, extra.astype(np.int32)])
     for task, names in TASKS.items():
         mine = sorted((r["pattern"], r["n"]) for r in counted if r["task"] == task)
         patterns, counts = np.array([p for p, _ in mine]), np.array([c for _, c in mine], float)
         model.accuracies[task], bad = estimate_accuracies(patterns, counts, len(names))
         target = bad[np.minimum(np.searchsorted(patterns, _pattern(votes[task])), len(patterns) - 1)]
-        w, b = train_linear(all_rows, all_feats, n, target)
+        w, b = train_linear(rows, feats, n, target)
         model.weights[task], model.bias[task] = w.astype(np.float32), b
     return model
 
