@@ -67,6 +67,9 @@ class MissingValueImputer(JsonEstimator):
         num_cols = [n for n in roles.numeric_columns(dataset, exclude) if not given or n in given]
         cat_cols = [n for n in roles.string_columns(dataset, exclude) if not given or n in given]
         numeric = {}
+        for name, known in (("numeric_strategy", ("mean", "median", "none")), ("categorical_strategy", ("constant", "mode", "none"))):
+            if o[name] not in known:
+                raise ValueError(f"{name} {o[name]!r} is not one of {', '.join(known)}")
         if o["numeric_strategy"] == "mean":
             aggs = [F.avg(nan_to_null(c(n))).alias(f"m{i}") for i, n in enumerate(num_cols)]
             row = dataset.agg(*aggs).first() if aggs else None

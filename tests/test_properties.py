@@ -126,6 +126,11 @@ def test_bad_lines_vectors_and_text_ports_are_kept(spark, tmp_path):
     assert [r[0] for r in ports.select(uncommon_port("p")).collect()] == [False, True, True, True]
 
 
+def test_unknown_imputation_strategy_is_an_error(spark):
+    with pytest.raises(ValueError, match="knn"):
+        I.MissingValueImputer(["Flow Bytes/s"], numeric_strategy="knn").fit(flows_view(spark, SMALL))
+
+
 def test_pipeline_save_load_roundtrip(spark):
     df = flows_view(spark, SMALL).select("flow_id", *[c(n) for n in FEATS], "Stage", "is_apt")
     model = preprocess_pipeline(target="is_apt", exclude=("flow_id",)).fit(df)
