@@ -8,6 +8,7 @@ the only driver-side state is the fitted model (trees, weights, category lists).
 from __future__ import annotations
 
 import json
+import math
 import random
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
+from pyspark.ml.tuning import TrainValidationSplit
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,11 +29,14 @@ from huntlake.functions.cols import c
 from huntlake.models.encoder import LinearAutoencoder
 from huntlake.models.preprocess import fit_preprocess
 from huntlake.operators import metrics as V
-from huntlake.operators.sample import class_weights, hash_split
+from huntlake.operators.impute import MissingValueImputer
+from huntlake.operators.sample import BUCKETS, class_weights, hash_bucket, hash_split, smote
 
 # Boosted-tree defaults of the detector configuration (rounds, depth, eta, sampling).
 GBT_DEFAULTS = {"maxIter": 100, "maxDepth": 5, "stepSize": 0.1, "subsamplingRate": 0.8,
                 "featureSubsetStrategy": "0.8", "seed": 42}
+# Labelled rows that the boosted trees and the tuning of the queries are fitted on, at most.
+FIT_ROWS = 20_000
 
 
 def boosted_classifier(features: str = "features", label: str = "label", weight: str | None = None,
@@ -50,6 +54,32 @@ def boosted_classifier(features: str = "features", label: str = "label", weight:
     return gbt
 
 
+def with_validation_flag(df: DataFrame, key: str, fraction: float = 0.2, seed: int = 43) -> DataFrame:
+    """Marks the rows that early stopping validates on, by a hash of the key."""
+    return df.withColumn("is_validation", hash_bucket(key, seed) < int(fraction * BUCKETS))
+
+
+def bounded_rows(df: DataFrame, key: str, rows: int | None, seed: int = 44) -> DataFrame:
+    """A hash sample of about ``rows`` labelled rows for a fit (all of them if there are fewer, or if None)."""
+    n = df.count() if rows else 0
+    if not rows or n <= rows:
+        return df
+    whole = F.xxhash64(c(key), F.lit(seed))
+    return df.where(whole <= int(rows / n * 2.0 ** 64 - 2.0 ** 63))
+
+
+def fit_scorer(df: DataFrame, features: list[str], target: str, key: str, fit_rows: int | None = FIT_ROWS, **params) -> PipelineModel:
+    """M8: median imputer, assembler and boosted trees with early stopping as one model.
+    The imputer sees all rows, the trees a hash sample of ``fit_rows`` labelled ones."""
+    imputer = MissingValueImputer(features, numeric_strategy="median", categorical_strategy="none").fit(df)
+    assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
+    sample = with_validation_flag(bounded_rows(df, key, fit_rows), key)
+    data = assembler.transform(imputer.transform(sample)).select("features", c(target).cast("double").alias("label"), "is_validation")
+    gbt = boosted_classifier(validation="is_validation", **params).fit(data.persist(StorageLevel.MEMORY_AND_DISK))
+    data.unpersist()
+    return PipelineModel(stages=[imputer, assembler, gbt])
+
+
 def score(model, df: DataFrame, threshold: float = 0.5, prob_col: str = "apt_probability",
           pred_col: str = "apt_prediction") -> DataFrame:
     """M9: probability of the positive class and the strict threshold label."""
@@ -179,18 +209,16 @@ def explain_rows(model, df: DataFrame, key: str, names: list[str], features: str
 
 # --- M13: tuning ---------------------------------------------------------------------
 
-def tune(train: DataFrame, label: str = "label", features: str = "features", n_trials: int = 4,
+def tune(train: DataFrame, label: str = "label", features: str = "features", n_trials: int = 50,
          seed: int = 42, parallelism: int = 2, base: dict | None = None):
-    """Validation AUC over a seeded random subset of a parameter grid."""
+    """Validation AUC of ``n_trials`` seeded random draws from the parameter space
+    (depth, step, row and feature sampling, rows and gain a split needs)."""
     gbt = boosted_classifier(features, label, **(base or {}))
-    grid = (ParamGridBuilder()
-            .addGrid(gbt.maxDepth, [3, 4, 5, 6])
-            .addGrid(gbt.stepSize, [0.05, 0.1, 0.2])
-            .addGrid(gbt.subsamplingRate, [0.6, 0.8, 1.0])
-            .addGrid(gbt.minInstancesPerNode, [1, 5])
-            .build())
     rnd = random.Random(seed)
-    trials = rnd.sample(grid, min(n_trials, len(grid)))
+    trials = [{gbt.maxDepth: rnd.randint(3, 10), gbt.stepSize: math.exp(rnd.uniform(math.log(0.01), math.log(0.3))),
+               gbt.subsamplingRate: rnd.uniform(0.5, 1.0), gbt.featureSubsetStrategy: f"{rnd.uniform(0.5, 1.0):.3f}",
+               gbt.minInstancesPerNode: rnd.randint(1, 10), gbt.minInfoGain: math.exp(rnd.uniform(math.log(1e-8), 0.0))}
+              for _ in range(n_trials)]
     evaluator = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction",
                                               metricName="areaUnderROC", numBins=0)
     tvs = TrainValidationSplit(estimator=gbt, estimatorParamMaps=trials, evaluator=evaluator, trainRatio=0.8,
@@ -205,9 +233,16 @@ def tune(train: DataFrame, label: str = "label", features: str = "features", n_t
 
 def train_detector(df: DataFrame, target: str = "is_apt", key: str = "flow_id", exclude: tuple[str, ...] = (),
                    k: int | None = None, test_fraction: float = 0.2, seed: int = 42, threshold: float = 0.5,
-                   balance: bool = True, **gbt_params):
+                   balance: bool = True, smote_ratio: float | None = None, fit_rows: int | None = None, **gbt_params):
     """Split -> fit preparation -> encoder (+threshold) -> stack -> boosted trees
-    -> metrics on the held-out split. Returns (PipelineModel, feature names, metrics)."""
+    -> metrics on the held-out split. Returns (PipelineModel, feature names, metrics).
+
+    A fifth of the training rows validates for early stopping. Classes are balanced by
+    weights, or, with ``smote_ratio``, by synthetic minority rows (X3) beside the rows the
+    trees are fitted on. ``fit_rows`` bounds the labelled rows of the trees by a hash
+    sample; preparation, encoder and metrics see all rows. Metrics hold the classifier
+    and the encoder's flag side by side (V9).
+    """
     train, test = hash_split(df, key, 1.0 - test_fraction, seed)
     train = train.persist(StorageLevel.MEMORY_AND_DISK)
     prep, names = fit_preprocess(train, target=target, exclude=(key,) + tuple(exclude))
@@ -217,19 +252,40 @@ def train_detector(df: DataFrame, target: str = "is_apt", key: str = "flow_id",
     k_eff = len(enc.get_state()["components"])
     stack_cols = names + ["reconstruction_error"] + [f"encoded_{i}" for i in range(k_eff)]
     assembler = VectorAssembler(inputCols=stack_cols, outputCol="features", handleInvalid="keep")
-    assembled = assembler.transform(enc.transform(ptrain)).withColumn("label", c(target).cast("double"))
+    stacked = with_validation_flag(enc.transform(bounded_rows(ptrain, key, fit_rows)), key)
+    if smote_ratio is not None:
+        numeric = stacked.select(c(key), *[c(n).cast("double").alias(n) for n in stack_cols], c(target).cast("double").alias("label"),
+                                 "is_validation")
+        made = smote(numeric.where(~F.col("is_validation")), key, "label", stack_cols, 1.0, smote_ratio, seed=seed)
+        stacked = numeric.drop(key).unionByName(made.drop("synthetic").withColumn("is_validation", F.lit(False)))
+    else:
+        stacked = stacked.withColumn("label", c(target).cast("double"))
+    assembled = assembler.transform(stacked)
     weight = None
-    if balance:
+    if balance and smote_ratio is None:
         assembled = class_weights(assembled, "label", "weight")
         weight = "weight"
-    assembled = assembled.persist(StorageLevel.MEMORY_AND_DISK)
-    gbt = boosted_classifier("features", "label", weight=weight, **gbt_params).fit(assembled)
+    assembled = assembled.select("features", "label", "is_validation", *([weight] if weight else [])).persist(StorageLevel.MEMORY_AND_DISK)
+    gbt = boosted_classifier("features", "label", weight=weight, validation="is_validation", **gbt_params).fit(assembled)
     assembled.unpersist()
     ptrain.unpersist()
     train.unpersist()
     model = PipelineModel(stages=list(prep.stages) + [enc, assembler, gbt])
-    scored_test = score(model, test.withColumn("label", c(target).cast("double")), threshold)
-    metrics = V.binary_metrics(scored_test, target, "apt_prediction", detector="classifier")
-    auc = V.roc_auc(scored_test, target, "apt_probability").select(
-        F.lit("classifier").alias("detector"), F.lit("roc_auc").alias("metric"), F.col("roc_auc").alias("value"))
-    return model, stack_cols, metrics.unionByName(auc)
+    return model, stack_cols, detector_metrics(score(model, test, threshold), target)
+
+
+def detector_metrics(scored: DataFrame, target: str = "is_apt") -> DataFrame:
+    """V9 on rows scored by a trained detector: classifier and encoder, with their ROC AUC."""
+    return V.combined_vs_encoder(scored, target, "apt_prediction", "is_anomaly", "apt_probability", "reconstruction_error")
+
+
+def training_report(model: PipelineModel, names: list[str], metrics: DataFrame, scored: DataFrame) -> DataFrame:
+    """The result document of a training as one nested row for S9: feature importance,
+    summary of the reconstruction errors with the threshold, and the metrics."""
+    threshold = model.stages[-3].get_state()["threshold"]
+    importance = feature_importance(model.stages[-1], names, None).agg(
+        F.sort_array(F.collect_list(F.struct("importance", "feature")), asc=False).alias("feature_importance"))
+    errors = V.error_summary(scored, {"reconstruction_error": "reconstruction_error"}, None).select(
+        F.struct("mean", "std", "min", "max", F.lit(threshold).alias("anomaly_threshold")).alias("reconstruction_errors"))
+    performance = metrics.agg(F.sort_array(F.collect_list(F.struct("detector", "metric", "value"))).alias("performance"))
+    return importance.join(errors).join(performance)

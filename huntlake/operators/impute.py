@@ -1,4 +1,4 @@
-"""Missing values (I1, I2, I4, I5; I3 in ``operators.knn``).
+"""Missing values (I1-I5; the neighbour search of I3 is in ``operators.knn``).
 
 Numeric strategy 'mean' / 'median' fits one aggregation over all numeric
 columns; categorical 'mode' fits one value-count job over all string columns
@@ -14,7 +14,9 @@ from huntlake import schemas as S
 from huntlake.functions.cols import c, nan_to_null
 from huntlake.operators import roles
 from huntlake.operators.fitted import JsonEstimator, JsonModel
+from huntlake.operators.knn import donor_vectors, fill_from_neighbours
 from huntlake.operators.stats import quantiles
+from huntlake.session import scratch_path
 
 
 def value_counts_long(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -40,6 +42,9 @@ class MissingValueImputerModel(JsonModel):
     def _transform(self, dataset: DataFrame) -> DataFrame:
         st = self.get_state()
         num, cat = st.get("numeric", {}), st.get("categorical", {})
+        if knn := st.get("knn"):
+            donors = dataset.sparkSession.read.parquet(knn["path"])
+            dataset = fill_from_neighbours(dataset, knn["cols"], donors, knn["k"])
         cols = []
         for n in dataset.columns:
             if n in num and num[n] is not None:
@@ -53,12 +58,15 @@ class MissingValueImputerModel(JsonModel):
 
 
 class MissingValueImputer(JsonEstimator):
-    """I1/I2/I4/I5. numeric_strategy: mean | median | none; categorical: constant | mode | none."""
+    """I1-I5. numeric_strategy: mean | median | knn | none; categorical: constant | mode | none.
+
+    'knn' keeps the distinct donor vectors as a table in the shared folder; the fitted
+    model names that table and needs it for as long as it is used."""
     model_class = MissingValueImputerModel
 
     def default_options(self):
         return {"numeric_strategy": "mean", "categorical_strategy": "constant",
-                "fill_value": S.UNKNOWN_CATEGORY, "exact": True, "exclude": []}
+                "fill_value": S.UNKNOWN_CATEGORY, "exact": True, "exclude": [], "n_neighbors": 5}
 
     def fit_state(self, dataset: DataFrame) -> dict:
         o = self.get_options()
@@ -67,7 +75,7 @@ class MissingValueImputer(JsonEstimator):
         num_cols = [n for n in roles.numeric_columns(dataset, exclude) if not given or n in given]
         cat_cols = [n for n in roles.string_columns(dataset, exclude) if not given or n in given]
         numeric = {}
-        for name, known in (("numeric_strategy", ("mean", "median", "none")), ("categorical_strategy", ("constant", "mode", "none"))):
+        for name, known in (("numeric_strategy", ("mean", "median", "knn", "none")), ("categorical_strategy", ("constant", "mode", "none"))):
             if o[name] not in known:
                 raise ValueError(f"{name} {o[name]!r} is not one of {', '.join(known)}")
         if o["numeric_strategy"] == "mean":
@@ -77,12 +85,17 @@ class MissingValueImputer(JsonEstimator):
         elif o["numeric_strategy"] == "median":
             qs = quantiles(dataset, num_cols, [0.5], exact=o["exact"])
             numeric = {n: v[0] for n, v in qs.items()}
+        neighbours = None
+        if o["numeric_strategy"] == "knn" and num_cols:
+            path = scratch_path(dataset.sparkSession, "knn-donors")
+            donor_vectors(dataset, num_cols).write.parquet(path)
+            neighbours = {"cols": num_cols, "path": path, "k": o["n_neighbors"]}
         categorical = {}
         if o["categorical_strategy"] == "constant":
             categorical = {n: o["fill_value"] for n in cat_cols}
         elif o["categorical_strategy"] == "mode":
             categorical = modes(dataset, cat_cols)
-        return {"numeric": numeric, "categorical": categorical}
+        return {"numeric": numeric, "categorical": categorical, "knn": neighbours}
 
 
 def columns_with_nulls(df: DataFrame, cols: list[str]) -> list[str]:

@@ -1,120 +1,150 @@
 """K-nearest-neighbour imputation (uniform mean of the k nearest donors under the
 NaN-aware Euclidean distance sqrt(d / present * sum of squared differences)).
 
-Exact and distributed: the rows needing a value (receivers) are cut into chunks
-of at most ``chunk_rows`` rows (a checked bound on what is broadcast); for each
-chunk every donor partition keeps only its k best donors per (receiver, column)
-in an Arrow batch loop, and one grouped aggregation merges those partial top-k
-lists. No donor-receiver pair table is ever materialised; the cost is
-receivers x donors distance evaluations, as for any exact KNN imputer.
+Exact and distributed: the distinct vectors that need a value (receivers) are the query
+set, the distinct vectors of the fit set are the donors. Both are hashed into groups of
+bounded size, each receiver group meets each donor group once, and a task keeps only the
+k best donors per (receiver, column); one aggregation merges those short lists. Nothing
+goes through the driver and no pair table is written; the cost is receivers x donors
+distance evaluations, as for any exact KNN imputer.
+
+Ties go to the donor with the smallest key; donors with equal vectors count as often as
+they occur, under the smallest of their keys. A row without any known value gets the mean
+of the donors; a column that no donor has stays NULL.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from huntlake.functions.cols import c
+from huntlake.functions.cols import c, nan_to_null
+
+GROUP_ROWS = 20_000  # vectors of a receiver or donor group, on average
+TILE_ROWS = 256  # receivers measured against a donor group at a time
+
 
-CHUNK_ROWS = 20_000
+def _vector(cols: list[str]) -> Column:
+    return F.array(*[nan_to_null(c(n).cast("double")) for n in cols])
 
 
-def _nan_dist(recv: np.ndarray, donors: np.ndarray) -> np.ndarray:
-    """(r x d) vs (m x d) -> (r x m) NaN-aware Euclidean distances."""
-    d = recv.shape[1]
-    rm, dm = ~np.isnan(recv), ~np.isnan(donors)
-    r0, d0 = np.nan_to_num(recv), np.nan_to_num(donors)
-    present = rm.astype(float) @ dm.T.astype(float)
-    sq = (r0 ** 2 * rm) @ dm.T + rm @ (d0 ** 2 * dm).T - 2.0 * r0 @ d0.T
-    sq = np.maximum(sq, 0.0)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        dist = np.sqrt(sq * d / present)
-    dist[present == 0] = np.nan
+def _group(vec: str, groups: int) -> Column:
+    """Group of a vector; a missing value counts (hashing an array skips its nulls)."""
+    return F.pmod(F.xxhash64(F.transform(vec, lambda v: F.coalesce(v.cast("string"), F.lit("?")))), F.lit(groups))
+
+
+def _distances(recv: np.ndarray, donors: np.ndarray) -> np.ndarray:
+    """(r x d) vs (m x d) -> (r x m) distances, infinite where no column is known to both.
+    Summed column after column, so a pair has the same distance in every tile and ties stay ties."""
+    sq, present = np.zeros((len(recv), len(donors))), np.zeros((len(recv), len(donors)), np.int32)
+    for j in range(recv.shape[1]):
+        diff = np.subtract.outer(recv[:, j], donors[:, j])
+        np.multiply(diff, diff, out=diff)
+        known = ~np.isnan(diff)
+        if known.all():
+            present += 1
+        else:
+            present += known
+            diff[~known] = 0.0
+        sq += diff
+    with np.errstate(invalid="ignore", divide="ignore"):
+        dist = np.sqrt(sq * recv.shape[1] / present)
+    dist[present == 0] = np.inf
     return dist
 
 
-def impute_knn(df: DataFrame, cols: list[str], key: str, k: int = 5, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Fill NULLs in ``cols`` with the mean of the k nearest donors that have the
-    column (ties broken by donor key); the fit set is ``df`` itself."""
-    spark = df.sparkSession
-    x = [c(n).cast("double") for n in cols]
-    any_null = F.lit(False)
-    for n in cols:
-        any_null = any_null | c(n).isNull()
-    receivers = df.where(any_null).select(c(key).alias("__rk"), *[v.alias(f"x{i}") for i, v in enumerate(x)])
-    n_recv = receivers.count()
-    if n_recv == 0:
-        return df
-    donors = df.select(c(key).alias("__dk"), *[v.alias(f"x{i}") for i, v in enumerate(x)])
+def _nearest(dist: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k smallest finite entries of each row, the first columns on ties."""
+    take = np.isfinite(dist)
+    if dist.shape[1] > k:
+        cut = np.partition(dist, k - 1, axis=1)[:, k - 1:k]
+        below, level = dist < cut, dist == cut
+        room = k - below.sum(1, keepdims=True)
+        take &= below | (level & (np.cumsum(level, axis=1) <= room))
+    return np.nonzero(take)
+
+
+def donor_vectors(df: DataFrame, cols: list[str], key: str | None = None) -> DataFrame:
+    """(vec, dk, n): the distinct vectors of ``df``, the smallest key of each (the vector
+    itself as text without a key column) and how often it occurs."""
+    vec = _vector(cols)
+    rows = df.select(vec.alias("vec"), (c(key) if key else vec.cast("string")).alias("dk"))
+    return rows.groupBy("vec").agg(F.min("dk").alias("dk"), F.count(F.lit(1)).alias("n"))
+
+
+def fill_from_neighbours(df: DataFrame, cols: list[str], donors: DataFrame, k: int = 5,
+                         group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Fills NULL and NaN in ``cols`` from ``donors`` (of ``donor_vectors`` on the same columns)."""
     d = len(cols)
-    n_chunks = max(1, -(-n_recv // chunk_rows))
-    cand_schema = T.StructType([
-        T.StructField("__rk", df.schema[key].dataType), T.StructField("col", T.IntegerType()),
-        T.StructField("dist", T.DoubleType()), T.StructField("dk", df.schema[key].dataType),
-        T.StructField("value", T.DoubleType())])
-    fills = []
-    for chunk in range(n_chunks):
-        part = receivers.where(F.pmod(F.xxhash64("__rk"), F.lit(n_chunks)) == chunk).collect()
-        if not part:
-            continue
-        rkeys = [r["__rk"] for r in part]
-        rx = np.array([[np.nan if r[f"x{i}"] is None else r[f"x{i}"] for i in range(d)] for r in part])
-        bc = spark.sparkContext.broadcast((rkeys, rx))
-
-        def topk(batches, bc=bc):
-            # k best donors per (receiver, column), carried across the partition's batches
-            keys, recv = bc.value
-            best: dict = {}
-            for pdf in batches:
-                if pdf.empty:
-                    continue
-                dx = pdf[[f"x{i}" for i in range(d)]].to_numpy(dtype="float64", na_value=np.nan)
-                dkeys = pdf["__dk"].to_numpy()
-                dist = _nan_dist(recv, dx)
-                for j in range(d):
-                    needs = np.flatnonzero(np.isnan(recv[:, j]))
-                    has = np.flatnonzero(~np.isnan(dx[:, j]))
-                    if needs.size == 0 or has.size == 0:
-                        continue
-                    sub = dist[np.ix_(needs, has)]
-                    for row_i, r in enumerate(needs):
-                        dr = sub[row_i]
-                        ok = np.flatnonzero(~np.isnan(dr))
-                        if ok.size == 0:
-                            continue
-                        cd, ck, cv = dr[ok], dkeys[has[ok]], dx[has[ok], j]
-                        prev = best.get((r, j))
-                        if prev is not None:
-                            cd, ck, cv = (np.concatenate([prev[0], cd]), np.concatenate([prev[1], ck]),
-                                          np.concatenate([prev[2], cv]))
-                        order = np.lexsort((ck, cd))[:k]
-                        best[(r, j)] = (cd[order], ck[order], cv[order])
-            if best:
-                rows = [(keys[r], j, float(dd), kk, float(vv)) for (r, j), (ds, ks, vs) in best.items()
-                        for dd, kk, vv in zip(ds, ks, vs)]
-                yield pd.DataFrame(rows, columns=["__rk", "col", "dist", "dk", "value"])
-
-        cands = donors.mapInPandas(topk, cand_schema)
-        best = cands.groupBy("__rk", "col").agg(
-            F.slice(F.array_sort(F.collect_list(F.struct("dist", "dk", "value"))), 1, k).alias("nn"))
-        fills.append(best.select("__rk", "col", (F.aggregate("nn", F.lit(0.0), lambda a, s: a + s["value"])
-                                                 / F.size("nn")).alias("fill")))
-    if not fills:
+    vec = _vector(cols)
+    gaps = F.exists(vec, lambda v: v.isNull())
+    receivers = df.where(gaps).select(vec.alias("vec")).distinct()
+    n_recv, n_donors = receivers.count(), donors.count()
+    if n_recv == 0 or n_donors == 0:
         return df
-    allf = fills[0]
-    for f in fills[1:]:
-        allf = allf.unionByName(f)
-    wide = allf.groupBy("__rk").agg(*[F.max(F.when(F.col("col") == i, F.col("fill"))).alias(f"__f{i}")
-                                      for i in range(d)])
-    out = df.join(wide, c(key) == F.col("__rk"), "left")
-    sel = []
-    for n in df.columns:
-        if n in cols:
-            i = cols.index(n)
-            sel.append(F.coalesce(c(n).cast("double"), F.col(f"__f{i}")).alias(n))
-        else:
-            sel.append(c(n))
-    return out.select(*sel)
+    recv_groups, donor_groups = -(-n_recv // group_rows), -(-n_donors // group_rows)
+    left = receivers.select("vec", _group("vec", recv_groups).alias("r"),
+                            F.explode(F.sequence(F.lit(0).cast("long"), F.lit(donor_groups - 1).cast("long"))).alias("g"))
+    right = donors.select("vec", "dk", "n", _group("vec", donor_groups).alias("g"),
+                          F.explode(F.sequence(F.lit(0).cast("long"), F.lit(recv_groups - 1).cast("long"))).alias("r"))
+    key_type = donors.schema["dk"].dataType
+    found = T.StructType([T.StructField("vec", T.ArrayType(T.DoubleType())), T.StructField("col", T.IntegerType()),
+                          T.StructField("dist", T.DoubleType()), T.StructField("dk", key_type),
+                          T.StructField("value", T.DoubleType()), T.StructField("n", T.LongType())])
+
+    def best(recv: pa.Table, near: pa.Table) -> pa.Table:
+        near = near.sort_by("dk")
+        rx = pc.list_flatten(recv["vec"]).to_numpy().reshape(-1, d)
+        dx = pc.list_flatten(near["vec"]).to_numpy().reshape(-1, d)
+        parts = []
+        for j in range(d):
+            needs, has = np.flatnonzero(np.isnan(rx[:, j])), np.flatnonzero(~np.isnan(dx[:, j]))
+            if not len(has):
+                continue
+            for start in range(0, len(needs), TILE_ROWS):
+                tile = needs[start:start + TILE_ROWS]
+                dist = _distances(rx[tile], dx[has])
+                row, at = _nearest(dist, k)
+                chosen = has[at]
+                parts.append(pa.table([
+                    recv["vec"].take(pa.array(tile[row])), pa.array(np.full(len(row), j, np.int32)), pa.array(dist[row, at]),
+                    near["dk"].take(pa.array(chosen)), pa.array(dx[chosen, j]), near["n"].take(pa.array(chosen))],
+                    names=["vec", "col", "dist", "dk", "value", "n"]))
+        if parts:
+            return pa.concat_tables(parts)
+        return pa.table([recv["vec"].slice(0, 0), pa.array([], pa.int32()), pa.array([], pa.float64()), near["dk"].slice(0, 0),
+                         pa.array([], pa.float64()), pa.array([], pa.int64())], names=["vec", "col", "dist", "dk", "value", "n"])
+
+    found_rows = left.groupBy("r", "g").cogroup(right.groupBy("r", "g")).applyInArrow(best, found)
+    merged = found_rows.groupBy("vec", "col").agg(
+        F.slice(F.array_sort(F.collect_list(F.struct("dist", "dk", "value", "n"))), 1, k).alias("near"))
+    start = F.struct(F.lit(k).cast("long").alias("room"), F.lit(0.0).alias("total"))
+
+    def add(acc, s):
+        used = F.least(acc["room"], s["n"])
+        return F.struct((acc["room"] - used).alias("room"), (acc["total"] + used * s["value"]).alias("total"))
+
+    fills = merged.select("vec", "col", F.aggregate("near", start, add, lambda acc: acc["total"] / (k - acc["room"])).alias("fill"))
+    wide = fills.groupBy("vec").agg(*[F.max(F.when(F.col("col") == j, F.col("fill"))).alias(f"__fill{j}") for j in range(d)])
+    weight = [F.when(F.col("vec")[j].isNotNull(), F.col("n")) for j in range(d)]
+    means = donors.agg(*[(F.sum(F.col("vec")[j] * F.col("n")) / F.sum(weight[j])).alias(f"m{j}") for j in range(d)]).first()
+
+    def filled(fill) -> list[Column]:
+        return [F.coalesce(nan_to_null(c(n).cast("double")), fill(cols.index(n)), F.lit(means[cols.index(n)])).alias(n)
+                if n in cols else c(n) for n in df.columns]
+
+    # complete rows are not moved at all
+    whole = df.where(~gaps).select(*filled(lambda j: F.lit(None).cast("double")))
+    mended = df.where(gaps).join(wide.withColumnRenamed("vec", "__vec"), vec == F.col("__vec"), "left") \
+        .select(*filled(lambda j: F.col(f"__fill{j}")))
+    return whole.unionByName(mended)
+
+
+def impute_knn(df: DataFrame, cols: list[str], key: str, k: int = 5, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Fills NULLs in ``cols`` with the mean of the k nearest donors that have the
+    column (ties broken by donor key); the fit set is ``df`` itself."""
+    return fill_from_neighbours(df, cols, donor_vectors(df, cols, key), k, group_rows)

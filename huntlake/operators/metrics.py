@@ -207,8 +207,10 @@ def error_vs_prob(df: DataFrame, key: str, error: str | Column, prob: str | Colu
         c(truth).alias("label"))
 
 
-def combined_vs_encoder(df: DataFrame, truth: str, classifier_pred: str, anomaly_pred: str) -> DataFrame:
-    """V9: V2 for the classifier and for the anomaly flag side by side (one job)."""
+def combined_vs_encoder(df: DataFrame, truth: str, classifier_pred: str, anomaly_pred: str,
+                        classifier_score: str | None = None, anomaly_score: str | None = None) -> DataFrame:
+    """V9: V2 for the classifier and for the anomaly flag side by side (one job), and
+    the ROC AUC of each score that is given."""
     y = c(truth).cast("int")
     aggs = []
     for tag, col in (("c", classifier_pred), ("a", anomaly_pred)):
@@ -221,7 +223,12 @@ def combined_vs_encoder(df: DataFrame, truth: str, classifier_pred: str, anomaly
         m = metric_columns(*[F.col(f"{tag}{k}") for k in ("tp", "fp", "tn", "fn")])
         structs += [F.struct(F.lit(name).alias("detector"), F.lit(k).alias("metric"), m[k].alias("value"))
                     for k in METRICS]
-    return wide.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
+    out = wide.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
+    for name, score in (("classifier", classifier_score), ("anomaly", anomaly_score)):
+        if score is not None:
+            out = out.unionByName(roc_auc(df, truth, score).select(
+                F.lit(name).alias("detector"), F.lit("roc_auc").alias("metric"), F.col("roc_auc").alias("value")))
+    return out
 
 
 def anomaly_threshold(df: DataFrame, error: str, q: float = 0.95, exact: bool = True) -> float:

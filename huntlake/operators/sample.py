@@ -19,6 +19,8 @@ from huntlake.functions.cols import c
 from huntlake.operators.prefix import row_numbers, running_sums
 
 BUCKETS = 1_000_000
+BLOCK_ROWS = 4_096  # rows of one neighbour search of SMOTE
+COPY_ROWS = 10_000  # synthetic rows made from one row in one go
 
 
 def hash_bucket(key: str, seed: int = 42):
@@ -72,75 +74,69 @@ def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
 
 
 def smote(df: DataFrame, key: str, label: str, features: list[str], minority=1, ratio: float = 1.0,
-          k: int = 5, seed: int = 42, num_partitions: int | None = None) -> DataFrame:
+          k: int = 5, seed: int = 42) -> DataFrame:
     """Add synthetic minority rows until minority / majority reaches ``ratio``.
 
     Each synthetic row is x + u * (nn - x), nn one of the k nearest minority rows
     among the 2k neighbours in projection order, u uniform in [0, 1) from a hash.
-    Returns only the synthetic rows (key NULL, ``synthetic`` = true); union them
-    with the input to train.
+    Exactly the missing number of rows comes out, the same ones for any number of
+    partitions. With fewer than two minority rows there is nothing to draw between:
+    the result is empty. Returns only the synthetic rows (``synthetic`` = true);
+    union them with the input to train.
     """
     counts = {r[0]: r[1] for r in df.groupBy(c(label)).count().collect()}
     n_min = counts.get(minority, 0)
     n_maj = sum(v for kk, v in counts.items() if kk != minority)
     need = int(max(0, round(ratio * n_maj) - n_min))
-    spark = df.sparkSession
     out_schema = T.StructType([T.StructField(f, T.DoubleType()) for f in features]
                               + [T.StructField(label, df.schema[label].dataType),
                                  T.StructField("synthetic", T.BooleanType())])
     if n_min < 2 or need == 0:
-        return spark.createDataFrame([], out_schema)
-    rng = np.random.default_rng(seed)
-    direction = rng.normal(size=len(features))
+        return df.sparkSession.createDataFrame([], out_schema)
+    direction = np.random.default_rng(seed).normal(size=len(features))
+    x = [F.coalesce(c(f).cast("double"), F.lit(0.0)) for f in features]
     proj = F.lit(0.0)
-    for w, f in zip(direction, features):
-        proj = proj + F.lit(float(w)) * F.coalesce(c(f).cast("double"), F.lit(0.0))
-    per_row, extra = divmod(need, n_min)
+    for w, v in zip(direction, x):
+        proj = proj + F.lit(float(w)) * v
     mins = df.where(c(label) == F.lit(minority)).select(
-        *[F.coalesce(c(f).cast("double"), F.lit(0.0)).alias(f) for f in features],
-        proj.alias("__proj"), hash_bucket(key, seed).alias("__h"), c(key).alias("__key"))
-    # the first `extra` rows in hash order make one more sample (distributed row numbers)
-    if extra:
-        mins = row_numbers(mins, ["__h", "__key"], out="__rn")
-        mins = mins.withColumn("__m", F.lit(per_row) + F.when(F.col("__rn") <= extra, 1).otherwise(0)).drop("__rn")
-    else:
-        mins = mins.withColumn("__m", F.lit(per_row))
-    mins = mins.drop("__key")
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = mins.repartitionByRange(n, "__proj", "__h").sortWithinPartitions("__proj", "__h")
-    lab_value = minority
-
-    def synth(batches):
-        # one range partition (bounded by the partition size), contiguous in projection order
-        parts = list(batches)
-        if not parts:
-            return
-        pdf = pd.concat(parts, ignore_index=True)
-        if pdf.empty:
-            return
-        x = pdf[features].to_numpy(dtype="float64")
-        m = pdf["__m"].to_numpy()
-        h = pdf["__h"].to_numpy()
-        n_rows = len(pdf)
-        out_rows = []
-        for i in range(n_rows):
-            if m[i] <= 0:
-                continue
-            lo, hi = max(0, i - k), min(n_rows, i + k + 1)
-            cand = [j for j in range(lo, hi) if j != i]
-            if not cand:
-                continue
-            d = np.linalg.norm(x[cand] - x[i], axis=1)
-            nn = [cand[j] for j in np.argsort(d, kind="stable")[:k]]
-            r = np.random.default_rng(int(h[i]) + seed)
-            for _ in range(int(m[i])):
-                j = nn[r.integers(len(nn))]
-                u = r.random()
-                out_rows.append(x[i] + u * (x[j] - x[i]))
-        if out_rows:
-            res = pd.DataFrame(np.vstack(out_rows), columns=features)
-            res[label] = lab_value
-            res["synthetic"] = True
-            yield res
-
-    return ranged.mapInPandas(synth, out_schema)
+        F.array(*x).alias("x"), proj.alias("proj"), F.xxhash64(c(key), F.lit(seed)).alias("h"), c(key).cast("string").alias("tie"))
+    placed = row_numbers(mins, ["proj", "h", "tie"], out="rn").drop("proj", "tie")
+    # the missing rows are dealt out evenly along the order: need = per_row * n_min + extra
+    per_row, extra = divmod(need, n_min)
+    upto = lambda rn: F.expr(f"cast({rn} as decimal(19, 0)) * {extra} div {n_min}")
+    placed = placed.withColumn("m", F.lit(per_row) + upto("rn") - upto("(rn - 1)"))
+    # blocks of the order, each with the k rows on either side of it
+    size = max(BLOCK_ROWS, k)
+    block, at = F.floor((F.col("rn") - 1) / size), (F.col("rn") - 1) % size
+    homes = F.array_compact(F.array(block, F.when((at < k) & (block > 0), block - 1), F.when(at >= size - k, block + 1)))
+    blocks = placed.select("*", F.explode(homes).alias("block")).withColumn("own", F.col("block") == block)
+    d = len(features)
+
+    def neighbours(pdf):
+        pdf = pdf.sort_values("rn")
+        points = np.vstack(pdf["x"].to_numpy())
+        n = len(points)
+        steps = np.array([o for o in range(-k, k + 1) if o])
+        place = np.arange(n)[:, None] + steps
+        inside = (place >= 0) & (place < n)
+        place = np.clip(place, 0, n - 1)
+        dist = np.where(inside, np.linalg.norm(points[place] - points[:, None, :], axis=2), np.inf)
+        best = np.argsort(dist, axis=1, kind="stable")[:, :k]
+        known = np.minimum(inside.sum(1), k)
+        chosen = np.take_along_axis(place, best, axis=1)
+        own = pdf["own"].to_numpy() & (pdf["m"].to_numpy() > 0)
+        return pd.DataFrame({"h": pdf["h"].to_numpy()[own], "m": pdf["m"].to_numpy()[own], "x": pd.Series(list(points[own]), dtype=object),
+                             "near": pd.Series([points[chosen[i, :known[i]]].ravel() for i in np.flatnonzero(own)], dtype=object)})
+
+    drawn = blocks.groupBy("block").applyInPandas(neighbours, "h long, m long, x array<double>, near array<double>")
+    # a row that makes very many copies is dealt out in runs of COPY_ROWS
+    runs = drawn.select("h", "m", "x", "near", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(m - 1) div {COPY_ROWS}"))).alias("run"))
+    if per_row >= COPY_ROWS:
+        runs = runs.repartition("h", "run")
+    copies = runs.select("h", "x", "near", F.explode(F.sequence(
+        F.col("run") * COPY_ROWS + 1, F.least((F.col("run") + 1) * COPY_ROWS, F.col("m")))).alias("copy"))
+    pick = F.pmod(F.xxhash64("h", "copy", F.lit(seed)), (F.size("near") / d).cast("long"))
+    u = F.pmod(F.xxhash64("h", "copy", F.lit(seed + 1)), F.lit(1 << 52)) / float(1 << 52)
+    made = copies.select("x", F.slice("near", (pick * d + 1).cast("int"), d).alias("nn"), u.alias("u"))
+    return made.select(*[(F.col("x")[i] + F.col("u") * (F.col("nn")[i] - F.col("x")[i])).alias(f) for i, f in enumerate(features)],
+                       F.lit(minority).cast(df.schema[label].dataType).alias(label), F.lit(True).alias("synthetic"))

@@ -11,7 +11,9 @@ from huntlake import schemas as S
 from huntlake.functions.cols import c
 from huntlake.functions.logs import classify_rule
 from huntlake.functions.time import LOG_TIME_FORMAT, iso_timestamp
-from huntlake.plans.catalog import query
+from huntlake.operators import metrics as V
+from huntlake.plans.catalog import query, r6
+from huntlake.plans.q_metrics import M_CTE, _metrics_sql, scored
 from huntlake.plans.oracle import iso_sql, register, with_flows, with_logs
 from huntlake.session import scratch_path
 from huntlake.sources import readers as R, sinks as K
@@ -147,7 +149,6 @@ register("s11_attack_total", with_logs("SELECT count(*) AS total FROM logs WHERE
 
 @query("s7_sink_detections")
 def s7(spark, sf_dir):
-    from huntlake.plans.q_metrics import scored
     path = scratch_path(spark, "detections")
     preds = scored(spark, sf_dir).select("flow_id", "is_apt", F.col("ml_prob").alias("apt_probability"),
                                          "apt_prediction")
@@ -156,23 +157,31 @@ def s7(spark, sf_dir):
                                            F.col("detection_time").isNotNull().alias("has_detection_time"))
 
 
+register("s7_sink_detections", with_flows("""
+SELECT flow_id, is_apt, ml_prob AS apt_probability, apt_prediction, true AS has_detection_time FROM m""", M_CTE))
+
+
 @query("s8_sink_predictions_csv")
 def s8(spark, sf_dir):
-    from huntlake.plans.q_metrics import scored
     path = scratch_path(spark, "predictions-csv")
     preds = scored(spark, sf_dir).select("flow_id", "is_apt", F.col("ml_prob").alias("apt_probability"),
                                          "apt_prediction", F.col("score").alias("reconstruction_error"))
     K.sink_predictions_csv(preds, path)
-    return spark.read.option("header", True).option("inferSchema", False).csv(path)
+    back = spark.read.option("header", True).csv(path)
+    return back.select(F.col("flow_id").cast("long"), F.col("is_apt").cast("int"), F.col("apt_probability").cast("double"),
+                       F.col("apt_prediction").cast("int"), F.col("reconstruction_error").cast("double"),
+                       F.col("detection_time").isNotNull().alias("has_detection_time"))
+
+
+register("s8_sink_predictions_csv", with_flows("""
+SELECT flow_id, is_apt, ml_prob AS apt_probability, apt_prediction, score AS reconstruction_error,
+  true AS has_detection_time FROM m""", M_CTE))
 
 
 @query("s9_sink_report_json")
 def s9(spark, sf_dir):
-    from huntlake.operators import metrics as V
-    from huntlake.plans.q_metrics import scored
     path = scratch_path(spark, "report")
-    df = scored(spark, sf_dir)
-    wide = V.binary_metrics_wide(df, "is_apt", "apt_prediction")
+    wide = V.binary_metrics_wide(scored(spark, sf_dir), "is_apt", "apt_prediction")
 
     def cell(t, p, n):
         return F.struct(F.lit(t).alias("truth"), F.lit(p).alias("predicted"), F.col(n).alias("count"))
@@ -180,4 +189,13 @@ def s9(spark, sf_dir):
                          F.array(cell(0, 0, "tn"), cell(0, 1, "fp"), cell(1, 0, "fn"), cell(1, 1, "tp"))
                          .alias("confusion_matrix"))
     K.sink_report_json(report, path)
-    return spark.read.json(path)
+    back = spark.read.json(path)
+    return back.select(*[r6(F.col(f"metrics.{k}")).alias(k) for k in V.METRICS], F.explode("confusion_matrix").alias("cell")) \
+        .select(*V.METRICS, "cell.truth", "cell.predicted", "cell.count")
+
+
+register("s9_sink_report_json", with_flows("SELECT " + ", ".join(f"round_even({e}, 6) AS {k}" for k, e in _metrics_sql().items())
+                                           + """, truth, predicted, count FROM cc, (
+  SELECT CAST(0 AS BIGINT) AS truth, CAST(0 AS BIGINT) AS predicted, tn AS count FROM cc UNION ALL SELECT 0, 1, fp FROM cc
+  UNION ALL SELECT 1, 0, fn FROM cc UNION ALL SELECT 1, 1, tp FROM cc) cells""", M_CTE, """cc AS (SELECT count_if(is_apt = 1 AND apt_prediction = 1) AS tp, count_if(is_apt = 0 AND apt_prediction = 1) AS fp,
+  count_if(is_apt = 0 AND apt_prediction = 0) AS tn, count_if(is_apt = 1 AND apt_prediction = 0) AS fn FROM m)"""))

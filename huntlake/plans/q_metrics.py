@@ -178,16 +178,21 @@ def v9(spark, sf_dir):
     df = scored(spark, sf_dir)
     thr = V.anomaly_threshold(df, "score", 0.95)
     df = df.withColumn("anomaly", F.when(F.col("score") > thr, F.lit(1)).otherwise(F.lit(0)))
-    return V.combined_vs_encoder(df, "is_apt", "siem_detection", "anomaly")
+    out = V.combined_vs_encoder(df, "is_apt", "siem_detection", "anomaly", classifier_score="ml_prob", anomaly_score="score")
+    return out.select("detector", "metric", r6(F.col("value")).alias("value"))
 
 
 def _v9_sql():
     parts = []
-    for name, col in (("classifier", "siem_detection"), ("anomaly", "anomaly")):
+    for name, col, score in (("classifier", "siem_detection", "ml_prob"), ("anomaly", "anomaly", "score")):
         cc = (f"SELECT count_if(is_apt = 1 AND {col} = 1) AS tp, count_if(is_apt = 0 AND {col} = 1) AS fp, "
               f"count_if(is_apt = 0 AND {col} = 0) AS tn, count_if(is_apt = 1 AND {col} = 0) AS fn FROM ma")
         for k, e in _metrics_sql().items():
-            parts.append(f"SELECT '{name}' AS detector, '{k}' AS metric, {e} AS value FROM ({cc}) q")
+            parts.append(f"SELECT '{name}' AS detector, '{k}' AS metric, round_even({e}, 6) AS value FROM ({cc}) q")
+        parts.append(f"""SELECT '{name}', 'roc_auc', round_even(sum(n * (tp - p + p / 2)) / (max(pos) * max(neg)), 6) FROM (
+  SELECT p, n, sum(p) OVER (ORDER BY s DESC) AS tp, sum(p) OVER () AS pos, sum(n) OVER () AS neg FROM (
+    SELECT {score} AS s, CAST(count_if(is_apt = 1) AS DOUBLE) AS p, CAST(count_if(is_apt <> 1) AS DOUBLE) AS n
+    FROM ma GROUP BY s) g) q""")
     return with_flows(" UNION ALL ".join(parts), M_CTE,
                       """ma AS (SELECT *, CASE WHEN score > (SELECT quantile_cont(score, 0.95) FROM m) THEN 1 ELSE 0 END
   AS anomaly FROM m)""")
@@ -347,12 +352,17 @@ register("p7_available_features", with_flows("SELECT flow_id, " + ", ".join(
 
 @query("p8_split_target")
 def p8(spark, sf_dir):
+    """The target is kept out of the feature list, the features are scaled, and the target is still beside them."""
+    from huntlake.operators.scale import Scaler
     f = flows_view(spark, sf_dir).select("flow_id", *[c(n) for n in S.EXPECTED_FEATURES], "is_apt")
     cols = feat.feature_columns(f, "is_apt", exclude=("flow_id",))
-    return f.select("flow_id", F.size(F.array(*[F.lit(n) for n in cols])).alias("n_features"), "is_apt")
+    out = Scaler(cols, method="standard").fit(f).transform(f)
+    return out.select("flow_id", F.lit(len(cols)).alias("n_features"), *[r6(c(n)).alias(n) for n in cols[:3]], "is_apt")
 
 
-register("p8_split_target", with_flows("SELECT flow_id, 17 AS n_features, is_apt FROM flows"))
+register("p8_split_target", with_flows("SELECT flow_id, 17 AS n_features, " + ", ".join(
+    f'round_even(("{n}" - (SELECT avg("{n}") FROM flows)) / (SELECT stddev_pop("{n}") FROM flows), 6) AS "{n}"'
+    for n in S.EXPECTED_FEATURES[:3]) + ", is_apt FROM flows"))
 
 
 @query("p9_true_positive_filter")

@@ -4,12 +4,17 @@ streaming query with ``availableNow`` and returns what it wrote, read back."""
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
+from huntlake import schemas as S
 from huntlake.functions.cols import c
 from huntlake.functions.time import LOG_TIME_FORMAT, iso_timestamp
+from huntlake.models import classifier as M
+from huntlake.operators.metrics import binary_metrics_wide
+from huntlake.operators.sample import hash_split
 from huntlake.plans.catalog import query, r6
-from huntlake.plans.oracle import iso_sql, register, with_logs
+from huntlake.plans.oracle import iso_sql, register, with_flows, with_logs
 from huntlake.session import scratch_path
 from huntlake.sources.tables import flows_view, logs_view
 from huntlake.streaming import delta as SD, ingest as SI, monitor as SM, windows as SW
@@ -34,7 +39,7 @@ def _log_parquet_files(spark, sf_dir):
 
 
 def _log_stream(spark, path, watermark="10 minutes"):
-    schema = logs_view(spark, "/root/testdata/sf0.001").schema
+    schema = spark.read.parquet(path).schema
     return spark.readStream.schema(schema).parquet(path).withWatermark("timestamp", watermark)
 
 
@@ -102,28 +107,14 @@ FROM (SELECT log_id, coalesce(source, 'nan') || '_' || coalesce(destination, 'na
         epoch_us({TS}) / 1e6 AS t FROM logs) x"""))
 
 
-def _flow_batches(spark, sf_dir):
-    """Flows as parquet files, one folder per monitoring batch (flow_id % 20)."""
-    from huntlake.plans.q_metrics import scored
-    path = scratch_path(spark, "flow-batches")
-    scored(spark, sf_dir).write.partitionBy("batch").parquet(path)
-    return path
+def _features(spark, sf_dir):
+    return flows_view(spark, sf_dir).select("flow_id", *[c(n) for n in S.EXPECTED_FEATURES], "is_apt")
 
 
 @query("w10_stream_score")
 def w10(spark, sf_dir):
-    from huntlake.models import classifier as M
-    from pyspark.ml.feature import VectorAssembler
-    from huntlake import schemas as S
-    from huntlake.operators.impute import MissingValueImputer
-
-    flows = flows_view(spark, sf_dir).select("flow_id", *[c(n) for n in S.EXPECTED_FEATURES], "is_apt")
-    imputer = MissingValueImputer(S.EXPECTED_FEATURES, numeric_strategy="median").fit(flows)
-    va = VectorAssembler(inputCols=S.EXPECTED_FEATURES, outputCol="features", handleInvalid="keep")
-    train = va.transform(imputer.transform(flows)).withColumn("label", F.col("is_apt").cast("double"))
-    gbt = M.boosted_classifier("features", "label", maxIter=5).fit(train)
-    from pyspark.ml import PipelineModel
-    model = PipelineModel(stages=[imputer, va, gbt])
+    flows = _features(spark, sf_dir)
+    model = M.fit_scorer(flows, S.EXPECTED_FEATURES, "is_apt", "flow_id")
     src = scratch_path(spark, "w10-in")
     flows.write.parquet(src)
     stream = spark.readStream.schema(flows.schema).option("maxFilesPerTrigger", 2).parquet(src)
@@ -135,34 +126,74 @@ def w10(spark, sf_dir):
     return spark.read.parquet(out)
 
 
-@query("w1_w4_stream_monitor")
-def w1s(spark, sf_dir):
-    return _monitor(spark, sf_dir, "buffer")
+PERIODS, DROP = 5, 0.002
 
 
-@query("w4_stream_immediate_retrain")
-def w4s(spark, sf_dir):
-    return _monitor(spark, sf_dir, "immediate")
+def _period():
+    return (F.col("flow_id") % 100003) % PERIODS
 
 
-def _monitor(spark, sf_dir, mode):
-    src = _flow_batches(spark, sf_dir)
-    schema = spark.read.parquet(src).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(src)
-    base = scratch_path(spark, "w-monitor")
-    calls = []
+def _monitor(spark, rows, mode, **hooks):
+    """Runs the monitor over ``rows`` period after period: each period's files are added to
+    the watched folder and one run of the stream takes them as one micro-batch."""
+    staged, src = scratch_path(spark, "w-periods"), scratch_path(spark, "w-watched")
+    rows.write.partitionBy("period").parquet(staged)
+    monitor = SM.StreamMonitor(spark, scratch_path(spark, "w-monitor"), threshold=DROP, buffer_rows=1000, mode=mode, **hooks)
+    schema, checkpoint = rows.drop("period").schema, scratch_path(spark, "w-monitor-ckpt")
+    for period in range(PERIODS):
+        spark.read.schema(schema).parquet(f"{staged}/period={period}").write.parquet(f"{src}/p{period}")
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(src)
+        SM.start_monitor(stream, monitor, checkpoint).awaitTermination()
+    return monitor.history()
 
-    def retrain(rows):
-        # W3/W4 hook: a real deployment refits the detector here; the F1 of the
-        # buffered rows under the current model is recorded as the new baseline
-        from huntlake.operators.metrics import binary_metrics_wide
-        calls.append(1)
-        return float(binary_metrics_wide(rows, "is_apt", "apt_prediction").first()["f1"])
 
-    mon = SM.StreamMonitor(spark, base, threshold=0.02, buffer_rows=1000, mode=mode, retrain=retrain)
-    q = SM.start_monitor(stream, mon, scratch_path(spark, "w-monitor-ckpt"))
-    q.awaitTermination()
-    hist = mon.history()
-    if hist is None:
-        return spark.createDataFrame([], "batch long, samples long, f1 double, degraded boolean, retrained boolean")
-    return hist.select("batch", "samples", "f1", "degraded", "retrained")
+@query("w1_w4_stream_monitor")
+def w1s(spark, sf_dir):
+    """A detector whose predictions come with the rows; retrains are recorded only."""
+    from huntlake.plans.q_metrics import scored
+    rows = scored(spark, sf_dir).select("flow_id", "is_apt", "apt_prediction", _period().alias("period"))
+    return _monitor(spark, rows, "buffer").select(
+        "batch", "samples", r6(F.col("f1")).alias("f1"), r6(F.col("baseline_f1")).alias("baseline_f1"), "degraded",
+        "buffered_rows", "retrained")
+
+
+register("w1_w4_stream_monitor", with_flows(f"""
+SELECT batch, samples, round_even(f1, 6) AS f1, round_even(baseline, 6) AS baseline_f1, degraded, buffered AS buffered_rows,
+  retrained FROM walk""", f"""per AS (SELECT (flow_id % 100003) % {PERIODS} AS batch, count(*) AS samples,
+  coalesce(2.0e0 * count_if(is_apt = 1 AND p = 1) / nullif(count_if(is_apt = 1) + count_if(p = 1), 0), 0) AS f1
+  FROM (SELECT *, CASE WHEN "Packet Length Std" / 210.0e0 > 0.5 THEN 1 ELSE 0 END AS p FROM flows) x GROUP BY 1)""",
+    f"""walk AS (
+  WITH RECURSIVE w AS (
+    SELECT batch, samples, f1, f1 AS baseline, false AS degraded, CAST(0 AS HUGEINT) AS buffered, false AS retrained
+    FROM per WHERE batch = 0
+    UNION ALL
+    SELECT n.batch, n.samples, n.f1, n.baseline, n.f1 < n.baseline - {DROP},
+      n.before + CASE WHEN n.f1 < n.baseline - {DROP} THEN n.samples ELSE 0 END,
+      n.f1 < n.baseline - {DROP} AND n.before + n.samples >= 1000
+    FROM (SELECT s.batch, s.samples, s.f1, CASE WHEN w.retrained THEN s.f1 ELSE w.baseline END AS baseline,
+            CASE WHEN w.retrained THEN 0 ELSE w.buffered END AS before
+          FROM w JOIN per s ON s.batch = w.batch + 1) n)
+  SELECT batch, samples, f1, baseline, degraded, CAST(buffered AS BIGINT) AS buffered, retrained FROM w)"""))
+
+
+@query("w4_stream_immediate_retrain")
+def w4s(spark, sf_dir):
+    """A fixed rule scores until a batch is worse than the first; that batch trains a
+    boosted model, which scores the batches after it."""
+    models = scratch_path(spark, "w4-models")
+    prob = c("Packet Length Std") / F.lit(210.0)
+
+    def score(batch, version):
+        if version is None:
+            return batch.withColumn("apt_prediction", F.when(prob > 0.5, 1).otherwise(0))
+        return M.score(PipelineModel.load(f"{models}/{version}"), batch)
+
+    def retrain(rows, version):
+        held_in, held_out = hash_split(rows, "flow_id", 0.8)
+        model = M.fit_scorer(held_in, S.EXPECTED_FEATURES, "is_apt", "flow_id")
+        model.write().overwrite().save(f"{models}/{version}")
+        return float(binary_metrics_wide(M.score(model, held_out), "is_apt", "apt_prediction").first()["f1"])
+
+    rows = _features(spark, sf_dir).withColumn("period", _period())
+    return _monitor(spark, rows, "immediate", score=score, retrain=retrain).select(
+        "batch", "samples", "f1", "baseline_f1", "degraded", "retrained", "model_version", "new_f1")

@@ -1,6 +1,7 @@
 """Flow measures per tumbling (or sliding / session) event-time window on a
-stream, with a watermark. Late rows (behind the watermark) are dropped by Spark;
-``late_rows`` counts them per micro-batch from the watermark of the previous one.
+stream, with a watermark. Late rows (behind the watermark) are dropped by Spark,
+which adds up the rows of a micro-batch per window before it looks at the watermark:
+``late_groups`` reports how many such sums each micro-batch dropped.
 
 Output uses update mode through ``foreachBatch``: each micro-batch appends the
 windows it changed, tagged with the batch id; ``latest_windows`` keeps the most
@@ -77,3 +78,9 @@ def latest_windows(spark: SparkSession, out_path: str) -> DataFrame:
     latest = versions.groupBy("flow_id", "window_start").agg(
         F.max_by(F.struct(*cols), F.col("batch_id")).alias("v"))
     return latest.select("flow_id", "window_start", "v.*")
+
+
+def late_groups(query) -> dict[int, int]:
+    """{micro-batch: groups of late rows dropped behind the watermark}, for the micro-batches
+    whose progress Spark still holds (``spark.sql.streaming.numRecentProgressUpdates``)."""
+    return {p["batchId"]: sum(op["numRowsDroppedByWatermark"] for op in p["stateOperators"]) for p in query.recentProgress}

@@ -225,7 +225,7 @@ def test_knn_imputation_matches_brute_force(spark):
     # one row per key (the smallest fixture repeats one flow_id)
     df = df.dropDuplicates(["flow_id"])
     pdf = df.toPandas().sort_values("flow_id").reset_index(drop=True)
-    out = impute_knn(df, feats, "flow_id", k=5, chunk_rows=50).toPandas().set_index("flow_id")
+    out = impute_knn(df, feats, "flow_id", k=5, group_rows=50).toPandas().set_index("flow_id")
     x = pdf[feats].to_numpy(dtype=float)
     keys = pdf["flow_id"].to_numpy()
     j = feats.index("Flow Bytes/s")

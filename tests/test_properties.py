@@ -127,8 +127,35 @@ def test_bad_lines_vectors_and_text_ports_are_kept(spark, tmp_path):
 
 
 def test_unknown_imputation_strategy_is_an_error(spark):
-    with pytest.raises(ValueError, match="knn"):
-        I.MissingValueImputer(["Flow Bytes/s"], numeric_strategy="knn").fit(flows_view(spark, SMALL))
+    with pytest.raises(ValueError, match="closest"):
+        I.MissingValueImputer(["Flow Bytes/s"], numeric_strategy="closest").fit(flows_view(spark, SMALL))
+
+
+def test_knn_strategy_equals_impute_knn(spark):
+    from huntlake.operators.knn import impute_knn
+    draw = np.random.default_rng(7)
+    rows = [(i, *[None if draw.random() < 0.1 else float(v) for v in draw.normal(size=4)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, c double, d double")
+    cols = ["a", "b", "c", "d"]
+    model = I.MissingValueImputer(cols, numeric_strategy="knn", categorical_strategy="none").fit(df)
+    filled = {r[0]: r[1:] for r in model.transform(df).collect()}
+    same = {r[0]: r[1:] for r in impute_knn(df, cols, "id", group_rows=40).collect()}
+    assert len(filled) == len(same) == 300
+    assert all(v is not None and abs(v - w) < 1e-9 for k in filled for v, w in zip(filled[k], same[k]))
+
+
+def test_knn_counts_copies_and_falls_back_to_the_mean(spark):
+    from huntlake.operators.knn import impute_knn
+    rows = [(1, 0.0, 10.0), (2, 0.0, 10.0), (3, 1.0, 40.0), (4, 9.0, 100.0), (5, 0.0, None), (6, None, None), (7, float("nan"), 40.0)]
+    df = spark.createDataFrame(rows, "id int, a double, b double")
+    out = {r.id: (r.a, r.b) for r in impute_knn(df, ["a", "b"], "id", k=3, group_rows=2).collect()}
+    assert out[5] == (0.0, 20.0)
+    assert out[6] == (2.0, 40.0)
+    assert out[1] == (0.0, 10.0) and len(out) == 7
+    empty = impute_knn(df.where("id > 99"), ["a", "b"], "id")
+    assert empty.count() == 0 and empty.columns == df.columns
+    nothing = spark.createDataFrame([(1, 1.0, None)], "id int, a double, b double")
+    assert impute_knn(nothing, ["a", "b"], "id").first().b is None
 
 
 def test_pipeline_save_load_roundtrip(spark):
@@ -194,6 +221,39 @@ def test_smote_rows_stay_in_minority_hull(spark):
     assert all(s_lo[n] >= lo[n] - 1e-9 and s_hi[n] <= hi[n] + 1e-9 for n in FEATS)
 
 
+def test_smote_is_independent_of_partitions(spark):
+    rows = [(i, float(i % 7), float(i * i % 31), 1) for i in range(100)] + [(1000 + i, 0.0, 0.0, 0) for i in range(1330)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, y int")
+    old, seen = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (8, 100, 300):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            seen.append(sorted(tuple(r) for r in X.smote(df.repartition(n), "id", "y", ["a", "b"], ratio=1.0).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert len(seen[0]) == 1230 and seen[0] == seen[1] == seen[2]
+    assert X.smote(df.where("y = 0 or id = 5"), "id", "y", ["a", "b"]).count() == 0
+
+
+def test_smote_blocks_and_copy_runs_change_nothing(spark, monkeypatch):
+    rows = [(i, float(i % 7), float(i * i % 31), 1) for i in range(40)] + [(1000 + i, 0.0, 0.0, 0) for i in range(500)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, y int")
+    whole = sorted(tuple(r) for r in X.smote(df, "id", "y", ["a", "b"]).collect())
+    monkeypatch.setattr(X, "BLOCK_ROWS", 6)
+    monkeypatch.setattr(X, "COPY_ROWS", 5)
+    assert sorted(tuple(r) for r in X.smote(df, "id", "y", ["a", "b"]).collect()) == whole and len(whole) == 460
+
+
+def test_encoder_covariance_matches_numpy(spark):
+    import numpy as np
+    from huntlake.models.encoder import fit_pca
+    rows = [(float(i % 5), float(i % 3) if i % 4 else None, float(i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    x = np.array([[0.0 if v is None else v for v in r] for r in rows])
+    want = np.sort(np.linalg.eigvalsh(np.cov(x.T)))[::-1][:2]
+    assert np.allclose(fit_pca(df, ["a", "b", "c"], 2)["explained_variance"], want)
+
+
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 

@@ -4,13 +4,14 @@ and a restart from the checkpoint without duplicates."""
 import datetime as dt
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from huntlake.functions.time import LOG_TIME_FORMAT
 from huntlake.operators import flow as FL
 from huntlake.session import scratch_path
 from huntlake.sources.tables import logs_view
-from huntlake.streaming import delta as SD, ingest as SI, windows as SW
+from huntlake.streaming import delta as SD, ingest as SI, monitor as SM, windows as SW
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -61,7 +62,9 @@ def test_late_row_is_dropped(spark):
                           schema).coalesce(1).write.parquet(f"{base}/f2")
     stream = (spark.readStream.schema(spark.read.parquet(f"{base}/f1").schema).option("maxFilesPerTrigger", 1)
               .option("recursiveFileLookup", True).parquet(base).withWatermark("timestamp", "10 minutes"))
-    SW.start_flow_windows(spark, stream, out, ckpt, window="60 seconds").awaitTermination()
+    q = SW.start_flow_windows(spark, stream, out, ckpt, window="60 seconds")
+    q.awaitTermination()
+    assert sum(SW.late_groups(q).values()) == 1
     starts = {r["window_start"] for r in SW.latest_windows(spark, out).collect()}
     late = int((t0 - dt.timedelta(hours=1)).replace(tzinfo=dt.timezone.utc).timestamp())
     assert late not in starts and len(starts) == 3
@@ -108,3 +111,45 @@ def test_ingest_quarantines_bad_lines(spark):
                         quarantine_path=quarantine).awaitTermination()
     assert spark.read.parquet(index).count() == 1 and spark.read.parquet(attacks).count() == 1
     assert [r["raw"] for r in spark.read.parquet(quarantine).collect()] == ["yesterday,10.0.0.1,10.0.0.2,user_login"]
+
+
+def _monitor_batch(spark, hits, misses):
+    rows = [(1, 1)] * hits + [(1, 0)] * misses + [(0, 0)] * 10
+    return spark.createDataFrame(rows, "is_apt int, apt_prediction int")
+
+
+def test_monitor_survives_a_failure_between_its_writes(spark):
+    good, bad = _monitor_batch(spark, 20, 0), _monitor_batch(spark, 10, 10)
+    seen = []
+
+    def retrain(rows, version):
+        seen.append(rows.count())
+        if len(seen) == 1:
+            raise RuntimeError("executor lost")  # after the buffer write, before the history row
+        return 0.9
+
+    m = SM.StreamMonitor(spark, scratch_path(spark, "mon"), threshold=0.1, buffer_rows=50, retrain=retrain)
+    assert m.history().count() == 0
+    m(good, 0)
+    m(bad, 1)
+    with pytest.raises(RuntimeError):
+        m(bad, 2)
+    m(bad, 2)
+    m(bad, 2)  # a replay of a recorded batch
+    m(bad, 3)  # sets the new baseline
+    m(_monitor_batch(spark, 0, 20), 4)
+    got = [(r.batch, r.degraded, r.buffered_rows, r.retrained, r.model_version) for r in m.history().orderBy("batch").collect()]
+    assert got == [(0, False, 0, False, None), (1, True, 30, False, None), (2, True, 60, True, None),
+                   (3, False, 0, False, 2), (4, True, 30, False, 2)]
+    assert seen == [60, 60]
+
+
+def test_monitor_immediate_takes_the_new_f1_as_baseline(spark):
+    good, bad = _monitor_batch(spark, 20, 0), _monitor_batch(spark, 10, 10)
+    m = SM.StreamMonitor(spark, scratch_path(spark, "mon"), mode="immediate", retrain=lambda rows, version: 0.6)
+    for i, batch in enumerate([good, bad, bad, spark.createDataFrame([], good.schema)]):
+        m(batch, i)
+    got = [(r.degraded, r.retrained, round(r.baseline_f1, 3)) for r in m.history().orderBy("batch").collect()]
+    assert got == [(False, False, 1.0), (True, True, 1.0), (False, False, 0.6)]
+    with pytest.raises(ValueError):
+        SM.StreamMonitor(spark, "x", mode="never")
