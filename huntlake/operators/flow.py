@@ -2,8 +2,9 @@
 
 Scale design (one flow may hold a third of all rows):
 
-* Rows are split by (flow, time bucket). ``lag`` runs inside each bucket, so a hot
-  flow spreads over many tasks. The statistics branch shuffles only the key
+* Rows are split by (flow, time bucket), and a bucket that holds very many rows into
+  slices of time by its volume. ``lag`` runs inside each of them, so a hot flow spreads
+  over many tasks, however short the time it was busy. The statistics branch shuffles only the key
   columns (flow, bucket, time, order key) by the same (flow, bucket) key; the
   row branch carries the input columns once.
 * A small table with one row per (flow, bucket) carries what crosses bucket
@@ -28,6 +29,11 @@ from huntlake.functions.time import epoch_seconds
 FLOW_FEATURES = ["flow_packets_count", "flow_duration", "flow_packets_per_sec",
                  "flow_mean_time_delta", "flow_std_time_delta", "flow_direction_ratio"]
 
+HOT_ROWS = 1_000_000       # rows of a (flow, time bucket) beyond which it is cut
+SLICES = 64                # slices of time for each HOT_ROWS rows, so that a burst inside the bucket spreads too
+MAX_SLICES = 1 << 20
+HOT_BUCKETS = 10_000       # heaviest buckets that are cut
+
 
 def flow_key(src: str | Column, dst: str | Column) -> Column:
     """H1: ``src_dst`` text key; missing parts become text so no row is dropped."""
@@ -37,12 +43,31 @@ def flow_key(src: str | Column, dst: str | Column) -> Column:
                        F.coalesce(d.cast("string"), F.lit("nan")))
 
 
+def _with_buckets(df: DataFrame, key_col: str, time_col: str, order_key: str, bucket_seconds: int, hot_rows: int) -> DataFrame:
+    """Adds __t (epoch s) and __b, a bucket that grows with time within a flow.
+
+    A (flow, time bucket) with more than ``hot_rows`` rows is cut into equal slices of time,
+    ``SLICES`` for each ``hot_rows`` rows it holds, so that its volume decides over how many
+    tasks it spreads; rows without a time are cut by a hash. Only the heaviest
+    ``HOT_BUCKETS`` are cut, which bounds the broadcast: one below them holds less than
+    that share of all rows.
+    """
+    wide = F.lit(float(bucket_seconds))
+    base = df.withColumn("__t", epoch_seconds(c(time_col)))
+    base = base.withColumn("__h", F.coalesce(F.floor(F.col("__t") / wide).cast("long"), F.lit(-1)))
+    heavy = base.groupBy(c(key_col).alias("__hk"), F.col("__h").alias("__hh")).agg(F.count(F.lit(1)).alias("__hn")) \
+        .where(F.col("__hn") > hot_rows).orderBy(F.desc("__hn"), "__hk", "__hh").limit(HOT_BUCKETS) \
+        .select("__hk", "__hh", F.least(F.ceil(F.col("__hn") / hot_rows) * SLICES, F.lit(MAX_SLICES)).alias("__parts"))
+    base = base.join(F.broadcast(heavy), (c(key_col) == F.col("__hk")) & (F.col("__h") == F.col("__hh")), "left")
+    slice_ = F.when(F.col("__t").isNull(), F.pmod(F.xxhash64(c(order_key)), F.col("__parts"))) \
+        .otherwise(F.least(F.floor((F.col("__t") / wide - F.col("__h")) * F.col("__parts")), F.col("__parts") - 1))
+    return base.withColumn("__b", F.col("__h") * MAX_SLICES + F.coalesce(slice_, F.lit(0))).drop("__h", "__hk", "__hh", "__parts")
+
+
 def _bucketed_lag(df: DataFrame, key_col: str, time_col: str, order_key: str,
-                  bucket_seconds: int) -> DataFrame:
+                  bucket_seconds: int, hot_rows: int) -> DataFrame:
     """Adds __t (epoch s), __b (bucket) and __d (delta to the previous row in the bucket)."""
-    t = epoch_seconds(c(time_col))
-    base = df.withColumn("__t", t).withColumn(
-        "__b", F.coalesce(F.floor(F.col("__t") / F.lit(float(bucket_seconds))).cast("long"), F.lit(-1)))
+    base = _with_buckets(df, key_col, time_col, order_key, bucket_seconds, hot_rows)
     w = Window.partitionBy(c(key_col), F.col("__b")).orderBy(F.col("__t"), c(order_key))
     return base.withColumn("__d", F.col("__t") - F.lag("__t").over(w))
 
@@ -105,7 +130,7 @@ def _flow_table(fb: DataFrame, has_proto: bool, extra: tuple[str, ...] = ()) ->
 def flow_features(df: DataFrame, src_col: str = "source_ip", dst_col: str = "destination_ip",
                   time_col: str = "timestamp", order_key: str | None = None,
                   protocol_col: str | None = "protocol", key_col: str = "flow_id",
-                  bucket_seconds: int = 3600) -> DataFrame:
+                  bucket_seconds: int = 3600, hot_rows: int = HOT_ROWS) -> DataFrame:
     """H1-H6, H8: per-row ``time_delta`` plus per-flow statistics on every row.
 
     Flows of one row get no statistics and no delta (NULL), like the detector.
@@ -117,7 +142,7 @@ def flow_features(df: DataFrame, src_col: str = "source_ip", dst_col: str = "des
     order_key = order_key or time_col
     proto = protocol_col if protocol_col and protocol_col in df.columns else None
     keyed = df.withColumn(key_col, flow_key(src_col, dst_col))
-    lagged = _bucketed_lag(keyed, key_col, time_col, order_key, bucket_seconds)
+    lagged = _bucketed_lag(keyed, key_col, time_col, order_key, bucket_seconds, hot_rows)
     fb = _bucket_table(lagged, key_col, proto)
     # flow totals as window sums over the (small) bucket table: same partitioning as
     # the carry window, so no second aggregation and join of that table
@@ -140,32 +165,31 @@ def flow_features(df: DataFrame, src_col: str = "source_ip", dst_col: str = "des
 
 def flow_stats(df: DataFrame, src_col: str, dst_col: str, time_col: str,
                order_key: str | None = None, protocol_col: str | None = "protocol",
-               key_col: str = "flow_id", bucket_seconds: int = 3600) -> DataFrame:
+               key_col: str = "flow_id", bucket_seconds: int = 3600, hot_rows: int = HOT_ROWS) -> DataFrame:
     """H4-H6 as one row per flow (the aggregate behind ``flow_features``)."""
     order_key = order_key or time_col
     proto = protocol_col if protocol_col and protocol_col in df.columns else None
     keyed = df.withColumn(key_col, flow_key(src_col, dst_col))
-    lagged = _bucketed_lag(keyed, key_col, time_col, order_key, bucket_seconds)
+    lagged = _bucketed_lag(keyed, key_col, time_col, order_key, bucket_seconds, hot_rows)
     flows = _flow_table(_bucket_table(lagged, key_col, proto), proto is not None)
     return flows.drop("__packets").withColumnRenamed("__k", key_col)
 
 
 def flow_window_agg(df: DataFrame, src_col: str, dst_col: str, time_col: str,
                     window_seconds: int = 60, order_key: str | None = None,
-                    protocol_col: str | None = "protocol", key_col: str = "flow_id") -> DataFrame:
+                    protocol_col: str | None = "protocol", key_col: str = "flow_id", hot_rows: int = HOT_ROWS) -> DataFrame:
     """H7: the flow measures per flow and tumbling window of ``window_seconds``.
 
     Output: flow key, window_start (epoch seconds), packets, measures (NULL for a
     window holding a single row). Long windows are cut into sub-buckets of at
     most an hour (when the window is a whole number of hours) with the same
-    carry-over as ``flow_features``, so a hot flow-window still spreads over
-    tasks.
+    carry-over as ``flow_features``, and a heavy one into slices of time.
     """
     order_key = order_key or time_col
     proto = protocol_col if protocol_col and protocol_col in df.columns else None
     sub = 3600 if window_seconds > 3600 and window_seconds % 3600 == 0 else window_seconds
     keyed = df.withColumn(key_col, flow_key(src_col, dst_col))
-    lagged = _bucketed_lag(keyed, key_col, time_col, order_key, sub)
+    lagged = _bucketed_lag(keyed, key_col, time_col, order_key, sub, hot_rows)
     lagged = lagged.withColumn("__w", (F.floor(F.col("__t") / window_seconds) * window_seconds).cast("long"))
     fb = _bucket_table(lagged, key_col, proto, extra=("__w",))
     flows = _flow_table(fb, proto is not None, extra=("__w",))

@@ -336,3 +336,112 @@ def log_detector(spark, sf_dir):
     att = spark.read.parquet(attack_path).groupBy("classification").agg(F.count(F.lit(1)).alias("rows")) \
         .select(F.lit("attacks").alias("store"), "classification", "rows")
     return idx.unionByName(att)
+
+
+# --- what must hold for every fit, as one checked row ---------------------------------
+
+@query("m1_forest_invariants")
+def m1_invariants(spark, sf_dir):
+    """Every row has a score in (0, 1], and the flagged rows are those with the highest scores."""
+    out, s = m1(spark, sf_dir), F.col("anomaly_score")
+    flagged, rest = F.min(F.when(F.col("is_anomaly"), s)), F.max(F.when(~F.col("is_anomaly"), s))
+    return out.agg(F.count(F.lit(1)).alias("row_count"), F.count_if((s > 0) & (s <= 1)).alias("scored"),
+                   F.coalesce(flagged > rest, F.lit(True)).alias("highest_flagged"),
+                   (F.count_if("is_anomaly") < F.count(F.lit(1)) / 2).alias("minority_flagged"))
+
+
+register("m1_forest_invariants", with_logs(
+    "SELECT count(*) AS row_count, count(*) AS scored, true AS highest_flagged, true AS minority_flagged FROM logs"))
+
+
+@query("m2_m7_encoder_invariants")
+def m2_invariants(spark, sf_dir):
+    """The mean error is the variance that the components leave, the encodings have mean 0
+    and the fitted variances, and the stacked vector is the columns side by side."""
+    from huntlake.models.encoder import stack_features
+    df = _scaled_flows(spark, sf_dir)
+    model = LinearAutoencoder(FEATS, k=4).fit(df)
+    explained = model.get_state()["explained_variance"]
+    out = stack_features(model.transform(df), FEATS, k=4)
+    n, codes = F.count(F.lit(1)), [F.col(f"encoded_{i}") for i in range(4)]
+    total = sum((F.var_samp(c(name)) for name in FEATS), F.lit(0.0))
+    left = F.avg("reconstruction_error") * len(FEATS) * n / (n - 1)
+    near = lambda a, b: F.abs(a - b) <= 1e-6 * (1 + F.abs(b))
+    same_codes = F.lit(True)
+    for code, variance in zip(codes, explained):
+        same_codes = same_codes & (F.abs(F.avg(code)) < 1e-6) & near(F.var_samp(code), F.lit(variance))
+    whole = vector_to_array("features") == F.array(*[c(name).cast("double") for name in FEATS], F.col("reconstruction_error"), *codes)
+    return out.agg(n.alias("row_count"), F.count_if(whole).alias("stacked"), near(left, total - sum(explained)).alias("error_is_rest"),
+                   same_codes.alias("encodings_fit"))
+
+
+register("m2_m7_encoder_invariants", with_flows(
+    "SELECT count(*) AS row_count, count(*) AS stacked, true AS error_is_rest, true AS encodings_fit FROM flows"))
+
+
+@query("m8_m12_model_invariants")
+def m8_invariants(spark, sf_dir):
+    """Probabilities and labels of the boosted trees (M8, M9), importances (M11), and
+    contributions that add up to the margin (M12); the labels of unseen rows are right."""
+    model, data = _scorer(spark, sf_dir)
+    p, y = F.col("apt_probability"), F.col("apt_prediction")
+    scored = M.score(model, data)
+    unseen = X.hash_bucket("flow_id", 42) >= int(0.8 * X.BUCKETS)
+    counts = scored.agg(F.count(F.lit(1)).alias("row_count"), F.count_if((p >= 0) & (p <= 1) & ((p > 0.5) == (y == 1))).alias("scored"),
+                        (F.count_if(unseen & (y == F.col("is_apt"))) > 0.99 * F.count_if(unseen)).alias("unseen_right"),
+                        F.count_if(y == 1).alias("flagged"))
+    names = M.feature_importance(model.stages[-1], FEATS, None).agg(
+        F.count(F.lit(1)).alias("features"), (F.abs(F.sum("importance") - 1) < 1e-6).alias("importance_is_whole"))
+    told = M.explain_rows(model.stages[-1], scored.where(y == 1), "flow_id", FEATS)
+    told = told.agg(F.count_if(F.abs(F.col("base_value") + F.col("contribution_sum") - F.col("raw_margin")) < 1e-6).alias("explained"))
+    return counts.join(names).join(told).select("row_count", "scored", "unseen_right", "features", "importance_is_whole",
+                                                (F.col("explained") == F.col("flagged")).alias("all_explained"))
+
+
+register("m8_m12_model_invariants", with_flows("""
+SELECT count(*) AS row_count, count(*) AS scored, true AS unseen_right, 17 AS features, true AS importance_is_whole,
+  true AS all_explained FROM flows"""))
+
+
+@query("m14_training_report")
+def m14_report(spark, sf_dir):
+    """The result document of a training, written as JSON (S9) and read back."""
+    from huntlake.session import scratch_path
+    from huntlake.sources import sinks as K
+    df = _flows_model_input(spark, sf_dir)
+    model, names, metrics = M.train_detector(df, fit_rows=M.FIT_ROWS)
+    path = scratch_path(spark, "training-report")
+    K.sink_report_json(M.training_report(model, names, metrics, M.score(model, df)), path)
+    back = spark.read.json(path)
+    errors = F.col("reconstruction_errors")
+    f1 = F.filter("performance", lambda r: (r["detector"] == "classifier") & (r["metric"] == "f1"))[0]["value"]
+    return back.select(F.size("performance").alias("metrics"), (F.size("feature_importance") > 17).alias("stacked_features"),
+                       ((errors["min"] <= errors["mean"]) & (errors["anomaly_threshold"] <= errors["max"])).alias("errors_ordered"),
+                       (f1 > 0.9).alias("classifier_good"))
+
+
+register("m14_training_report",
+         "SELECT 10 AS metrics, true AS stacked_features, true AS errors_ordered, true AS classifier_good")
+
+
+@query("x2_x3_sampling_invariants")
+def sampling_invariants(spark, sf_dir):
+    """Every row is in one part and the parts have their share. X3: exactly the missing
+    rows, each inside the range of the minority in every feature."""
+    split = x2(spark, sf_dir).agg(F.count(F.lit(1)).alias("row_count"), F.count_if(F.col("split") == "train").alias("n"))
+    twice = x2(spark, sf_dir).groupBy("flow_id").agg(F.count_distinct("split").alias("parts")).agg(
+        F.count_if(F.col("parts") > 1).alias("in_both"))
+    made, minority = x3(spark, sf_dir), _flows_model_input(spark, sf_dir).where("is_apt = 1")
+    hull = minority.agg(*[f(c(n)).alias(f"{t}{i}") for i, n in enumerate(FEATS) for f, t in ((F.min, "lo"), (F.max, "hi"))])
+    inside = F.lit(True)
+    for i, n in enumerate(FEATS):
+        inside = inside & (c(n) >= F.col(f"lo{i}") - 1e-6) & (c(n) <= F.col(f"hi{i}") + 1e-6)
+    made = made.join(F.broadcast(hull)).agg(F.count(F.lit(1)).alias("made"), F.count_if(inside).alias("inside"))  # hull: one row
+    share = F.abs(F.col("n") / F.col("row_count") - 0.8) < 0.01
+    return split.join(twice).join(made).select("row_count", share.alias("share_ok"), "in_both", "made", "inside")
+
+
+register("x2_x3_sampling_invariants", with_flows("""
+SELECT count(*) AS row_count, true AS share_ok, 0 AS in_both, CAST(need AS BIGINT) AS made, CAST(need AS BIGINT) AS inside
+FROM flows, (SELECT greatest(round_even(0.7 * count_if(is_apt <> 1), 0) - count_if(is_apt = 1), 0) AS need FROM flows) q
+GROUP BY need"""))

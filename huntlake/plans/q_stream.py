@@ -147,6 +147,11 @@ def _monitor(spark, rows, mode, **hooks):
     return monitor.history()
 
 
+PER_CTE = f"""per AS (SELECT (flow_id % 100003) % {PERIODS} AS batch, count(*) AS samples,
+  coalesce(2.0e0 * count_if(is_apt = 1 AND p = 1) / nullif(count_if(is_apt = 1) + count_if(p = 1), 0), 0) AS f1
+  FROM (SELECT *, CASE WHEN "Packet Length Std" / 210.0e0 > 0.5 THEN 1 ELSE 0 END AS p FROM flows) x GROUP BY 1)"""
+
+
 @query("w1_w4_stream_monitor")
 def w1s(spark, sf_dir):
     """A detector whose predictions come with the rows; retrains are recorded only."""
@@ -159,9 +164,7 @@ def w1s(spark, sf_dir):
 
 register("w1_w4_stream_monitor", with_flows(f"""
 SELECT batch, samples, round_even(f1, 6) AS f1, round_even(baseline, 6) AS baseline_f1, degraded, buffered AS buffered_rows,
-  retrained FROM walk""", f"""per AS (SELECT (flow_id % 100003) % {PERIODS} AS batch, count(*) AS samples,
-  coalesce(2.0e0 * count_if(is_apt = 1 AND p = 1) / nullif(count_if(is_apt = 1) + count_if(p = 1), 0), 0) AS f1
-  FROM (SELECT *, CASE WHEN "Packet Length Std" / 210.0e0 > 0.5 THEN 1 ELSE 0 END AS p FROM flows) x GROUP BY 1)""",
+  retrained FROM walk""", PER_CTE,
     f"""walk AS (
   WITH RECURSIVE w AS (
     SELECT batch, samples, f1, f1 AS baseline, false AS degraded, CAST(0 AS HUGEINT) AS buffered, false AS retrained
@@ -195,5 +198,14 @@ def w4s(spark, sf_dir):
         return float(binary_metrics_wide(M.score(model, held_out), "is_apt", "apt_prediction").first()["f1"])
 
     rows = _features(spark, sf_dir).withColumn("period", _period())
-    return _monitor(spark, rows, "immediate", score=score, retrain=retrain).select(
-        "batch", "samples", "f1", "baseline_f1", "degraded", "retrained", "model_version", "new_f1")
+    seen = _monitor(spark, rows, "immediate", score=score, retrain=retrain)
+    rule = F.col("model_version").isNull()
+    return seen.select("batch", "samples", F.when(rule, r6(F.col("f1"))).alias("rule_f1"), F.when(rule, F.col("retrained")).alias("first_retrain"),
+                       (~rule).alias("refitted"), F.when(~rule, F.col("f1") > 0.5).alias("better"))
+
+
+register("w4_stream_immediate_retrain", with_flows(f"""
+SELECT batch, samples, CASE WHEN batch <= coalesce(cut, batch) THEN round_even(f1, 6) END AS rule_f1,
+  CASE WHEN batch <= coalesce(cut, batch) THEN batch = coalesce(cut, -1) END AS first_retrain,
+  batch > coalesce(cut, batch) AS refitted, CASE WHEN batch > coalesce(cut, batch) THEN true END AS better
+FROM per, (SELECT min(batch) AS cut FROM per WHERE f1 < (SELECT f1 FROM per WHERE batch = 0) - {DROP}) q""", PER_CTE))

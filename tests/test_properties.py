@@ -221,6 +221,25 @@ def test_smote_rows_stay_in_minority_hull(spark):
     assert all(s_lo[n] >= lo[n] - 1e-9 and s_hi[n] <= hi[n] + 1e-9 for n in FEATS)
 
 
+def test_hot_flow_is_cut_by_volume(spark):
+    # one flow holds all rows of one hour, most of them within a minute, some without a time
+    rows = [("a", "b", None if i % 50 == 0 else 1_700_000_000 + (i * 7919 % 3000 if i % 5 == 0 else i * 7919 % 61), "TCP" if i % 3 else "UDP", i)
+            for i in range(2000)] + [("x", "y", 1_700_000_000 + 10 * i, "UDP", 5000 + i) for i in range(5)]
+    df = spark.createDataFrame(rows, "source string, destination string, s long, protocol string, id long") \
+        .withColumn("timestamp", F.timestamp_seconds("s"))
+    args = dict(src_col="source", dst_col="destination", time_col="timestamp", order_key="id")
+    cut = FL._with_buckets(df.withColumn("k", FL.flow_key("source", "destination")), "k", "timestamp", "id", 3600, 100)
+    sizes = [r["count"] for r in cut.where("k = 'a_b'").groupBy("__b").count().collect()]
+    assert len(sizes) > 20 and max(sizes) < 400
+
+    def rounded(out):
+        return sorted((tuple(None if v is None else round(v, 6) if isinstance(v, float) else v for v in r) for r in out.collect()), key=str)
+    for whole, hot in [(FL.flow_features(df, **args), FL.flow_features(df, **args, hot_rows=100)),
+                       (FL.flow_window_agg(df, **args, window_seconds=60), FL.flow_window_agg(df, **args, window_seconds=60, hot_rows=20)),
+                       (FL.flow_stats(df, **args), FL.flow_stats(df, **args, hot_rows=100))]:
+        assert rounded(whole) == rounded(hot)
+
+
 def test_smote_is_independent_of_partitions(spark):
     rows = [(i, float(i % 7), float(i * i % 31), 1) for i in range(100)] + [(1000 + i, 0.0, 0.0, 0) for i in range(1330)]
     df = spark.createDataFrame(rows, "id int, a double, b double, y int")
