@@ -2,9 +2,10 @@
 
 A page becomes a flat list of text blocks (split at block-level tags). Each block has
 its word count and link density, those of its neighbours, and two facts about where it
-stands: inside an article element or not, and under an element that names itself
-boilerplate (navigation, advert, comments, form and so on). A decision tree, grown here
-from a small labelled table of such blocks, says which blocks are main text.
+stands: inside an article element or not, and under an element that is or names itself
+boilerplate (navigation, advert, comments, form and so on), or whose class or id only
+mentions such a thing ("with-sidebar"). A decision tree, grown here from a labelled table
+of such blocks, says which blocks are main text.
 
 Defined results: null or empty html gives an empty text. Character references are
 decoded, white space within a block becomes one space, blocks are joined in page order
@@ -34,6 +35,10 @@ BOILER_TAGS = frozenset("nav header footer aside form fieldset button menu dialo
 BOILER_WORDS = frozenset("ad ads advert advertisement adverts advertising banner promo promotion sponsor sponsored sponsor sidebar aside menu nav navbar navigation breadcrumb breadcrumbs "
                          "header footer masthead cookie cookies consent notice notices gdpr popup modal overlay comment comments commentlist disqus replies reply respond share sharing social "
                          "related recommended newsletter subscribe subscription signup login search widget pagination pager toolbar copyright legal disclaimer form teaser".split())
+# other words in the names of boilerplate elements, names of elements that hold the content, elements whose names say nothing
+PART_WORDS = frozenset("area bar block body box btn button buttons container content inner item items link links list panel post posts section slot text unit wrap wrapper".split())
+CONTENT_WORDS = frozenset("article body content entry main page post story".split())
+BODY_TAGS = frozenset("html body main article".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form menu dialog alert".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>""", re.S)
@@ -43,24 +48,38 @@ _WORD_SPLIT = re.compile(r"[^a-z]+")
 FEATURES = ("words", "link_density", "previous_words", "previous_link_density", "next_words", "next_link_density", "place", "boiler")
 #: place of a block: inside an article, on a page without one, or outside on a page that has one
 INSIDE, NO_ARTICLE, OUTSIDE = 2, 1, 0
-
-#: The labelled table: FEATURES, then 1 for main text. Where the place decides, blocks of all
-#: shapes between neighbours of all shapes are labelled alike: under boilerplate and outside
-#: the article of a page that has one nothing is main text, inside an article everything is.
-_SHAPES = ((1, 0), (2, 1), (8, 0), (40, 0), (40, 0.5), (120, 0.02))
-_NEIGHBOURS = ((0, 0), (3, 1), (50, 0))
-LABELLED = [(*own, *before, *after, place, boiler, label)
-            for place, boiler, label in ((INSIDE, 0, 1), (OUTSIDE, 0, 0), (INSIDE, 1, 0), (OUTSIDE, 1, 0), (NO_ARTICLE, 1, 0))
-            for own in _SHAPES for before in _NEIGHBOURS for after in _NEIGHBOURS] + [
-    # pages without an article element: running text by length and links, short lines by their neighbours
-    (40, 0, 8, 0, 50, 0, NO_ARTICLE, 0, 1), (25, 0.05, 40, 0, 30, 0, NO_ARTICLE, 0, 1), (90, 0.1, 3, 1, 60, 0, NO_ARTICLE, 0, 1), (18, 0, 70, 0, 20, 0, NO_ARTICLE, 0, 1),
-    (7, 0, 40, 0, 55, 0, NO_ARTICLE, 0, 1), (4, 0, 60, 0, 35, 0, NO_ARTICLE, 0, 1), (10, 0, 30, 0, 45, 0.05, NO_ARTICLE, 0, 1), (16, 0.1, 2, 1, 33, 0, NO_ARTICLE, 0, 1),
-    (60, 0, 60, 0, 1, 1, NO_ARTICLE, 0, 1), (35, 0, 50, 0, 3, 1, NO_ARTICLE, 0, 1), (25, 0, 30, 0, 0, 0, NO_ARTICLE, 0, 1), (50, 0, 2, 1, 2, 1, NO_ARTICLE, 0, 1),
-    (22, 0.1, 3, 1, 1, 1, NO_ARTICLE, 0, 1), (45, 0, 0, 0, 0, 0, NO_ARTICLE, 0, 1),
-    (1, 0, 0, 0, 0, 0, NO_ARTICLE, 0, 0), (3, 0, 2, 0, 2, 0, NO_ARTICLE, 0, 0), (5, 0, 3, 0, 4, 0, NO_ARTICLE, 0, 0), (2, 0, 0, 0, 3, 1, NO_ARTICLE, 0, 0), (7, 0, 0, 0, 6, 0, NO_ARTICLE, 0, 0),
-    (2, 1, 2, 1, 3, 1, NO_ARTICLE, 0, 0), (3, 1, 1, 1, 20, 0, NO_ARTICLE, 0, 0), (20, 0.9, 18, 0.8, 22, 0.9, NO_ARTICLE, 0, 0), (30, 0.6, 40, 0, 5, 1, NO_ARTICLE, 0, 0),
-    (4, 0, 2, 1, 3, 1, NO_ARTICLE, 0, 0), (6, 0, 3, 0.5, 0, 0, NO_ARTICLE, 0, 0), (8, 0, 4, 0, 3, 0, NO_ARTICLE, 0, 0), (5, 0.5, 60, 0, 50, 0, NO_ARTICLE, 0, 0), (9, 0, 5, 1, 2, 1, NO_ARTICLE, 0, 0),
+#: boiler: under a boilerplate element; under a class or id that only mentions one; neither
+BOILER, MENTIONED, PLAIN = 2, 1, 0
+
+#: The labelled table: FEATURES, then 1 for main text. Two facts are strong: under boilerplate
+#: nothing is main text, plainly inside an article everything is, and rows of all shapes
+#: between neighbours of all shapes say so. All else is weak: there length, links and
+#: neighbours decide, more strictly outside the article of a page that has one.
+_RUNNING = [  # running text by length and links, short lines by their neighbours
+    (40, 0, 8, 0, 50, 0, 1), (25, 0.05, 40, 0, 30, 0, 1), (90, 0.1, 3, 1, 60, 0, 1), (18, 0, 70, 0, 20, 0, 1),
+    (7, 0, 40, 0, 55, 0, 1), (4, 0, 60, 0, 35, 0, 1), (10, 0, 30, 0, 45, 0.05, 1), (16, 0.1, 2, 1, 33, 0, 1),
+    (60, 0, 60, 0, 1, 1, 1), (35, 0, 50, 0, 3, 1, 1), (25, 0, 30, 0, 0, 0, 1), (50, 0, 2, 1, 2, 1, 1),
+    (22, 0.1, 3, 1, 1, 1, 1), (45, 0, 0, 0, 0, 0, 1),
+    (1, 0, 0, 0, 0, 0, 0), (3, 0, 2, 0, 2, 0, 0), (5, 0, 3, 0, 4, 0, 0), (2, 0, 0, 0, 3, 1, 0), (7, 0, 0, 0, 6, 0, 0),
+    (2, 1, 2, 1, 3, 1, 0), (3, 1, 1, 1, 20, 0, 0), (20, 0.9, 18, 0.8, 22, 0.9, 0), (30, 0.6, 40, 0, 5, 1, 0),
+    (4, 0, 2, 1, 3, 1, 0), (6, 0, 3, 0.5, 0, 0, 0), (8, 0, 4, 0, 3, 0, 0), (5, 0.5, 60, 0, 50, 0, 0), (9, 0, 5, 1, 2, 1, 0),
 ]
+_OWN = ((1, 0), (2, 1), (8, 0), (40, 0), (40, 0.5), (120, 0.02))
+_NEIGHBOURS = ((0, 0), (3, 1), (50, 0))
+_RUNNING += [(*own, *before, *after, label) for own, label in (((2, 1), 0), ((40, 0.5), 0), ((40, 0), 1), ((120, 0.02), 1)) for before in _NEIGHBOURS for after in _NEIGHBOURS]
+_SHAPES = [(*own, *before, *after) for own in _OWN for before in _NEIGHBOURS for after in _NEIGHBOURS] + [row[:-1] for row in _RUNNING]
+
+
+def _outside(shape: tuple, boiler: int) -> int:
+    """Outside the article: long text, and shorter text between long text; if boilerplate is mentioned too, more of both."""
+    words, links, *beside = shape
+    good = sum(n >= 30 and density < 0.3 for n, density in (beside[:2], beside[2:]))
+    return int(links < 0.3 and (words >= 40 and (boiler == PLAIN or good > 0 or words >= 90) or words >= 4 and good == 2 and boiler == PLAIN))
+
+
+LABELLED = [(*shape, place, boiler, label) for place, boiler, label in ((INSIDE, PLAIN, 1), (INSIDE, BOILER, 0), (NO_ARTICLE, BOILER, 0), (OUTSIDE, BOILER, 0)) for shape in _SHAPES] + [
+    (*shape, OUTSIDE, boiler, _outside(shape, boiler)) for boiler in (PLAIN, MENTIONED) for shape in _SHAPES] + [
+    (*row[:-1], place, boiler, row[-1]) for place, boiler in ((NO_ARTICLE, PLAIN), (NO_ARTICLE, MENTIONED), (INSIDE, MENTIONED)) for row in _RUNNING]
 
 
 @dataclass
@@ -95,7 +114,7 @@ def grow_tree(rows: np.ndarray, labels: np.ndarray, depth: int = 6, least: int =
 
 def train_block_tree(labelled: list[tuple] = LABELLED) -> Tree:
     table = np.array(labelled, float)
-    return grow_tree(table[:, :-1], table[:, -1].astype(int))
+    return grow_tree(table[:, :-1], table[:, -1].astype(int), depth=16)
 
 
 def classify(tree: Tree, row: tuple) -> int:
@@ -104,27 +123,45 @@ def classify(tree: Tree, row: tuple) -> int:
     return tree.label
 
 
-def _says_boilerplate(tag: str, attributes: str) -> bool:
+def _names_boilerplate(value: str) -> int:
+    """BOILER if a name of a class or id consists of boilerplate words, MENTIONED if one only holds such a word or stands beside a name of content."""
+    names = [[w for w in _WORD_SPLIT.split(name) if w] for name in value.split()]
+    hits = [words for words in names if not BOILER_WORDS.isdisjoint(words)]
+    if not hits:
+        return PLAIN
+    whole = any(BOILER_WORDS.union(PART_WORDS).issuperset(words) for words in hits)
+    return BOILER if whole and not any(len(words) == 1 and words[0] in CONTENT_WORDS for words in names) else MENTIONED
+
+
+def _boilerplate(tag: str, attributes: str) -> tuple[bool, int]:
+    """Whether the element is boilerplate by its tag, role or being hidden, and what its class and id say; those of BODY_TAGS say nothing."""
     if tag in BOILER_TAGS:
-        return True
-    if not attributes or tag in ("html", "body", "article", "main") and "role" not in attributes.lower() and "hidden" not in attributes.lower() and "comment" not in attributes.lower():
-        return False
+        return True, PLAIN
+    said = PLAIN
     for m in _NAMED.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name in ("class", "id") and not BOILER_WORDS.isdisjoint(_WORD_SPLIT.split(value)):
-            return True
+        if name in ("class", "id") and tag not in BODY_TAGS:
+            said = max(said, _names_boilerplate(value))
         if name == "role" and value.strip() in BOILER_ROLES or name == "aria-hidden" and value == "true" or name == "hidden" and m[0].lower() != "hidden=false":
-            return True
+            return True, PLAIN
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
-
-
-def text_blocks(page: str | None) -> list[tuple[str, int, int, bool, bool]]:
-    """(text, words, linked words, inside an article, under boilerplate) of each non-empty block, in page order."""
-    blocks: list[tuple[str, int, int, bool, bool]] = []
-    stack: list[tuple[str, bool, bool, bool, bool]] = []  # tag, and whether under it: silent, boilerplate, article, link
-    silent = boiler = article = link = False
+            return True, PLAIN
+    return False, said
+
+
+def text_blocks(page: str | None) -> list[tuple[str, int, int, bool, int]]:
+    """(text, words, linked words, inside an article, BOILER, MENTIONED or PLAIN) of each non-empty block, in page order.
+
+    The class and id of an element around the article do not count. The article is any article
+    or main element with at least as many words outside links as the page has under no mark.
+    """
+    blocks: list[tuple[str, int, int, int, bool, int]] = []
+    marks: list[tuple[int, int]] = []  # outer mark, what class and id of the element say
+    articles: list[tuple[int, int]] = []  # outer article, mark it stands under
+    stack: list[tuple[str, bool, bool, int, int, bool]] = []  # tag, and what it is under: silent, boilerplate, mark, article, link
+    silent = boiler = link = False
+    mark = article = -1
+    outermost = ("", False, False, -1, -1, False)
     parts: list[str] = []
     linked: list[str] = []
 
@@ -132,7 +169,7 @@ def text_blocks(page: str | None) -> list[tuple[str, int, int, bool, bool]]:
         if parts:
             text = " ".join(_decoded("".join(parts)).split())
             if text:
-                blocks.append((text, len(text.split()), len(_decoded(" ".join(linked)).split()), article, boiler))
+                blocks.append((text, len(text.split()), len(_decoded(" ".join(linked)).split()), article, boiler, mark))
             parts.clear()
             linked.clear()
 
@@ -163,7 +200,7 @@ def text_blocks(page: str | None) -> list[tuple[str, int, int, bool, bool]]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
                     del stack[k:]
-                    _, silent, boiler, article, link = stack[-1] if stack else ("", False, False, False, False)
+                    _, silent, boiler, mark, article, link = stack[-1] if stack else outermost
                     break
             continue
         if tag in VOID_TAGS or attributes.endswith("/"):
@@ -172,20 +209,43 @@ def text_blocks(page: str | None) -> list[tuple[str, int, int, bool, bool]]:
             for k in range(len(stack) - 1, -1, -1):  # a new one ends an open one of its kind in the same container
                 if stack[k][0] == tag:
                     del stack[k:]
-                    _, silent, boiler, article, link = stack[-1] if stack else ("", False, False, False, False)
+                    _, silent, boiler, mark, article, link = stack[-1] if stack else outermost
                     break
                 if stack[k][0] in BLOCK_TAGS:
                     break
-        silent, boiler = silent or tag in SILENT_TAGS, boiler or _says_boilerplate(tag, attributes)
-        article, link = article or tag in ("article", "main"), link or tag == "a"
-        stack.append((tag, silent, boiler, article, link))
+        by_kind, said = _boilerplate(tag, attributes)
+        silent, boiler, link = silent or tag in SILENT_TAGS, boiler or by_kind, link or tag == "a"
+        if said:
+            marks.append((mark, said))
+            mark = len(marks) - 1
+        if tag in ("article", "main"):
+            articles.append((article, mark))
+            article = len(articles) - 1
+        stack.append((tag, silent, boiler, mark, article, link))
         if tag in RAW_TAGS:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
             at = end.end() if end else len(page)
             stack.pop()
-            _, silent, boiler, article, link = stack[-1] if stack else ("", False, False, False, False)
+            _, silent, boiler, mark, article, link = stack[-1] if stack else outermost
     close_block()
-    return blocks
+    unmarked, held = 0, [0] * len(articles)
+    for _, words, links, inside, hard, under in blocks:
+        if not hard:
+            unmarked += (words - links) * (under < 0)
+            if inside >= 0:
+                held[inside] += words - links
+    around = set()
+    for k in range(len(articles) - 1, -1, -1):  # inner ones first
+        outer, under = articles[k]
+        if outer >= 0:
+            held[outer] += held[k]
+        while held[k] >= max(unmarked, 1) and under >= 0 and under not in around:
+            around.add(under)
+            under = marks[under][0]
+    evidence = []
+    for k, (outer, said) in enumerate(marks):
+        evidence.append(max(evidence[outer] if outer >= 0 else PLAIN, PLAIN if k in around else said))
+    return [(text, words, links, inside >= 0, BOILER if hard else evidence[under] if under >= 0 else PLAIN) for text, words, links, inside, hard, under in blocks]
 
 
 def _decoded(text: str) -> str:
@@ -194,10 +254,10 @@ def _decoded(text: str) -> str:
 
 def main_text(page: str | None, tree: Tree) -> str:
     blocks = text_blocks(page)
-    has_article = any(b[3] and not b[4] for b in blocks)
+    has_article = any(b[3] and b[4] != BOILER for b in blocks)
     shape = [(0, 0.0), *[(words, links / max(words, 1)) for _, words, links, _, _ in blocks], (0, 0.0)]
     kept = [b[0] for k, b in enumerate(blocks, 1) if classify(tree, (
-        *shape[k], *shape[k - 1], *shape[k + 1], INSIDE if b[3] else OUTSIDE if has_article else NO_ARTICLE, int(b[4])))]
+        *shape[k], *shape[k - 1], *shape[k + 1], INSIDE if b[3] else OUTSIDE if has_article else NO_ARTICLE, b[4]))]
     return "\n\n".join(kept)
 
 

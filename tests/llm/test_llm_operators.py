@@ -171,6 +171,36 @@ def test_tree_fits_its_table():
     assert np.mean([html_text.classify(tree, r[:-1]) == r[-1] for r in html_text.LABELLED]) > 0.95
 
 
+_LONG = " ".join(["word"] * 60)
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<article class='post comments-open'><h1>T</h1><p>{_LONG}</p></article>", f"T\n\n{_LONG}"),
+    (f"<main role='main' class='has-sidebar'><h1>T</h1><p>{_LONG}</p></main>", f"T\n\n{_LONG}"),
+    (f"<body class='sidebar'><article><p>{_LONG}</p><p>end</p></article></body>", f"{_LONG}\n\nend"),
+    (f"<div class='sidebar'><article><p>{_LONG}</p><p>end</p></article></div>", f"{_LONG}\n\nend"),
+    (f"<main><div id=ads><article><p>{_LONG}</p></article></div></main>", _LONG),
+    (f"<div class='content with-sidebar'><p>{_LONG}</p><p>{_LONG}</p><p><a>More</a></p></div>", f"{_LONG}\n\n{_LONG}"),
+    (f"<article><div class='entry no-comments'><p>{_LONG}</p><ul><li><a>More</a></li></ul></div></article>", _LONG),
+    (f"<p>{_LONG}</p><p>{_LONG}</p><article><p>Teaser card</p></article><p>{_LONG}</p><p><a>{_LONG}</a></p>", f"{_LONG}\n\n{_LONG}\n\nTeaser card\n\n{_LONG}"),
+    # boilerplate that stays out: comments and related articles beside the text, whole names, tags, roles
+    (f"<article><p>{_LONG} end</p></article><div id=comments><article class=comment><p>{_LONG}</p></article></div>", f"{_LONG} end"),
+    (f"<p>{_LONG}</p><p>{_LONG}</p><div class=related-posts><article><p>{'card ' * 50}</p></article></div>", f"{_LONG}\n\n{_LONG}"),
+    (f"<article><p>{_LONG}</p><ol class=comment-list><li>{_LONG}</li></ol></article><nav>{_LONG}</nav><div role=search>{_LONG}</div>", _LONG),
+    ("<div class=ad>" * 3000 + "<article>" * 3000 + "x", "x"),
+])
+def test_weak_evidence_is_weighed(page, want):
+    assert html_text.main_text(page, html_text.train_block_tree()) == want
+
+
+def test_strong_evidence_holds_for_every_shape():
+    tree, rng = html_text.train_block_tree(), np.random.default_rng(3)
+    for words, before, after in rng.integers(0, 200, (2000, 3)):
+        shape = [x for n in (words, before, after) for x in (int(n), float(rng.random()))]
+        assert html_text.classify(tree, (*shape, html_text.INSIDE, html_text.PLAIN)) == 1
+        assert all(html_text.classify(tree, (*shape, place, html_text.BOILER)) == 0 for place in (html_text.INSIDE, html_text.NO_ARTICLE, html_text.OUTSIDE))
+
+
 # 5 ---------------------------------------------------------------------------------------
 
 def test_contained_items(spark, docs, texts, nothing):
