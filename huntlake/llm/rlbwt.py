@@ -39,7 +39,7 @@ from huntlake.llm.textkit import U64, prefix_hashes, run_edges, span_hash
 from huntlake.session import cut_lineage
 
 WIDTH, KMER = 50, 20
-_PLACE = 28  # bits for a position in a block
+_PLACE = 28  # bits for a position among the starts taken at once
 
 
 def anchor_groups(block: Block, width: int = WIDTH, kmer: int = KMER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -51,15 +51,18 @@ def anchor_groups(block: Block, width: int = WIDTH, kmer: int = KMER) -> tuple[n
     at = np.arange(len(block.data) - kmer + 1)
     running = prefix_hashes(block.data)
     value = span_hash(running, at, at + kmer)
-    low = (value >> U64(_PLACE) << U64(_PLACE)) | at.astype(np.uint64)
-    best, size, want = low, 1, width - kmer + 1
-    while size * 2 <= want:
-        best = np.minimum(best[:-size], best[size:])
-        size *= 2
-    if size < want:
-        best = np.minimum(best[:len(best) - (want - size)], best[want - size:])
-    anchor = (best & U64((1 << _PLACE) - 1)).astype(np.int64)
-    del low, best
+    anchor, step = np.empty(n, np.int64), (1 << _PLACE) - (width - kmer)
+    for a in range(0, n, step):  # so many starts that a position counted from the first has _PLACE bits
+        b = min(a + step, n)
+        best = (value[a:b + width - kmer] >> U64(_PLACE) << U64(_PLACE)) | at[:b - a + width - kmer].astype(np.uint64)
+        size, want = 1, width - kmer + 1
+        while size * 2 <= want:
+            best = np.minimum(best[:-size], best[size:])
+            size *= 2
+        if size < want:
+            best = np.minimum(best[:len(best) - (want - size)], best[want - size:])
+        anchor[a:b] = a + (best & U64((1 << _PLACE) - 1)).astype(np.int64)
+    del best
     row = np.repeat(np.arange(len(block.ids)), np.diff(block.offsets))[:n]
     known = np.array([i is not None for i in block.ids])
     ok = (block.offsets[row + 1] - np.arange(n) >= width) & known[row]

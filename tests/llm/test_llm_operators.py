@@ -121,6 +121,15 @@ def test_run_index_finds_the_smallest_owner():
     assert len(index.run_start) < sum(map(len, strings)) / 2  # repetitive, so compressed
 
 
+def test_anchors_past_the_bits_of_a_position(monkeypatch):
+    rng = np.random.default_rng(6)
+    text = np.r_[rng.integers(97, 123, 3000), np.full(200, 120), np.tile(rng.integers(97, 123, 90), 9)].astype(np.uint8)
+    block = rlbwt.Block(0, [5, None, 6], np.array([0, 10, 400, 2 * len(text)]), np.r_[text, text], {})
+    want = rlbwt.anchor_groups(block)
+    monkeypatch.setattr(rlbwt, "_PLACE", 8)  # texts of many times 256 bytes stand for those over 2 ** 28
+    assert all(np.array_equal(a, b) for a, b in zip(rlbwt.anchor_groups(block), want)) and len(want[0]) > 100
+
+
 # 3 ---------------------------------------------------------------------------------------
 
 def test_warc_round_trip(spark):
