@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from huntlake.llm import decontaminate, html_text, packing, ppm, pstable, quality, rlbwt, secrets, simhash, warc
+from huntlake.llm import decontaminate, html_text, packing, ppm, pstable, quality, rlbwt, secrets, simhash, tokenfile, warc
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -77,3 +77,8 @@ def op9_best_fit_packing(spark, sf_dir):
 @query
 def op10_lm_scoring(spark, sf_dir):
     return ppm.score_documents(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_token_files(spark, sf_dir):
+    return tokenfile.token_file_round_trip(_table(spark, sf_dir, "documents"))
