@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from huntlake.llm import decontaminate, html_text, packing, ppm, pstable, quality, rlbwt, secrets, simhash, tokenfile, warc
+from huntlake.llm import align, decontaminate, html_text, packing, ppm, pstable, quality, rlbwt, secrets, simhash, tokenfile, variants, warc
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -79,6 +79,16 @@ def op10_lm_scoring(spark, sf_dir):
     return ppm.score_documents(_table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_token_alignment(spark, sf_dir):
+    return align.align_documents(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_spelling_variants(spark, sf_dir):
+    return variants.spelling_groups(_table(spark, sf_dir, "documents"), min_length=5, min_count=3, ratio=2, drop_one_in=97)
+
+
 @query
 def op13_token_files(spark, sf_dir):
     return tokenfile.token_file_round_trip(_table(spark, sf_dir, "documents"))
