@@ -13,8 +13,8 @@ that reported are ever looked at, because reports are checkpointed before use.
 Defined results: null html is an empty payload; payloads under ``least`` bytes are never
 revisits. Of equal payloads the record with the largest page_id is the response and
 rows that share that page_id all are; a record without page_id is always a response and
-never revisited. A null or odd url has a key all the same (its characters outside
-printable ASCII are escaped in the header). Rows that share id and url are
+never revisited. A null or odd url has a key all the same (white space and control
+characters are escaped in it, those outside printable ASCII in the header). Rows that share id and url are
 one lookup that finds them all. Empty tables are fine. Other columns are not read.
 """
 
@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from huntlake.session import cut_lineage, scratch_path
 
 LEAST, BLOCK_ENTRIES, ARCHIVE_BYTES = 1000, 512, 1 << 28
+SALTS, SMALL_ROWS = 16, 200_000
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -48,11 +49,12 @@ def _store(path: str) -> tuple[fs.FileSystem, str]:
 
 
 def surt(url):
-    """Reversed-host key of a URL column: com,example,www)/path?query; A-Z of the host lower-cased."""
+    """Reversed-host key of a URL column: com,example,www)/path?query; A-Z of the host lower-cased, white space and control characters escaped."""
     text = F.coalesce(url, F.lit(""))
     host = F.lower(F.regexp_extract(text, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rest = F.regexp_replace(text, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*", "")
-    return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), F.regexp_replace(rest, r"\s", "%20"))
+    whole = F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), rest)
+    return F.regexp_replace(whole, r"[\x00-\x20\x7f]", "%20")  # index entries are lines of columns
 
 
 def _capture_key(page_id, url):
@@ -89,7 +91,11 @@ def write_archives(pages: DataFrame, base: str, id_col: str = "page_id", url_col
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("digest"))
     slim = rows.where(F.octet_length("html") >= least).select("page_id", "digest")
     best = slim.groupBy("digest").agg(F.max("page_id").alias("response"), F.min("page_id").alias("low")).where("low < response")
-    revisits = slim.join(best, "digest").where("page_id < response").select("page_id", "digest", "response").distinct()
+    salted = best.select("digest", "response", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))  # a page copied everywhere is not one key
+    revisits = cut_lineage(slim.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(salted, ["digest", "salt"])
+                           .where("page_id < response").select("page_id", "digest", "response").distinct())
+    if revisits.count() <= SMALL_ROWS:  # about a hundred bytes each; the pages then stay where they are
+        revisits = F.broadcast(revisits)
     ready = rows.join(revisits, ["page_id", "digest"], "left").select("page_id", "url", "html", "digest", "response", _capture_key(F.col("page_id"), F.col("url")).alias("key"))
 
     def write(batches):
@@ -98,7 +104,8 @@ def write_archives(pages: DataFrame, base: str, id_col: str = "page_id", url_col
         out, name, at = None, "", 0
         for batch in batches:
             files, offsets, lengths = [], [], []
-            for page_id, url, text, digest, response in zip(*[batch.column(i).to_pylist() for i in range(5)]):
+            for row in zip(*batch.columns[:5]):
+                page_id, url, text, digest, response = (x.as_py() for x in row)
                 if out is None or at >= ARCHIVE_BYTES:
                     if out:
                         out.close()
@@ -192,10 +199,14 @@ def lookup(keys: DataFrame, top: list[tuple[str, str]], base: str) -> DataFrame:
                 k = max(bisect.bisect_left(firsts, key) - 1, 0)
                 while k < len(top) and firsts[k] <= key:  # a key's captures may run over several files
                     if k != last:
+                        if opened:
+                            opened.file.close()
                         opened, last = _IndexFile(store, f"{folder}/{top[k][1]}"), k
                     out += [(f, int(o), int(n)) for _, f, o, n in opened.find(key)]
                     k += 1
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["file", "offset", "length"])
+        if opened:
+            opened.file.close()
 
     n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return keys.select("key").repartitionByRange(n, "key").sortWithinPartitions("key").mapInArrow(find, "file string, offset long, length long")
@@ -211,6 +222,8 @@ def read_records(places: DataFrame, base: str) -> DataFrame:
             out = []
             for file, offset, length in zip(*[c.to_pylist() for c in batch.columns]):
                 if file != name:
+                    if source:
+                        source.close()
                     name, source = file, store.open_input_file(f"{folder}/{file}")
                 headers, payload = parse_record(source.read_at(length, offset))
                 page = int(headers["Page-Id"]) if headers["Page-Id"] else None
@@ -220,9 +233,11 @@ def read_records(places: DataFrame, base: str) -> DataFrame:
                     out.append((page, int(headers["Payload-Length"]), headers["WARC-Payload-Digest"].removeprefix("sha1:"), "revisit", int(headers["Refers-To-Page-Id"])))
             types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], [x.split()[0] for x in RECORD.split(", ")])
+        if source:
+            source.close()
 
     n = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return places.repartitionByRange(n, "file", "offset").sortWithinPartitions("file", "offset").mapInArrow(read, RECORD)
+    return cut_lineage(places).repartitionByRange(n, "file", "offset").sortWithinPartitions("file", "offset").mapInArrow(read, RECORD)
 
 
 def archive_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
