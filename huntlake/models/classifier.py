@@ -1,59 +1,32 @@
-"""Boosted trees, scoring, stage classifier, importance, explanations,
-tuning and the end-to-end training.
-
-All training is Spark ML (distributed tree building, one job per tree level);
-the only driver-side state is the fitted model (trees, weights, category lists).
+"""Boosted trees, scoring, stage classifier, importance, explanations and the
+end-to-end training. The driver holds fitted models (trees, weights, category lists) only.
 """
 
 from __future__ import annotations
 
-import json
-import math
-import random
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import TrainValidationSplit
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from huntlake import schemas as S
 from huntlake.functions.cols import c
+from huntlake.models import trees as Tr
+from huntlake.models.boosting import BoostedTrees, BoostedTreesModel
 from huntlake.models.encoder import LinearAutoencoder
 from huntlake.models.preprocess import fit_preprocess
 from huntlake.operators import metrics as V
-from huntlake.operators.impute import MissingValueImputer
 from huntlake.operators.sample import BUCKETS, class_weights, hash_bucket, hash_split, smote
 
-# Boosted-tree defaults of the detector configuration (rounds, depth, eta, sampling).
-GBT_DEFAULTS = {"maxIter": 100, "maxDepth": 5, "stepSize": 0.1, "subsamplingRate": 0.8,
-                "featureSubsetStrategy": "0.8", "seed": 42}
-# Labelled rows that the boosted trees and the tuning of the queries are fitted on, at most.
+# Rows that the forest of the stage classifier is fitted on in the queries, at most.
 FIT_ROWS = 20_000
 
 
-def boosted_classifier(features: str = "features", label: str = "label", weight: str | None = None,
-                       validation: str | None = None, **params) -> GBTClassifier:
-    """M8: binary logistic boosting. Spark's GBT has no L1/L2 leaf penalties and
-    samples features per node, not per tree; early stopping uses the validation
-    indicator column with ``validationTol``."""
-    p = dict(GBT_DEFAULTS)
-    p.update(params)
-    gbt = GBTClassifier(featuresCol=features, labelCol=label, **p)
-    if weight:
-        gbt.setWeightCol(weight)
-    if validation:
-        gbt.setValidationIndicatorCol(validation)
-    return gbt
-
-
 def with_validation_flag(df: DataFrame, key: str, fraction: float = 0.2, seed: int = 43) -> DataFrame:
     """Marks the rows that early stopping validates on, by a hash of the key."""
     return df.withColumn("is_validation", hash_bucket(key, seed) < int(fraction * BUCKETS))
@@ -68,33 +41,25 @@ def bounded_rows(df: DataFrame, key: str, rows: int | None, seed: int = 44) -> D
     return df.where(whole <= int(rows / n * 2.0 ** 64 - 2.0 ** 63))
 
 
-def fit_scorer(df: DataFrame, features: list[str], target: str, key: str, fit_rows: int | None = FIT_ROWS, **params) -> PipelineModel:
-    """M8: median imputer, assembler and boosted trees with early stopping as one model.
-    The imputer sees all rows, the trees a hash sample of ``fit_rows`` labelled ones."""
-    imputer = MissingValueImputer(features, numeric_strategy="median", categorical_strategy="none").fit(df)
-    assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
-    sample = with_validation_flag(bounded_rows(df, key, fit_rows), key)
-    data = assembler.transform(imputer.transform(sample)).select("features", c(target).cast("double").alias("label"), "is_validation")
-    gbt = boosted_classifier(validation="is_validation", **params).fit(data.persist(StorageLevel.MEMORY_AND_DISK))
-    data.unpersist()
-    return PipelineModel(stages=[imputer, assembler, gbt])
+def fit_scorer(df: DataFrame, features: list[str], target: str, key: str, **params) -> PipelineModel:
+    """M8: boosted trees on all labelled rows, a fifth of them for early stopping on the AUC.
+    Rows without a value of a feature go the way each split has learned for them."""
+    data = with_validation_flag(df, key)
+    return PipelineModel(stages=[BoostedTrees(features, label=target, key=key, validation="is_validation", **params).fit(data)])
 
 
 def score(model, df: DataFrame, threshold: float = 0.5, prob_col: str = "apt_probability",
           pred_col: str = "apt_prediction") -> DataFrame:
     """M9: probability of the positive class and the strict threshold label."""
     out = model.transform(df)
-    p = vector_to_array(F.col("probability")).getItem(1)
+    p = F.col("probability") if dict(out.dtypes)["probability"] == "double" else vector_to_array(F.col("probability")).getItem(1)
     return out.withColumn(prob_col, p).withColumn(pred_col, F.when(F.col(prob_col) > threshold, 1).otherwise(0))
 
 
-def feature_importance(model, names: list[str], top_n: int | None = 20) -> DataFrame:
+def feature_importance(model: BoostedTreesModel, top_n: int | None = 20) -> DataFrame:
     """Importance per named feature (gain-based, normalised), descending."""
     from pyspark.sql import SparkSession
-    spark = SparkSession.getActiveSession()
-    imp = model.featureImportances.toArray()
-    rows = [(names[i] if i < len(names) else f"f{i}", float(v)) for i, v in enumerate(imp)]
-    df = spark.createDataFrame(rows, "feature string, importance double")
+    df = SparkSession.getActiveSession().createDataFrame(list(model.importance().items()), "feature string, importance double")
     df = df.orderBy(F.desc("importance"), F.asc("feature"))
     return df.limit(top_n) if top_n else df
 
@@ -119,123 +84,43 @@ def predict_stage(model: PipelineModel, df: DataFrame) -> DataFrame:
     return decode.transform(out).drop("stage_features", "stage_probability", "stage_raw", "stage_prediction")
 
 
-# --- M12: per-row contributions from the tree paths ---------------------------------
-
-def extract_trees(model) -> list[dict]:
-    """Flatten each tree of a tree-ensemble model into arrays (driver-side, model-sized)."""
-    jm = model._java_obj
-    weights = list(model.treeWeights) if hasattr(model, "treeWeights") else [1.0] * len(model.trees)
-    trees = []
-    for t, jtree in enumerate(jm.trees()):
-        feat, thr, left, right, value = [], [], [], [], []
-        stack = [(jtree.rootNode(), -1, False)]
-        while stack:
-            node, parent, is_left = stack.pop()
-            idx = len(feat)
-            if parent >= 0:
-                (left if is_left else right)[parent] = idx
-            value.append(float(node.prediction()))
-            if node.getClass().getSimpleName() == "InternalNode":
-                split = node.split()
-                feat.append(int(split.featureIndex()))
-                thr.append(float(split.threshold()))
-                left.append(-1)
-                right.append(-1)
-                stack.append((node.rightChild(), idx, False))
-                stack.append((node.leftChild(), idx, True))
-            else:
-                feat.append(-1)
-                thr.append(0.0)
-                left.append(-1)
-                right.append(-1)
-        trees.append({"w": float(weights[t]), "feat": feat, "thr": thr, "left": left, "right": right,
-                      "value": value})
-    return trees
+# --- M12: Shapley values of the margin ------------------------------------------------
 
-
-def explain_rows(model, df: DataFrame, key: str, names: list[str], features: str = "features",
-                 top_k: int = 5) -> DataFrame:
-    """Additive per-feature contributions (Saabas-style node-value differences)
-    for every row of ``df``: base value, raw margin, top-k contributions by
-    absolute value. base + sum(all contributions) == raw margin."""
-    trees = extract_trees(model)
-    arrs = [{k: np.asarray(v) for k, v in t.items() if k != "w"} | {"w": t["w"]} for t in trees]
-    base = float(sum(t["w"] * t["value"][0] for t in arrs))
+def explain_rows(model: BoostedTreesModel, df: DataFrame, key: str, top_k: int = 5) -> DataFrame:
+    """Base value (expected margin), raw margin, the sum of all Shapley values and the ``top_k``
+    largest by absolute value (ties in feature order) for every row of ``df``;
+    base value + sum == raw margin. Rows keep their key as it is, null or repeated."""
+    grown, names = model.trees(), model.features()
+    base = Tr.expected_margin(grown)
     d = len(names)
-    key_type = dict(df.dtypes)[key]
-    schema = T.StructType([
-        T.StructField(key, T._parse_datatype_string(key_type)),
-        T.StructField("base_value", T.DoubleType()),
-        T.StructField("raw_margin", T.DoubleType()),
-        T.StructField("contribution_sum", T.DoubleType()),
-        T.StructField("top_contributions", T.ArrayType(T.StructType([
-            T.StructField("name", T.StringType()), T.StructField("value", T.DoubleType()),
-            T.StructField("contribution", T.DoubleType())]))),
-    ])
-    src = df.select(c(key), vector_to_array(F.col(features)).alias("__x"))
-
-    def walk(batches):
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            x = np.vstack(pdf["__x"].to_numpy()).astype("float64")
-            n = x.shape[0]
-            contrib = np.zeros((n, d))
-            margin = np.zeros(n)
-            rows = np.arange(n)
-            for t in arrs:
-                node = np.zeros(n, dtype=np.int64)
-                while True:
-                    f = t["feat"][node]
-                    internal = f >= 0
-                    if not internal.any():
-                        break
-                    fi = np.where(internal, f, 0)
-                    go_left = x[rows, fi] <= t["thr"][node]
-                    nxt = np.where(go_left, t["left"][node], t["right"][node])
-                    nxt = np.where(internal, nxt, node)
-                    delta = t["value"][nxt] - t["value"][node]
-                    np.add.at(contrib, (rows[internal], fi[internal]), t["w"] * delta[internal])
-                    node = nxt
-                margin += t["w"] * t["value"][node]
-            order = np.argsort(-np.abs(contrib), axis=1)[:, :top_k]
-            tops = [[{"name": names[j], "value": float(x[i, j]), "contribution": float(contrib[i, j])}
-                     for j in order[i]] for i in range(n)]
-            yield pd.DataFrame({key: pdf[key].to_numpy(), "base_value": base, "raw_margin": margin,
-                                "contribution_sum": contrib.sum(axis=1), "top_contributions": tops})
-
-    return src.mapInPandas(walk, schema)
-
-
-# --- M13: tuning ---------------------------------------------------------------------
 
-def tune(train: DataFrame, label: str = "label", features: str = "features", n_trials: int = 50,
-         seed: int = 42, parallelism: int = 2, base: dict | None = None):
-    """Validation AUC of ``n_trials`` seeded random draws from the parameter space
-    (depth, step, row and feature sampling, rows and gain a split needs)."""
-    gbt = boosted_classifier(features, label, **(base or {}))
-    rnd = random.Random(seed)
-    trials = [{gbt.maxDepth: rnd.randint(3, 10), gbt.stepSize: math.exp(rnd.uniform(math.log(0.01), math.log(0.3))),
-               gbt.subsamplingRate: rnd.uniform(0.5, 1.0), gbt.featureSubsetStrategy: f"{rnd.uniform(0.5, 1.0):.3f}",
-               gbt.minInstancesPerNode: rnd.randint(1, 10), gbt.minInfoGain: math.exp(rnd.uniform(math.log(1e-8), 0.0))}
-              for _ in range(n_trials)]
-    evaluator = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction",
-                                              metricName="areaUnderROC", numBins=0)
-    tvs = TrainValidationSplit(estimator=gbt, estimatorParamMaps=trials, evaluator=evaluator, trainRatio=0.8,
-                               parallelism=parallelism, seed=seed)
-    model = tvs.fit(train)
-    results = [(json.dumps({p.name: v for p, v in pm.items()}, sort_keys=True), float(m))
-               for pm, m in zip(trials, model.validationMetrics)]
-    return model, results
+    def explain(batches):
+        told = pa.array(names, pa.string())
+        for batch in batches:
+            n = batch.num_rows
+            x = np.column_stack([np.asarray(batch.column(i + 1).to_numpy(zero_copy_only=False), np.float64) for i in range(d)]) if d else np.zeros((n, 0))
+            values = Tr.shapley_values(grown, x)
+            order = np.argsort(-np.abs(values), axis=1, kind="stable")[:, :top_k]
+            picked = pa.StructArray.from_arrays(
+                [told.take(pa.array(order.ravel())), pa.array(np.take_along_axis(x, order, 1).ravel(), from_pandas=True), pa.array(np.take_along_axis(values, order, 1).ravel())],
+                ["name", "value", "contribution"])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * order.shape[1], pa.int32()), picked)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(n, base)), pa.array(Tr.margins(grown, x)), pa.array(values.sum(1)), lists],
+                                             [key, "base_value", "raw_margin", "contribution_sum", "top_contributions"])
+
+    rows = df.select(c(key), *[c(f).cast("double").alias(f"x{i}") for i, f in enumerate(names)])
+    kind = dict(df.dtypes)[key]
+    return rows.mapInArrow(explain, f"`{key}` {kind}, base_value double, raw_margin double, contribution_sum double, "
+                                    "top_contributions array<struct<name: string, value: double, contribution: double>>")
 
 
 # --- M14: end-to-end training ------------------------------------------------------
 
 def train_detector(df: DataFrame, target: str = "is_apt", key: str = "flow_id", exclude: tuple[str, ...] = (),
                    k: int | None = None, test_fraction: float = 0.2, seed: int = 42, threshold: float = 0.5,
-                   balance: bool = True, smote_ratio: float | None = None, fit_rows: int | None = None, **gbt_params):
-    """Split -> fit preparation -> encoder (+threshold) -> stack -> boosted trees
-    -> metrics on the held-out split. Returns (PipelineModel, feature names, metrics).
+                   balance: bool = True, smote_ratio: float | None = None, fit_rows: int | None = None, **params):
+    """Split -> fit preparation -> encoder (+threshold) -> boosted trees on the features,
+    the error and the encodings -> metrics on the held-out split. Returns (PipelineModel, feature names, metrics).
 
     A fifth of the training rows validates for early stopping. Classes are balanced by
     weights, or, with ``smote_ratio``, by synthetic minority rows (X3) beside the rows the
@@ -246,31 +131,25 @@ def train_detector(df: DataFrame, target: str = "is_apt", key: str = "flow_id",
     train, test = hash_split(df, key, 1.0 - test_fraction, seed)
     train = train.persist(StorageLevel.MEMORY_AND_DISK)
     prep, names = fit_preprocess(train, target=target, exclude=(key,) + tuple(exclude))
-    # the prepared frame feeds the encoder fit (three passes) and the assembler
+    # the prepared frame feeds the encoder fit (three passes) and the trees
     ptrain = prep.transform(train).persist(StorageLevel.MEMORY_AND_DISK)
     enc = LinearAutoencoder(names, k=k).fit(ptrain)
-    k_eff = len(enc.get_state()["components"])
-    stack_cols = names + ["reconstruction_error"] + [f"encoded_{i}" for i in range(k_eff)]
-    assembler = VectorAssembler(inputCols=stack_cols, outputCol="features", handleInvalid="keep")
+    stack_cols = names + ["reconstruction_error"] + [f"encoded_{i}" for i in range(len(enc.get_state()["components"]))]
     stacked = with_validation_flag(enc.transform(bounded_rows(ptrain, key, fit_rows)), key)
+    weight, row_key = None, key
     if smote_ratio is not None:
         numeric = stacked.select(c(key), *[c(n).cast("double").alias(n) for n in stack_cols], c(target).cast("double").alias("label"),
                                  "is_validation")
         made = smote(numeric.where(~F.col("is_validation")), key, "label", stack_cols, 1.0, smote_ratio, seed=seed)
-        stacked = numeric.drop(key).unionByName(made.drop("synthetic").withColumn("is_validation", F.lit(False)))
+        stacked, row_key = numeric.drop(key).unionByName(made.drop("synthetic").withColumn("is_validation", F.lit(False))), None
     else:
         stacked = stacked.withColumn("label", c(target).cast("double"))
-    assembled = assembler.transform(stacked)
-    weight = None
-    if balance and smote_ratio is None:
-        assembled = class_weights(assembled, "label", "weight")
-        weight = "weight"
-    assembled = assembled.select("features", "label", "is_validation", *([weight] if weight else [])).persist(StorageLevel.MEMORY_AND_DISK)
-    gbt = boosted_classifier("features", "label", weight=weight, validation="is_validation", **gbt_params).fit(assembled)
-    assembled.unpersist()
+        if balance:
+            stacked, weight = class_weights(stacked, "label", "weight"), "weight"
+    boosted = BoostedTrees(stack_cols, label="label", key=row_key, weight=weight, validation="is_validation", **params).fit(stacked)
     ptrain.unpersist()
     train.unpersist()
-    model = PipelineModel(stages=list(prep.stages) + [enc, assembler, gbt])
+    model = PipelineModel(stages=list(prep.stages) + [enc, boosted])
     return model, stack_cols, detector_metrics(score(model, test, threshold), target)
 
 
@@ -279,11 +158,11 @@ def detector_metrics(scored: DataFrame, target: str = "is_apt") -> DataFrame:
     return V.combined_vs_encoder(scored, target, "apt_prediction", "is_anomaly", "apt_probability", "reconstruction_error")
 
 
-def training_report(model: PipelineModel, names: list[str], metrics: DataFrame, scored: DataFrame) -> DataFrame:
+def training_report(model: PipelineModel, metrics: DataFrame, scored: DataFrame) -> DataFrame:
     """The result document of a training as one nested row for S9: feature importance,
     summary of the reconstruction errors with the threshold, and the metrics."""
-    threshold = model.stages[-3].get_state()["threshold"]
-    importance = feature_importance(model.stages[-1], names, None).agg(
+    threshold = model.stages[-2].get_state()["threshold"]
+    importance = feature_importance(model.stages[-1], None).agg(
         F.sort_array(F.collect_list(F.struct("importance", "feature")), asc=False).alias("feature_importance"))
     errors = V.error_summary(scored, {"reconstruction_error": "reconstruction_error"}, None).select(
         F.struct("mean", "std", "min", "max", F.lit(threshold).alias("anomaly_threshold")).alias("reconstruction_errors"))

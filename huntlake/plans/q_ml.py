@@ -1,20 +1,21 @@
 """Queries: models (M1-M15) and sampling.
 
-Trees are fitted with the library's rounds and early stopping on at most ``FIT_ROWS``
-labelled rows, drawn by a hash of the key; everything else reads the whole tables.
+Boosted trees are fitted with the library's rounds and early stopping on all labelled rows.
+The forest of the stage classifier (M10) is fitted on at most ``FIT_ROWS`` rows, drawn by a
+hash of the key; everything else reads the whole tables.
 """
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.ml.feature import VectorAssembler
+import json
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from huntlake import schemas as S
 from huntlake.functions import logs as L
 from huntlake.functions.cols import c
-from huntlake.models import classifier as M
+from huntlake.models import classifier as M, tuning as U
 from huntlake.models.encoder import LinearAutoencoder, encoded_columns, reconstruction_error_column
 from huntlake.models.iforest import IsolationForest
 from huntlake.models.preprocess import preprocess_pipeline
@@ -25,7 +26,6 @@ from huntlake.plans.oracle import register, with_flows, with_logs
 from huntlake.sources.tables import flows_view, logs_view
 
 FEATS = S.EXPECTED_FEATURES
-TRIALS, TRIAL_ROWS = 10, 4_000  # of m13_tune
 
 
 def _flows_model_input(spark, sf_dir):
@@ -141,7 +141,7 @@ def m7(spark, sf_dir):
 # --- M8-M14 --------------------------------------------------------------------------
 
 def _scorer(spark, sf_dir):
-    """(imputer + assembler + boosted trees fitted on a training split, all flows)."""
+    """(boosted trees fitted on a training split, all flows)."""
     data = flows_view(spark, sf_dir).select("flow_id", *[c(n) for n in FEATS], "is_apt")
     train, _ = X.hash_split(data, "flow_id", 0.8, 42)
     return M.fit_scorer(train, FEATS, "is_apt", "flow_id"), data
@@ -171,29 +171,102 @@ def m10(spark, sf_dir):
 @query("m11_feature_importance")
 def m11(spark, sf_dir):
     model, _ = _scorer(spark, sf_dir)
-    return M.feature_importance(model.stages[-1], FEATS, top_n=20)
+    return M.feature_importance(model.stages[-1], top_n=20)
 
 
 @query("m12_explain_rows")
 def m12(spark, sf_dir):
     model, data = _scorer(spark, sf_dir)
     flagged = M.score(model, data).where(F.col("apt_prediction") == 1)
-    return M.explain_rows(model.stages[-1], flagged, "flow_id", FEATS, top_k=5)
+    return M.explain_rows(model.stages[-1], flagged, "flow_id", top_k=5)
 
 
 @query("m13_tune")
 def m13(spark, sf_dir):
-    rows = M.bounded_rows(_flows_model_input(spark, sf_dir), "flow_id", TRIAL_ROWS)
-    data = VectorAssembler(inputCols=FEATS, outputCol="features", handleInvalid="keep").transform(rows)
-    data = data.select("features", F.col("is_apt").cast("double").alias("label"))
-    _, results = M.tune(data, n_trials=TRIALS, base={"maxIter": 20}, parallelism=8)
-    return spark.createDataFrame(results, "params string, validation_auc double")
+    """50 trials over the whole space, valued on all held-out rows."""
+    rows = M.with_validation_flag(flows_view(spark, sf_dir).select("flow_id", *[c(n) for n in FEATS], "is_apt"), "flow_id")
+    _, tried = U.tune(rows, FEATS, "is_apt", "is_validation", "flow_id", n_trials=50)
+    found = [(k, json.dumps(p, sort_keys=True), v, n) for k, (p, v, n) in enumerate(tried)]
+    return spark.createDataFrame(found, "trial int, params string, validation_auc double, rounds int")
+
+
+@query("m13_tuning_invariants")
+def m13_invariants(spark, sf_dir):
+    """All trials of the tuning: how many, all parameters in range, the best no worse than the first, an AUC for each."""
+    found = m13(spark, sf_dir).withColumn("p", F.from_json("params", ", ".join(f"{d.name} {'string' if d.choices else 'double'}" for d in U.SPACE)))
+    inside = F.lit(True)
+    for d in U.SPACE:
+        x = F.col(f"p.{d.name}")
+        inside = inside & (x.isin(*d.choices) if d.choices else (x >= d.low) & (x <= d.high))
+    auc = F.col("validation_auc")
+    return found.agg(F.count(F.lit(1)).alias("trials"), F.count_if(inside).alias("in_range"), F.count_if((auc > 0.5) & (auc <= 1)).alias("valued"),
+                     (F.max(auc) >= F.max(F.when(F.col("trial") == 0, auc))).alias("best_is_best"))
+
+
+register("m13_tuning_invariants", "SELECT 50 AS trials, 50 AS in_range, 50 AS valued, true AS best_is_best")
+
+# Cut points of the one-split model, and a tree over two features, shared by the queries and their SQL.
+SPLIT_CUTS = {"Total Fwd Packet": [60.0, 120.0, 160.0, 200.0], "Flow Bytes/s": [10000.0, 30000.0, 60000.0], "RST Flag Count": [0.0]}
+FIXED_TREE = {"feat": [0, -1, 1, -1, -1], "thr": [150.0, 0.0, 0.0, 0.0, 0.0], "left": [1, -1, 3, -1, -1], "right": [2, -1, 4, -1, -1], "value": [0.0, -0.5, 0.0, 0.25, 1.5],
+              "cover": [100.0, 70.0, 30.0, 10.0, 20.0], "gain": [1.0, 0.0, 1.0, 0.0, 0.0], "missing_left": [True, False, True, False, False]}
+
+
+@query("m8_first_split")
+def m8_first_split(spark, sf_dir):
+    """The one split of a tree of depth 1 over given cut points: feature, threshold, gain, side of missing values, leaf values and covers."""
+    from huntlake.models import boosting as B
+    cuts = list(SPLIT_CUTS.values())
+    blocks = B.packed_blocks(flows_view(spark, sf_dir), list(SPLIT_CUTS), "is_apt", cuts, "flow_id")
+    (run,) = B.fit_many(blocks, cuts, [{"rounds": 1, "depth": 1, "subsample": 1.0, "colsample": 1.0, "eta": 1.0}])
+    t = run.trees[0]
+    row = (list(SPLIT_CUTS)[t["feat"][0]], float(t["thr"][0]), float(t["gain"][0]), bool(t["missing_left"][0]), *[float(t[k][n]) for n in (1, 2) for k in ("value", "cover")])
+    found = spark.createDataFrame([row], "feature string, threshold double, gain double, missing_left boolean, left_value double, left_cover double, right_value double, right_cover double")
+    return found.select(*[r6(F.col(n)).alias(n) if t == "double" else n for n, t in found.dtypes])
+
+
+def _split_candidates() -> str:
+    return " UNION ALL ".join(
+        f"""SELECT {i} AS f, '{name}' AS feature, {k} AS k, {cut}e0 AS threshold, {to_left} AS missing_left, CAST(is_apt AS DOUBLE) AS y,
+        CASE WHEN "{name}" IS NULL THEN {to_left} ELSE "{name}" <= {cut}e0 END AS goes_left FROM flows"""
+        for i, (name, cuts) in enumerate(SPLIT_CUTS.items()) for k, cut in enumerate(cuts) for to_left in ("false", "true"))
+
+
+# alpha 0.1 and lambda 1; at margin 0 a row has gradient 0.5 - y and hessian 0.25
+register("m8_first_split", with_flows("""
+SELECT feature, threshold, round_even(gain, 6) AS gain, missing_left, round_even(-gl / (hl + 1), 6) AS left_value, round_even(hl, 6) AS left_cover,
+  round_even(-gr / (hr + 1), 6) AS right_value, round_even(hr, 6) AS right_cover
+FROM (SELECT *, gl * gl / (hl + 1) + gr * gr / (hr + 1) - gt * gt / (hl + hr + 1) AS gain
+      FROM (SELECT f, k, feature, threshold, missing_left, hl, hr, sign(l) * greatest(abs(l) - 0.1e0, 0) AS gl, sign(r) * greatest(abs(r) - 0.1e0, 0) AS gr,
+              sign(l + r) * greatest(abs(l + r) - 0.1e0, 0) AS gt FROM sides) a)
+WHERE hl >= 1 AND hr >= 1 ORDER BY round_even(gain, 6) DESC, f, missing_left, k LIMIT 1""",
+    f"""sides AS (SELECT f, feature, k, threshold, missing_left, sum(CASE WHEN goes_left THEN 0.5e0 - y ELSE 0 END) AS l, sum(CASE WHEN goes_left THEN 0 ELSE 0.5e0 - y END) AS r,
+  sum(CASE WHEN goes_left THEN 0.25e0 ELSE 0 END) AS hl, sum(CASE WHEN goes_left THEN 0 ELSE 0.25e0 END) AS hr
+  FROM ({_split_candidates()}) c GROUP BY f, feature, k, threshold, missing_left)"""))
+
+
+@query("m12_shapley_fixed_tree")
+def m12_fixed(spark, sf_dir):
+    """Shapley values of a given tree for every flow, missing values included."""
+    from huntlake.models.boosting import BoostedTreesModel
+    names = ["Total Fwd Packet", "RST Flag Count"]
+    told = M.explain_rows(BoostedTreesModel.from_state({"features": names, "trees": [FIXED_TREE]}), flows_view(spark, sf_dir), "flow_id", top_k=2)
+    own = [F.filter("top_contributions", lambda t, n=n: t["name"] == n)[0]["contribution"] for n in names]
+    return told.select("flow_id", r6(F.col("base_value")).alias("base_value"), r6(F.col("raw_margin")).alias("raw_margin"), r6(own[0]).alias("packets"), r6(own[1]).alias("resets"))
+
+
+# The Shapley value of two features from the four expectations of the tree.
+register("m12_shapley_fixed_tree", with_flows("""
+SELECT flow_id, round_even(e0, 6) AS base_value, round_even(e12, 6) AS raw_margin, round_even(((e1 - e0) + (e12 - e2)) / 2, 6) AS packets,
+  round_even(((e2 - e0) + (e12 - e1)) / 2, 6) AS resets
+FROM (SELECT flow_id, 0.7e0 * -0.5e0 + 0.1e0 * 0.25e0 + 0.2e0 * 1.5e0 AS e0, CASE WHEN a THEN -0.5e0 ELSE 0.25e0 / 3 + 1.5e0 * 2 / 3 END AS e1,
+        0.7e0 * -0.5e0 + 0.3e0 * CASE WHEN b THEN 0.25e0 ELSE 1.5e0 END AS e2, CASE WHEN a THEN -0.5e0 WHEN b THEN 0.25e0 ELSE 1.5e0 END AS e12
+      FROM (SELECT flow_id, coalesce("Total Fwd Packet" <= 150, true) AS a, coalesce("RST Flag Count" <= 0, true) AS b FROM flows) x) y"""))
 
 
 @query("m14_train_detector")
 def m14(spark, sf_dir):
     df = _flows_model_input(spark, sf_dir)
-    _, _, metrics = M.train_detector(df, target="is_apt", key="flow_id", fit_rows=M.FIT_ROWS)
+    _, _, metrics = M.train_detector(df, target="is_apt", key="flow_id")
     return metrics
 
 
@@ -390,9 +463,9 @@ def m8_invariants(spark, sf_dir):
     counts = scored.agg(F.count(F.lit(1)).alias("row_count"), F.count_if((p >= 0) & (p <= 1) & ((p > 0.5) == (y == 1))).alias("scored"),
                         (F.count_if(unseen & (y == F.col("is_apt"))) > 0.99 * F.count_if(unseen)).alias("unseen_right"),
                         F.count_if(y == 1).alias("flagged"))
-    names = M.feature_importance(model.stages[-1], FEATS, None).agg(
+    names = M.feature_importance(model.stages[-1], None).agg(
         F.count(F.lit(1)).alias("features"), (F.abs(F.sum("importance") - 1) < 1e-6).alias("importance_is_whole"))
-    told = M.explain_rows(model.stages[-1], scored.where(y == 1), "flow_id", FEATS)
+    told = M.explain_rows(model.stages[-1], scored.where(y == 1), "flow_id")
     told = told.agg(F.count_if(F.abs(F.col("base_value") + F.col("contribution_sum") - F.col("raw_margin")) < 1e-6).alias("explained"))
     return counts.join(names).join(told).select("row_count", "scored", "unseen_right", "features", "importance_is_whole",
                                                 (F.col("explained") == F.col("flagged")).alias("all_explained"))
@@ -409,9 +482,9 @@ def m14_report(spark, sf_dir):
     from huntlake.session import scratch_path
     from huntlake.sources import sinks as K
     df = _flows_model_input(spark, sf_dir)
-    model, names, metrics = M.train_detector(df, fit_rows=M.FIT_ROWS)
+    model, _, metrics = M.train_detector(df)
     path = scratch_path(spark, "training-report")
-    K.sink_report_json(M.training_report(model, names, metrics, M.score(model, df)), path)
+    K.sink_report_json(M.training_report(model, metrics, M.score(model, df)), path)
     back = spark.read.json(path)
     errors = F.col("reconstruction_errors")
     f1 = F.filter("performance", lambda r: (r["detector"] == "classifier") & (r["metric"] == "f1"))[0]["value"]

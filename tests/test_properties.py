@@ -4,8 +4,6 @@ import math
 
 import numpy as np
 import pytest
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from huntlake import schemas as S
@@ -180,14 +178,12 @@ def test_encoder_full_rank_reconstructs(spark):
 
 
 def test_explanations_sum_to_margin(spark):
-    df = I.impute_median(flows_view(spark, SMALL).select("flow_id", *[c(n) for n in FEATS], "is_apt"), FEATS)
-    data = VectorAssembler(inputCols=FEATS, outputCol="features").transform(df) \
-        .withColumn("label", F.col("is_apt").cast("double"))
-    model = M.boosted_classifier(maxIter=4, maxDepth=3).fit(data)
-    ex = M.explain_rows(model, data, "flow_id", FEATS, top_k=5)
-    raw = model.transform(data).select("flow_id", vector_to_array("rawPrediction")[1].alias("m"))
+    df = flows_view(spark, SMALL).select("flow_id", *[c(n) for n in FEATS], "is_apt")
+    model = M.BoostedTrees(FEATS, label="is_apt", key="flow_id", rounds=4, depth=3).fit(df)
+    ex = M.explain_rows(model, df, "flow_id", top_k=5)
+    raw = model.transform(df).select("flow_id", F.col("raw_margin").alias("m"))
     # sf0.001 repeats one flow_id: compare on unique keys only
-    unique = data.groupBy("flow_id").count().where("count = 1").select("flow_id")
+    unique = df.groupBy("flow_id").count().where("count = 1").select("flow_id")
     joined = ex.join(raw, "flow_id").join(unique, "flow_id").collect()
     assert joined
     for r in joined:
