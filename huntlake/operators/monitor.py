@@ -20,12 +20,15 @@ def split_batches(df: DataFrame, key: str, batch_size: int = 200, min_batches: i
                   out: str = "batch") -> DataFrame:
     """Consecutive batches of ``batch_size`` rows in key order (distributed row number).
 
-    The detector used max(min_batches, n // batch_size) batches and dropped the
-    tail past the last full batch; here every row keeps its batch (tail kept),
-    and batches numbered beyond that count form the trailing partial batch.
+    Every row keeps its batch: the tail past the last full one is a batch too. A table too
+    small for ``min_batches`` full batches is cut into smaller ones, so that there are that
+    many (or one row each). Only the key is numbered; the other columns come back by a join.
     """
-    numbered = row_numbers(df, [key])
-    return numbered.withColumn(out, F.floor((F.col("rn") - 1) / batch_size).cast("long"))
+    numbered = row_numbers(df.select(c(key)), [key])
+    n = df.count()
+    size = max(1, min(batch_size, n // max(1, min_batches)))
+    batched = numbered.withColumn(out, F.floor((F.col("rn") - 1) / size).cast("long"))
+    return batched if df.columns == [key] else df.join(batched, key)
 
 
 def batch_metrics(df: DataFrame, batch: str, truth: str, pred: str) -> DataFrame:

@@ -311,6 +311,25 @@ SELECT flow_id, is_apt, siem_detection FROM m WHERE flow_id NOT IN (SELECT flow_
                                     M_CTE))
 
 
+@query("c5_align_by_position")
+def c5p(spark, sf_dir):
+    """Two file tables without a common key, one of them shorter, aligned row by row."""
+    from huntlake.operators.position import align_by_position
+    from huntlake.session import scratch_path
+    paths = scratch_path(spark, "c5-siem"), scratch_path(spark, "c5-ml")
+    df = scored(spark, sf_dir).select("flow_id", "siem_detection", "apt_prediction")
+    last = df.agg(F.max("flow_id")).first()[0]
+    df.repartitionByRange(5, "flow_id").sortWithinPartitions("flow_id").drop("apt_prediction").write.parquet(paths[0])
+    df.where(F.col("flow_id") < last).repartitionByRange(3, "flow_id").sortWithinPartitions("flow_id").select("apt_prediction").write.parquet(paths[1])
+    aligned, rest = align_by_position(spark.read.parquet(paths[0]), spark.read.parquet(paths[1]))
+    return aligned.unionByName(rest, allowMissingColumns=True)
+
+
+register("c5_align_by_position", with_flows("""
+SELECT row_number() OVER (ORDER BY flow_id) - 1 AS position, flow_id, siem_detection,
+  CASE WHEN flow_id < (SELECT max(flow_id) FROM m) THEN apt_prediction END AS apt_prediction FROM m""", M_CTE))
+
+
 # --- projections / filters -----------------------------------------------------------
 
 @query("p5_suspects_only")

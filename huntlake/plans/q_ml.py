@@ -129,6 +129,15 @@ FROM (SELECT flow_id, {_fixed_error_sql()} AS e FROM flows) x,
      (SELECT quantile_cont({_fixed_error_sql()}, 0.95) AS t FROM flows) q"""))
 
 
+@query("m2b_deep_encoder")
+def m2b(spark, sf_dir):
+    """The non-linear encoder, trained and applied; four mini-batches an epoch."""
+    from huntlake.models.deep_encoder import DeepAutoencoder
+    df = _scaled_flows(spark, sf_dir)
+    out = DeepAutoencoder(FEATS, key="flow_id", steps=4).fit(df).transform(df)
+    return out.select("flow_id", "reconstruction_error", "is_anomaly", *[n for n in out.columns if n.startswith("encoded_")])
+
+
 @query("m7_stack_features")
 def m7(spark, sf_dir):
     from huntlake.models.encoder import stack_features

@@ -273,6 +273,23 @@ FROM (SELECT *, CASE WHEN outlier_count >= 3 THEN 1 ELSE 0 END AS l3 FROM oc) x,
              quantile_cont(outlier_count, 0.95) AS p95 FROM oc) st""", _outlier_sql_cte()))
 
 
+@query("l1_l4_label_auto")
+def l_auto(spark, sf_dir):
+    """Labels by the stage where there is one, else by the outliers of the features."""
+    staged = LB.label_auto(flows_view(spark, sf_dir).select("flow_id", "Stage")).select("flow_id", F.lit("stage").alias("branch"), "is_apt")
+    return staged.unionByName(LB.label_auto(_flows17(spark, sf_dir)).select("flow_id", F.lit("outliers").alias("branch"), "is_apt"))
+
+
+register("l1_l4_label_auto", with_flows("""
+SELECT flow_id, 'stage' AS branch, CAST(coalesce(contains(lower("Stage"), 'exfiltration'), false) AS INTEGER) AS is_apt FROM flows
+UNION ALL
+SELECT flow_id, 'outliers', CASE WHEN rate > 0.1 OR pos = 0 THEN CASE WHEN outlier_count >= p95 THEN 1 ELSE 0 END ELSE l3 END
+FROM (SELECT *, CASE WHEN outlier_count >= 3 THEN 1 ELSE 0 END AS l3 FROM oc) x,
+     (SELECT avg(CASE WHEN outlier_count >= 3 THEN 1.0 ELSE 0.0 END) AS rate,
+             sum(CASE WHEN outlier_count >= 3 THEN 1 ELSE 0 END) AS pos,
+             quantile_cont(outlier_count, 0.95) AS p95 FROM oc) st""", _outlier_sql_cte()))
+
+
 @query("l5_label_variance_p95")
 def l5(spark, sf_dir):
     df = _flows17(spark, sf_dir)

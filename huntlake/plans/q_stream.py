@@ -90,6 +90,45 @@ query("w8_stream_flow_windows_1d")(_w8(86400))
 register("w8_stream_flow_windows_1d", _w8_sql(86400))
 
 
+SESSION_GAP_S = 7200
+
+
+@query("w8_stream_flow_sessions")
+def w8s(spark, sf_dir):
+    """Sessions that the watermark has closed by the end of the stream."""
+    src, out = _log_parquet_files(spark, sf_dir), scratch_path(spark, "w8-sessions")
+    SW.start_flow_windows(spark, _log_stream(spark, src), out, scratch_path(spark, "w8-sessions-ckpt"), session_gap=f"{SESSION_GAP_S} seconds").awaitTermination()
+    micros = F.unix_micros("session_start").alias("session_start_us"), F.unix_micros("session_end").alias("session_end_us")
+    return SW.latest_windows(spark, out).select("flow_id", *micros, "packets", "flow_duration", r6(F.col("flow_mean_time_delta")).alias("flow_mean_time_delta"))
+
+
+register("w8_stream_flow_sessions", with_logs(f"""
+SELECT flow_id, min(us) AS session_start_us, max(us) + {SESSION_GAP_S * 1_000_000} AS session_end_us, count(*) AS packets,
+  CASE WHEN count(*) > 1 THEN max(t) - min(t) END AS flow_duration,
+  round_even(CASE WHEN count(*) > 1 THEN (max(t) - min(t)) / (count(*) - 1) END, 6) AS flow_mean_time_delta
+FROM (SELECT *, sum(CASE WHEN us - before <= {SESSION_GAP_S * 1_000_000} THEN 0 ELSE 1 END) OVER (PARTITION BY flow_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS session
+      FROM (SELECT coalesce(source, 'nan') || '_' || coalesce(destination, 'nan') AS flow_id, epoch_us({TS}) AS us, epoch_us({TS}) / 1e6 AS t,
+              lag(epoch_us({TS})) OVER (PARTITION BY coalesce(source, 'nan') || '_' || coalesce(destination, 'nan') ORDER BY {TS}) AS before FROM logs) a) b
+GROUP BY flow_id, session
+HAVING max(us) + {SESSION_GAP_S * 1_000_000} <= (SELECT max(epoch_us({TS})) // 1000 * 1000 - 600000000 FROM logs)"""))
+
+
+@query("w7_quarantine")
+def w7q(spark, sf_dir):
+    """Lines without a readable time are kept aside, whether or not a place for them was named."""
+    path, index_path = scratch_path(spark, "w7-odd-csv"), scratch_path(spark, "w7-odd-index")
+    time = F.when(F.col("log_id") % 7 == 0, F.concat(F.lit("at "), F.col("log_id").cast("string"))).otherwise(F.date_format("timestamp", LOG_TIME_FORMAT))
+    logs_view(spark, sf_dir).select(time, "source", "destination", "event").write.option("header", False).csv(path)
+    SI.start_log_ingest(spark, path, index_path, scratch_path(spark, "w7-odd-attacks"), scratch_path(spark, "w7-odd-ckpt")).awaitTermination()
+    lost = spark.read.parquet(SI.quarantine_of(index_path)).select(F.lit("quarantine").alias("store"), F.col("raw").alias("line"))
+    return lost.unionByName(spark.read.parquet(index_path).groupBy().count().select(F.lit("index").alias("store"), F.col("count").cast("string").alias("line")))
+
+
+register("w7_quarantine", with_logs("""
+SELECT 'quarantine' AS store, 'at ' || log_id || ',' || source || ',' || destination || ',' || event AS line FROM logs WHERE log_id % 7 = 0
+UNION ALL SELECT 'index', CAST(count(*) AS VARCHAR) FROM logs WHERE log_id % 7 <> 0"""))
+
+
 @query("w9_stream_flow_delta")
 def w9(spark, sf_dir):
     src = _log_parquet_files(spark, sf_dir)
@@ -113,6 +152,22 @@ def _features(spark, sf_dir):
 
 @query("w10_stream_score")
 def w10(spark, sf_dir):
+    return _stream_scored(spark, sf_dir)[0]
+
+
+@query("w10_stream_equals_batch")
+def w10b(spark, sf_dir):
+    """Rows scored on the stream against the same rows scored as a batch by the same model."""
+    streamed, model, flows = _stream_scored(spark, sf_dir)
+    columns = ["flow_id", "is_apt", "apt_probability", "apt_prediction"]
+    batch = M.score(model, flows).select(*columns)
+    return streamed.agg(F.count(F.lit(1)).alias("row_count")).join(streamed.select(*columns).exceptAll(batch).agg(F.count(F.lit(1)).alias("differing")))
+
+
+register("w10_stream_equals_batch", with_flows("SELECT count(*) AS row_count, 0 AS differing FROM flows"))
+
+
+def _stream_scored(spark, sf_dir):
     flows = _features(spark, sf_dir)
     model = M.fit_scorer(flows, S.EXPECTED_FEATURES, "is_apt", "flow_id")
     src = scratch_path(spark, "w10-in")
@@ -123,7 +178,7 @@ def w10(spark, sf_dir):
          .writeStream.format("parquet").option("path", out)
          .option("checkpointLocation", scratch_path(spark, "w10-ckpt")).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out)
+    return spark.read.parquet(out), model, flows
 
 
 PERIODS, DROP = 5, 0.002

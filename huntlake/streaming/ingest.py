@@ -33,6 +33,11 @@ def enrich_logs(df: DataFrame) -> DataFrame:
     return df.select("*", L.classify_rule("event").alias("classification"), *L.text_features("event"))
 
 
+def quarantine_of(index_path: str) -> str:
+    """Where lines that do not parse go unless told otherwise."""
+    return index_path.rstrip("/") + "-quarantine"
+
+
 def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     (df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
        .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path))
@@ -41,8 +46,9 @@ def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
 def start_log_ingest(spark: SparkSession, in_path: str, index_path: str, attack_path: str,
                      checkpoint: str, available_now: bool = True, max_files_per_trigger: int | None = None,
                      watermark: str = "10 minutes", quarantine_path: str | None = None):
-    """Start the W7 query: every parsed row to the index, attacks to the attack store,
-    lines whose time does not parse to the quarantine (when a path is given)."""
+    """Start the W7 query: every parsed row to the index, attacks to the attack store, lines
+    whose time does not parse to the quarantine (``quarantine_of(index_path)`` if no path is given)."""
+    quarantine_path = quarantine_path or quarantine_of(index_path)
     stream = read_log_stream(spark, in_path, max_files_per_trigger, watermark)
 
     def route(batch: DataFrame, batch_id: int) -> None:
@@ -51,10 +57,9 @@ def start_log_ingest(spark: SparkSession, in_path: str, index_path: str, attack_
             good = enrich_logs(batch.where(F.col("timestamp").isNotNull()).drop("raw_time"))
             _write_batch(good, index_path, batch_id)
             _write_batch(good.where(F.col("classification") == S.LABEL_ATTACK), attack_path, batch_id)
-            if quarantine_path:
-                _write_batch(batch.where(F.col("timestamp").isNull()).select(
-                    F.concat_ws(",", "raw_time", "source", "destination", "event").alias("raw")),
-                    quarantine_path, batch_id)
+            _write_batch(batch.where(F.col("timestamp").isNull()).select(
+                F.concat_ws(",", "raw_time", "source", "destination", "event").alias("raw")),
+                quarantine_path, batch_id)
         finally:
             batch.unpersist()
 

@@ -1,4 +1,4 @@
-"""Flow measures per tumbling (or sliding / session) event-time window on a
+"""Flow measures per tumbling, sliding or session event-time window on a
 stream, with a watermark. Late rows (behind the watermark) are dropped by Spark,
 which adds up the rows of a micro-batch per window before it looks at the watermark:
 ``late_groups`` reports how many such sums each micro-batch dropped.
@@ -6,7 +6,9 @@ which adds up the rows of a micro-batch per window before it looks at the waterm
 Output uses update mode through ``foreachBatch``: each micro-batch appends the
 windows it changed, tagged with the batch id; ``latest_windows`` keeps the most
 recent version of every (flow, window), which equals the batch result once the
-stream has caught up.
+stream has caught up. Sessions may still grow and merge until the watermark passes their
+end, so they use append mode: each is written once, when it is closed, under its own start
+and end. Sessions that are open when the stream stops are in its state, not in the result.
 """
 
 from __future__ import annotations
@@ -21,7 +23,8 @@ from huntlake.operators.flow import flow_key
 def windowed_flow_counts(df: DataFrame, src_col: str, dst_col: str, time_col: str = "timestamp",
                          window: str = "60 seconds", slide: str | None = None, session_gap: str | None = None,
                          protocol_col: str | None = "protocol") -> DataFrame:
-    """Per (flow, window): packets, duration, packets/s, mean gap, TCP/UDP ratio.
+    """Per (flow, window): packets, duration, packets/s, mean gap, TCP/UDP ratio. A window is named
+    by ``window_start``, a session (``session_gap``) by the times ``session_start`` and ``session_end``.
 
     The mean gap telescopes to duration / (packets - 1); the std of gaps needs
     row order and is left to the batch operator (H7) or the keyed-state W9.
@@ -41,9 +44,11 @@ def windowed_flow_counts(df: DataFrame, src_col: str, dst_col: str, time_col: st
     g = keyed.groupBy(win.alias("window"), F.col("flow_id")).agg(*aggs)
     n, dur = F.col("packets"), F.col("tmax") - F.col("tmin")
     single = n <= 1
+    named = [F.col("window.start").alias("session_start"), F.col("window.end").alias("session_end")] if session_gap else [
+        (F.unix_micros(F.col("window.start")) / 1_000_000).cast("long").alias("window_start")]
     cols = [
         F.col("flow_id"),
-        (F.unix_micros(F.col("window.start")) / 1_000_000).cast("long").alias("window_start"),
+        *named,
         n.alias("packets"),
         F.when(single, None).otherwise(dur).alias("flow_duration"),
         F.when(single, None).otherwise(F.when(dur > 0, n / dur).otherwise(F.lit(0.0))).alias("flow_packets_per_sec"),
@@ -58,22 +63,24 @@ def windowed_flow_counts(df: DataFrame, src_col: str, dst_col: str, time_col: st
 
 def start_flow_windows(spark: SparkSession, stream: DataFrame, out_path: str, checkpoint: str,
                        src_col: str = "source", dst_col: str = "destination", window: str = "60 seconds",
-                       available_now: bool = True, **kwargs):
-    """Start W8 writing versions of changed windows to ``out_path``."""
-    agg = windowed_flow_counts(stream, src_col, dst_col, window=window, **kwargs)
+                       available_now: bool = True, session_gap: str | None = None, **kwargs):
+    """Start W8 writing versions of changed windows, or closed sessions, to ``out_path``."""
+    agg = windowed_flow_counts(stream, src_col, dst_col, window=window, session_gap=session_gap, **kwargs)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         (batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
               .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(out_path))
 
-    writer = agg.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", checkpoint)
+    writer = agg.writeStream.outputMode("append" if session_gap else "update").foreachBatch(sink).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()
 
 
 def latest_windows(spark: SparkSession, out_path: str) -> DataFrame:
-    """The newest version of each (flow, window) written by ``start_flow_windows``."""
+    """The newest version of each (flow, window) written by ``start_flow_windows``; sessions have one."""
     versions = spark.read.parquet(out_path)
+    if "session_start" in versions.columns:
+        return versions.drop("batch_id")
     cols = [n for n in versions.columns if n not in ("flow_id", "window_start", "batch_id")]
     latest = versions.groupBy("flow_id", "window_start").agg(
         F.max_by(F.struct(*cols), F.col("batch_id")).alias("v"))
