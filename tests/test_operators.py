@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -264,3 +265,45 @@ def test_window_agg_sub_buckets_equal_whole_windows(spark):
             assert math.isclose(d, dur, abs_tol=1e-6)
         if std is not None and not math.isnan(std):
             assert math.isclose(s, std, rel_tol=1e-6, abs_tol=1e-6)
+
+
+def test_beaconing_needs_packets_if_asked(spark):
+    from huntlake.functions.heuristics import potential_beaconing
+    df = spark.createDataFrame([(0.0, 1), (0.05, 9), (0.5, 9), (None, 9), (0.0, None)], "r double, n int")
+    got = [tuple(r) for r in df.select(potential_beaconing("r"), potential_beaconing("r", "n", 3)).collect()]
+    assert got == [(True, False), (True, True), (False, False), (False, False), (True, False)]
+
+
+def test_small_tables_still_make_enough_batches(spark):
+    from huntlake.operators.monitor import split_batches
+    df = spark.createDataFrame([(i, "x") for i in range(23)], "k long, payload string")
+    rows = split_batches(df, "k", batch_size=200, min_batches=5).collect()
+    assert len({r.batch for r in rows}) == 6 and len(rows) == 23 and all(r.payload == "x" for r in rows)
+    assert split_batches(df.limit(0), "k").count() == 0
+    assert {r.batch for r in split_batches(df, "k", batch_size=10, min_batches=2).collect()} == {0, 1, 2}
+
+
+def test_positions_and_alignment_of_files(spark):
+    from huntlake.operators.position import align_by_position, with_position
+    from huntlake.session import scratch_path
+    a, b = scratch_path(spark, "pos-a"), scratch_path(spark, "pos-b")
+    spark.range(100, 120).selectExpr("id AS x").repartitionByRange(4, "x").sortWithinPartitions("x").write.parquet(a)
+    spark.range(200, 215).selectExpr("id AS y").coalesce(1).write.parquet(b)
+    left, right = spark.read.parquet(a), spark.read.parquet(b)
+    assert sorted((r.position, r.x) for r in with_position(left).collect()) == [(i, 100 + i) for i in range(20)]
+    aligned, rest = align_by_position(left, right)
+    assert sorted((r.position, r.x, r.y) for r in aligned.collect()) == [(i, 100 + i, 200 + i) for i in range(15)]
+    assert sorted(r.x for r in rest.collect()) == [115, 116, 117, 118, 119]
+    with pytest.raises(ValueError):
+        align_by_position(left, left)
+
+
+def test_entry_point_without_a_corpus_library(tmp_path):
+    import subprocess
+    import sys
+    code = ("import sys, warnings; sys.modules['ahocorasick'] = None; warnings.simplefilter('error')\n"
+            "import __spark_entry__ as e\n"
+            "try:\n    e.queries(); raise SystemExit('no warning')\nexcept UserWarning:\n    pass\n"
+            "warnings.simplefilter('ignore'); assert 'op1_secret_scan' not in e.queries() and 'm9_score' in e.queries() and e.oracle_sql()")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)

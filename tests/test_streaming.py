@@ -153,3 +153,31 @@ def test_monitor_immediate_takes_the_new_f1_as_baseline(spark):
     assert got == [(False, False, 1.0), (True, True, 1.0), (False, False, 0.6)]
     with pytest.raises(ValueError):
         SM.StreamMonitor(spark, "x", mode="never")
+
+
+def test_sessions_merge_over_batches_and_equal_the_batch_result(spark):
+    src, schema = scratch_path(spark, "sessions"), "timestamp timestamp, source string, destination string, protocol string"
+    from datetime import datetime, timedelta
+    start = datetime(2024, 1, 1)
+    # a: 0 and 100 are apart by more than the gap until 50 arrives; b: two sessions; the last rows close all
+    files = [[(0, "a"), (100, "a"), (0, "b")], [(50, "a"), (500, "b")], [(5000, "z")], [(9000, "z")]]
+    out, checkpoint = scratch_path(spark, "sessions-out"), scratch_path(spark, "sessions-ckpt")
+    rows = []
+    for k, part in enumerate(files):
+        made = [(start + timedelta(seconds=t), s, "x", "tcp") for t, s in part]
+        rows += made
+        spark.createDataFrame(made, schema).coalesce(1).write.parquet(f"{src}/f{k}")
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(src).withWatermark("timestamp", "200 seconds")
+        SW.start_flow_windows(spark, stream, out, checkpoint, session_gap="60 seconds").awaitTermination()
+    got = {tuple(r) for r in SW.latest_windows(spark, out).select("flow_id", "session_start", "session_end", "packets", "flow_duration").collect()}
+    batch = SW.windowed_flow_counts(spark.createDataFrame(rows, schema), "source", "destination", session_gap="60 seconds")
+    want = {tuple(r) for r in batch.select("flow_id", "session_start", "session_end", "packets", "flow_duration").collect() if r.session_start < start + timedelta(seconds=8000)}
+    assert got == want and ("a_x", start, start + timedelta(seconds=160), 3, 100.0) in got and len(got) == 4
+
+
+def test_lines_without_a_time_are_kept_without_a_named_place(spark):
+    from huntlake.streaming import ingest
+    src, index = scratch_path(spark, "odd-lines"), scratch_path(spark, "odd-index")
+    spark.createDataFrame([("never", "a", "b", "user_login"), (None, "c", "d", "APT_attack_x")], "t string, s string, d string, e string").write.csv(src)
+    ingest.start_log_ingest(spark, src, index, scratch_path(spark, "odd-attacks"), scratch_path(spark, "odd-ckpt")).awaitTermination()
+    assert {r.raw for r in spark.read.parquet(ingest.quarantine_of(index)).collect()} == {"never,a,b,user_login", "c,d,APT_attack_x"}
