@@ -9,11 +9,13 @@ document shingle in the table of kept hashes finds every pair: no false negative
 for documents of any length. Each candidate is verified on the shingle texts.
 
 Documents stay where they are; only the item index travels, in blocks of at most
-``items_per_block`` items, each a broadcast of bounded size and a pass of its own.
+``items_per_block`` items and ``BLOCK_BYTES`` of text (one longer item is a block of its
+own), each a broadcast of bounded size and a pass of its own.
 
-Words are runs without white space, A-Z lower-cased. A text with fewer words than a
-shingle is one shingle, one without words has none and matches nothing (null and empty
-texts, items and documents alike). Repeated document rows or item rows give repeated
+Words are runs without white space, A-Z lower-cased. An item with fewer words than a
+shingle is one shingle of its own length, and is sought among the windows of that many
+words of every document. A text without words has no shingles and matches nothing (null
+and empty texts, items and documents alike). Repeated document rows or item rows give repeated
 pairs. Null ids are carried as null. Either table may be empty. Other columns of the
 documents are passed on by the filter and not read otherwise.
 """
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from huntlake.llm.textkit import LOWER, pieces, prefix_hashes, shingles, span_hash, utf8, word_bounds
 
 WIDTH, THRESHOLD = 5, 0.8
-ITEMS_PER_BLOCK = 50_000
+ITEMS_PER_BLOCK, BLOCK_BYTES = 50_000, 1 << 25
 _FILTER_BITS = 22
 
 
@@ -49,53 +51,69 @@ def chunk_shingles(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray
     return h, r
 
 
-class ItemIndex:
-    """The kept hashes of a block of items, in sorted order, behind a one-byte-a-bucket filter."""
+class _Kept:
+    """The kept hashes of the items of one shingle width, in sorted order, behind a one-byte-a-bucket filter."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]], width: int = WIDTH, threshold: float = THRESHOLD):
-        self.width, self.threshold = width, threshold
-        self.items = [(i, s) for i, t in items if (s := shingle_texts(t, width))]
-        hashes, owner = [], []
-        for k, (_, texts) in enumerate(self.items):
-            own, _ = chunk_shingles(pa.array([b"\n".join([x]).decode() for x in texts]), width)
-            own = np.sort(np.unique(own))
-            keep = len(own) - math.ceil(threshold * len(own) - 1e-9) + 1  # by size: one of these is in any document that holds enough
-            hashes.append(own[:keep])
-            owner += [k] * keep
-        self.hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        order = np.argsort(self.hashes, kind="stable")
-        self.hashes, self.owner = self.hashes[order], np.array(owner, np.int64)[order]
+    def __init__(self, hashes: list[np.ndarray], owner: list[int], width: int):
+        every = np.concatenate(hashes)
+        order = np.argsort(every, kind="stable")
+        self.width, self.hashes, self.owner = width, every[order], np.array(owner, np.int64)[order]
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[(self.hashes >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
 
-    def candidates(self, column: pa.Array) -> Iterator[tuple[int, int]]:
-        """(row, item position) pairs that share a kept hash."""
+    def candidates(self, column: pa.Array) -> set[tuple[int, int]]:
         h, r = chunk_shingles(column, self.width)
         maybe = self.filter[(h >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)]
         h, r = h[maybe], r[maybe]
         first, last = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
-        found = {(int(row), int(k)) for row, a, b in zip(r, first, last) for k in self.owner[a:b]}
-        return iter(sorted(found))
+        return {(int(row), int(k)) for row, a, b in zip(r, first, last) for k in self.owner[a:b]}
+
+
+class ItemIndex:
+    """The kept hashes of a block of items, by the width of their shingles."""
+
+    def __init__(self, items: list[tuple[int | None, str | None]], width: int = WIDTH, threshold: float = THRESHOLD):
+        self.threshold = threshold
+        sized = [(i, t, min(width, len((t or "").encode().translate(LOWER.tobytes()).split()))) for i, t in items]
+        self.items = [(i, shingle_texts(t, own), own) for i, t, own in sized if own]
+        self.kept: list[_Kept] = []
+        for own_width in sorted({w for *_, w in self.items}):
+            hashes, owner = [], []
+            for k, (_, texts, w) in enumerate(self.items):
+                if w == own_width:
+                    own, _ = chunk_shingles(pa.array([x.decode() for x in texts]), w)
+                    own = np.sort(np.unique(own))
+                    keep = len(own) - math.ceil(threshold * len(own) - 1e-9) + 1  # by size: one of these is in any document that holds enough
+                    hashes.append(own[:keep])
+                    owner += [k] * keep
+            self.kept.append(_Kept(hashes, owner, own_width))
+
+    def candidates(self, column: pa.Array) -> Iterator[tuple[int, int]]:
+        """(row, item position) pairs that share a kept hash."""
+        return iter(sorted(set().union(*[kept.candidates(column) for kept in self.kept])))
 
     def matches(self, column: pa.Array) -> Iterator[tuple[int, int | None, int, int]]:
         """(row, item id, shingles of the item, how many of them are in the document), verified on the texts."""
-        last, texts = None, set()
+        last, texts = None, {}
         for row, k in self.candidates(column):
             if row != last:
-                last, texts = row, shingle_texts(column[row].as_py(), self.width)
-            item_id, own = self.items[k]
-            shared = len(own & texts)
+                last, texts = row, {}
+            item_id, own, width = self.items[k]
+            if width not in texts:
+                texts[width] = shingle_texts(column[row].as_py(), width)
+            shared = len(own & texts[width])
             if shared >= self.threshold * len(own) - 1e-9:
                 yield row, item_id, len(own), shared
 
 
 def _blocks(items: DataFrame, id_col: str, text_col: str, size: int) -> Iterator[list]:
-    block = []
+    block, held = [], 0
     for r in items.select(F.col(id_col).cast("long"), F.col(text_col)).toLocalIterator():
-        block.append((r[0], r[1]))
-        if len(block) == size:
+        if block and (len(block) == size or held + len(r[1] or "") > BLOCK_BYTES):
             yield block
-            block = []
+            block, held = [], 0
+        block.append((r[0], r[1]))
+        held += len(r[1] or "")
     if block:
         yield block
 

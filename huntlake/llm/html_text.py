@@ -77,9 +77,18 @@ def _outside(shape: tuple, boiler: int) -> int:
     return int(links < 0.3 and (words >= 40 and (boiler == PLAIN or good > 0 or words >= 90) or words >= 4 and good == 2 and boiler == PLAIN))
 
 
+def _unmarked(row: tuple) -> int:
+    """Without an article and marks: a block without links whose neighbours are not lists of links is text, however short."""
+    _, links, _, before, _, after, label = row
+    return int(label or links == 0 and before < 0.3 and after < 0.3)
+
+
+_PLAIN_RUNS = [(words, 0, n, 0, m, 0, 1) for words in (1, 3, 6, 12, 20) for n in (0, 2, 5, 9, 25) for m in (0, 2, 5, 9, 25)]  # headlines, short paragraphs and list items in a row
+
 LABELLED = [(*shape, place, boiler, label) for place, boiler, label in ((INSIDE, PLAIN, 1), (INSIDE, BOILER, 0), (NO_ARTICLE, BOILER, 0), (OUTSIDE, BOILER, 0)) for shape in _SHAPES] + [
     (*shape, OUTSIDE, boiler, _outside(shape, boiler)) for boiler in (PLAIN, MENTIONED) for shape in _SHAPES] + [
-    (*row[:-1], place, boiler, row[-1]) for place, boiler in ((NO_ARTICLE, PLAIN), (NO_ARTICLE, MENTIONED), (INSIDE, MENTIONED)) for row in _RUNNING]
+    (*row[:-1], NO_ARTICLE, PLAIN, _unmarked(row)) for row in _RUNNING + _PLAIN_RUNS] + [
+    (*row[:-1], place, MENTIONED, row[-1]) for place in (NO_ARTICLE, INSIDE) for row in _RUNNING]
 
 
 @dataclass
