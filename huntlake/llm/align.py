@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from huntlake.llm.blocks import pack, unpack
-from huntlake.llm.tokens import ByteLevelIds, PieceIds, opened, parts, spread
+from huntlake.llm.tokens import ByteLevelIds, PieceIds, chunks, opened, parts, spread
 from huntlake.session import cut_lineage
 
 BATCH_BYTES, BLOCK_BYTES = 1 << 20, 1 << 23
@@ -54,8 +54,9 @@ class Side:
         self.sizes = np.array(list(map(len, table)), np.int64)
         self.bytes = np.frombuffer(b"".join(table), np.uint8)
 
-    def encode(self, text: str) -> np.ndarray:
-        packed = self.vocabulary.ids(text, space=True) if isinstance(self.vocabulary, ByteLevelIds) else self.vocabulary.ids(text)
+    def encode(self, text: str, words: list[str]) -> np.ndarray:
+        """Ids of a space and the text, whose chunks are ``words``."""
+        packed = self.vocabulary.ids(text, True, words) if isinstance(self.vocabulary, ByteLevelIds) else self.vocabulary.ids(text, words)
         return np.frombuffer(packed, "<u4").astype(np.int64)
 
     def writes(self, ids: np.ndarray, raw: bytes) -> bool:
@@ -75,7 +76,8 @@ class Batch:
 
 @dataclass
 class Aligned:
-    """Tokens and links of a batch: token rows of A and B, and for each the byte range and the group."""
+    """Tokens and links of a batch: token rows of A and B, and for each the byte range and the group. The links
+    are those of the starts of A, in order, and then those of the other starts of B, in order."""
 
     a_ids: np.ndarray
     b_ids: np.ndarray
@@ -102,10 +104,9 @@ def align(batch: Batch, a: Side, b: Side) -> Aligned:
     over_b = pd.merge_asof(right, left, on="start", by="doc")["token_y"].to_numpy(np.int64)
     fresh = np.flatnonzero(starts[0][over_b] != starts[1])
     link_a, link_b = np.r_[np.arange(len(ids[0])), over_b[fresh]], np.r_[over_a, fresh]
-    order = np.argsort(np.r_[starts[0], starts[1][fresh]], kind="stable")
-    common = np.intersect1d(*ends, assume_unique=True)
+    common = ends[0][ends[1][np.searchsorted(ends[1], ends[0])] == ends[0]]  # both end with the batch
     number = np.array(batch.docs, np.int64)
-    return Aligned(*ids, number[docs[0]], number[docs[1]], *starts, link_a[order], link_b[order],
+    return Aligned(*ids, number[docs[0]], number[docs[1]], *starts, link_a, link_b,
                    np.searchsorted(common, ends[0]), np.searchsorted(common, ends[1]), common)
 
 
@@ -143,10 +144,11 @@ def _batches(texts: list[str | None], a: Side, b: Side) -> Iterator[Batch]:
         if not text:
             continue
         cut = list(parts(text, BATCH_BYTES))
-        if len(cut) > 1 and not all(a.writes(a.encode(p), raw) and b.writes(b.encode(p), raw) for p in cut for raw in [(" " + p).encode()]):
+        if len(cut) > 1 and not all(side.writes(side.encode(p, words), raw) for p in cut for words, raw in [(chunks(p), (" " + p).encode())] for side in (a, b)):
             continue
         for part in cut:
-            raw, own = (" " + part).encode(), (a.encode(part), b.encode(part))
+            words, raw = chunks(part), (" " + part).encode()
+            own = a.encode(part, words), b.encode(part, words)
             if len(cut) == 1 and not (a.writes(own[0], raw) and b.writes(own[1], raw)):
                 break
             batch.docs.append(doc)
@@ -185,9 +187,15 @@ class _Block:
                     hashes[doc].update(b";" + text)
                 else:
                     hashes[doc] = hashlib.sha256(text)
-            pairs, which, counts = np.unique(found.a_ids[found.link_a] << 32 | found.b_ids[found.link_b], return_inverse=True, return_counts=True)
-            self.links.append(which.astype(np.uint32))
-            self.pairs.append((pairs, counts))
+            which, pairs = pd.factorize(found.a_ids[found.link_a] << 32 | found.b_ids[found.link_b])
+            first = np.bincount(found.a_docs, minlength=len(number))  # links of the starts of A; those of other starts of B go beside them
+            other = np.bincount(found.a_docs[found.link_a[len(found.a_ids):]], minlength=len(number))
+            at_first = np.arange(len(found.a_ids)) + (np.cumsum(other) - other)[found.a_docs]
+            at_other = np.arange(len(which) - len(found.a_ids)) + np.repeat(np.cumsum(first), other)
+            by_doc = np.empty(len(which), np.uint32)
+            by_doc[at_first], by_doc[at_other] = which[:len(found.a_ids)], which[len(found.a_ids):]
+            self.links.append(by_doc)
+            self.pairs.append((pairs, np.bincount(which, minlength=len(pairs))))
         self.doc_ids += doc_ids
         self.sums.append(sums)
         self.digests += [hashes[k].hexdigest() if k in hashes else "" for k in range(len(texts))]

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -46,7 +47,9 @@ class ChunkIds:
             found = [fresh[w] if f is None else f for w, f in zip(words, found)]
             if len(self.young) > _CACHED:
                 self.young, self.old = {}, self.young
-            self.young.update((w, f) for w, f in fresh.items() if len(w) <= _CACHED_CHARS)
+            if max(map(len, missing)) > _CACHED_CHARS:
+                fresh = {w: f for w, f in fresh.items() if len(w) <= _CACHED_CHARS}
+            self.young.update(fresh)
         return b"".join(found)
 
 
@@ -93,11 +96,11 @@ class ByteLevelIds:
         packed = ids.tobytes()
         return [packed[a:b] for a, b in zip([0, *cuts], cuts)]
 
-    def ids(self, text: str, space: bool = False) -> bytes:
-        """Packed ids of the text, with ``space`` of a space and the text."""
+    def ids(self, text: str, space: bool = False, words: list[str] | None = None) -> bytes:
+        """Packed ids of the text, with ``space`` of a space and the text; ``words`` are its chunks, where they are known."""
         if not text and not space:
             return b""
-        words = chunks(text)
+        words = words or chunks(text)
         return self.spaced.join(words) if space else self.bare.join(words[:1]) + self.spaced.join(words[1:])
 
     def token_bytes(self) -> list[bytes]:
@@ -116,12 +119,12 @@ class PieceIds:
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.spaced = ChunkIds(lambda words: [np.array(x, "<u4").tobytes() for x in self.model.encode(words, num_threads=1)])
+        self.spaced = ChunkIds(lambda words: [array("I", x).tobytes() for x in self.model.encode(words, num_threads=1)])
 
-    def ids(self, text: str) -> bytes:
+    def ids(self, text: str, words: list[str] | None = None) -> bytes:
         if "▁" in text:  # the model's own mark of a space
             return np.array(self.model.encode(text), "<u4").tobytes()
-        return self.spaced.join(chunks(text)) if text else b""
+        return self.spaced.join(words or chunks(text)) if text else b""
 
     def token_bytes(self) -> list[bytes]:
         model = self.model
