@@ -16,7 +16,8 @@ one anchor form a span of at most 2 * width - k bytes.
    ``width`` on the row tells the smallest document that holds the string.
 3. Blocks mark the strings that a smaller document holds, and cut the covered bytes.
 
-Equality is that of bytes in the index: hashes only choose what is compared. A passage in
+In the index equality is that of bytes. Anchors with one span, the inside of exact copies and
+shared passages, are settled by equal 64-bit hashes of whole spans instead. A passage in
 a third of all documents is one span a block. Texts are read from the checkpointed blocks.
 
 Defined results: null or empty text: no bytes, the digest of nothing. A row without id is
@@ -40,6 +41,7 @@ from huntlake.session import cut_lineage
 
 WIDTH, KMER = 50, 20
 _PLACE = 28  # bits for a position among the starts taken at once
+_STARTS = 1 << 16  # starts taken at once: their hashes stay in a core's cache
 
 
 def anchor_groups(block: Block, width: int = WIDTH, kmer: int = KMER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -51,7 +53,7 @@ def anchor_groups(block: Block, width: int = WIDTH, kmer: int = KMER) -> tuple[n
     at = np.arange(len(block.data) - kmer + 1)
     running = prefix_hashes(block.data)
     value = span_hash(running, at, at + kmer)
-    anchor, step = np.empty(n, np.int64), (1 << _PLACE) - (width - kmer)
+    anchor, step = np.empty(n, np.int64), min(_STARTS, (1 << _PLACE) - (width - kmer))
     for a in range(0, n, step):  # so many starts that a position counted from the first has _PLACE bits
         b = min(a + step, n)
         best = (value[a:b + width - kmer] >> U64(_PLACE) << U64(_PLACE)) | at[:b - a + width - kmer].astype(np.uint64)
@@ -166,9 +168,9 @@ class RunIndex:
         text = np.zeros(int(ends[-1]), np.uint16)
         text[_ranges(self.starts, ends - 1)] = data.astype(np.uint16) + 1
         last = np.repeat(ends - 1, lengths + 1)  # the terminator of each position's string
-        rank, size = self._first_rank(text, last), 7
+        rank, size = self._first_rank(text, last)
         string_of = np.repeat(np.arange(m), lengths + 1)
-        while size < max(width, int(lengths.max(initial=0)) + 1):
+        while size < max(width, int(lengths.max(initial=0))):  # no two strings agree on all their symbols
             if size <= width <= 2 * size:  # rows that agree on ``width`` symbols: two overlapping parts agree
                 agree = self._pair(rank, width - size, last)
             rank = self._pair(rank, size, last)
@@ -199,12 +201,17 @@ class RunIndex:
         rank[order] = np.cumsum(new) + 1
         return rank
 
-    def _first_rank(self, text: np.ndarray, last: np.ndarray) -> np.ndarray:
+    def _first_rank(self, text: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, int]:
+        """Ranks by as many symbols as fit in a word, and their number: few kinds of symbols need few bits each."""
+        used = np.zeros(257, np.uint64)
+        used[text] = 1
+        small = (np.cumsum(used) - U64(1)).astype(np.uint64)[text]  # order is kept
+        bits = max(1, int(used.sum() - 1).bit_length())
+        n = min(64 // bits, 40)
         key, live = np.zeros(len(text), np.uint64), np.arange(len(text))
-        for j in range(7):
-            at = np.minimum(live + j, last)
-            key = (key << U64(9)) | text[at].astype(np.uint64)
-        return self._dense(key)
+        for j in range(n):
+            key = (key << U64(bits)) | small[np.minimum(live + j, last)]
+        return self._dense(key), n
 
     def _pair(self, rank: np.ndarray, shift: int, last: np.ndarray) -> np.ndarray:
         at = np.arange(len(rank)) + shift
