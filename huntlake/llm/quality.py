@@ -11,8 +11,8 @@ beginnings, shape thresholds) is trained on these posteriors and judges every
 document; a document is accepted if no probability exceeds one half.
 
 Bounds, all parameters: the scorer is fitted on at most about ``sample_docs``
-documents, taken by a hash of the id; lexicon labellers are mined from the labelled
-ones among them. Vote patterns number at most 3 ** labellers, whatever the input.
+documents, labelled ones first and others if those are fewer, both taken by a hash of
+the id; lexicon labellers are mined from the labelled ones among them. Vote patterns number at most 3 ** labellers, whatever the input.
 
 Defined results: a null or empty text has no features, so it gets the probability of
 the intercept alone; repeated rows are judged each; a null id is judged like any
@@ -32,8 +32,9 @@ from pyspark.sql import functions as F
 
 from huntlake.llm.textkit import LOWER, U64, WHITE, pieces, prefix_hashes, span_hash, utf8, word_bounds
 
-SAMPLE_DOCS = 9_000
+SAMPLE_DOCS = 12_000
 BITS = 18
+LEAST_ROWS = 4  # bad rows that a feature needs to count as telling
 BAD, GOOD, NONE = 2, 1, 0
 
 # FIXED VALUES: common English insults, for one of the labellers of toxic text
@@ -134,10 +135,11 @@ class QualityModel:
     bias: dict[str, float] = field(default_factory=dict)
 
 
-def _votes(rows: np.ndarray, feats: np.ndarray, shape: np.ndarray, lexicons: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+def _votes(rows: np.ndarray, feats: np.ndarray, shape: np.ndarray, lexicons: dict[str, np.ndarray], has_words: np.ndarray | None = None) -> dict[str, np.ndarray]:
     """Votes of all labellers of each task (rows x labellers)."""
     low, high = np.array([SHAPES[s][0] for s in SHAPES]), np.array([SHAPES[s][1] for s in SHAPES])
-    has_words = np.bincount(rows, minlength=len(shape)) > 0
+    if has_words is None:
+        has_words = np.bincount(rows, minlength=len(shape)) > 0
     form = np.where(shape > high, BAD, np.where((shape < low) & has_words[:, None], GOOD, NONE))
     toxic = np.zeros((len(shape), len(TASKS["toxic"])), np.int64)
     for k, name in enumerate(TASKS["toxic"]):
@@ -173,7 +175,7 @@ def estimate_accuracies(patterns: np.ndarray, counts: np.ndarray, labellers: int
     return table, bad
 
 
-def telling_features(rows: np.ndarray, feats: np.ndarray, bad: np.ndarray, size: int, least: float = 4, evidence: float = 6) -> np.ndarray:
+def telling_features(rows: np.ndarray, feats: np.ndarray, bad: np.ndarray, size: int, least: float = LEAST_ROWS, evidence: float = 6) -> np.ndarray:
     """Features whose rows are bad so much more often than rows at large that chance over all
     features would hardly do it: the binomial tail, bounded by its relative entropy, is under
     10 ** -evidence, and that are bad more often than not. One (row, feature) pair each; ``bad`` is each row's share of being bad."""
@@ -225,8 +227,17 @@ def _unique_pairs(rows: np.ndarray, feats: np.ndarray) -> tuple[np.ndarray, np.n
 def fit_quality(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> QualityModel:
     """Mines the lexicons, estimates the labellers on all rows of ``docs`` and trains the scorers on the sample."""
     ids, text = F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")
-    share = F.lit(int(min(1.0, sample_docs / max(1, docs.count())) * (1 << 31)))
-    chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) < share
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31))
+
+    def share(wanted, there):
+        return F.lit(int(min(1.0, wanted / max(1, there)) * (1 << 31)))
+
+    known, n_known, n_docs = None, 0, docs.count()
+    if labels is not None:
+        known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+        n_known = known.agg(F.count_distinct("doc_id")).first()[0]
+        known = known.where(place < share(sample_docs, n_known)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    others = place < share(max(0, sample_docs - n_known), max(1, n_docs - n_known))
 
     def features(batches):
         for whole in batches:
@@ -235,15 +246,14 @@ def fit_quality(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id
                 rows, feats = _unique_pairs(rows, feats)
                 at = np.searchsorted(rows, np.arange(batch.num_rows + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(feats.astype(np.int32))),
-                                                  pa.array(list(shape), pa.list_(pa.float64()))], ["doc_id", "feats", "shape"])
+                                                  pa.array(list(shape), pa.list_(pa.float64())), batch.column(2)], ["doc_id", "feats", "shape", "toxic"])
 
-    sample = docs.select(ids, text).where(F.col("doc_id").isNotNull() & chosen).mapInArrow(features, "doc_id long, feats array<int>, shape array<double>")
-    if labels is not None:
-        known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(chosen) \
-            .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-        sample = sample.join(known, "doc_id", "left")
+    rows = docs.select(ids, text).where("doc_id IS NOT NULL")
+    if known is None:
+        chosen = rows.where(others).select("*", F.lit(None).cast("int").alias("toxic"))
     else:
-        sample = sample.withColumn("toxic", F.lit(None).cast("int"))
+        chosen = rows.join(F.broadcast(known), "doc_id", "left").where(F.col("toxic").isNotNull() | others)  # about sample_docs ids at most
+    sample = chosen.mapInArrow(features, "doc_id long, feats array<int>, shape array<double>, toxic int")
     got = sample.orderBy("doc_id").toArrow().combine_chunks()  # at most about sample_docs rows
     n = got.num_rows
     model = QualityModel(lexicons={"insults": _insult_features()})
@@ -253,14 +263,19 @@ def fit_quality(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id
     at = np.asarray(lists.offsets, np.int64)
     feats = np.asarray(lists.flatten(), np.int32)
     rows = np.repeat(np.arange(n, dtype=np.int32), np.diff(at))
-    del lists
+    has_words = np.diff(at) > 0
+    often = np.bincount(feats, minlength=1 << BITS) >= LEAST_ROWS  # no other feature can tell anything below
+    often[model.lexicons["insults"]] = True
+    use = often[feats]
+    rows, feats = rows[use], feats[use]
+    del lists, use
     shape = np.array(got.column("shape").to_pylist()).reshape(n, len(SHAPES))
     toxic = got.column("toxic").to_pylist()
-    known = np.array([t is not None for t in toxic])
+    labelled = np.array([t is not None for t in toxic])
     label = np.array([t == 1 for t in toxic])
     del got
-    order = np.cumsum(known)
-    for name, part in (("mined_a", known & (order % 2 == 0)), ("mined_b", known & (order % 2 == 1)), ("mined_stems", known)):
+    order = np.cumsum(labelled)
+    for name, part in (("mined_a", labelled & (order % 2 == 0)), ("mined_b", labelled & (order % 2 == 1)), ("mined_stems", labelled)):
         if (label & part).sum() >= 10 and (part & ~label).sum() >= 10:
             number = np.cumsum(part) - 1
             inside = part[rows]
@@ -278,7 +293,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id
 
     counted = docs.select(text).mapInArrow(count_patterns, "task string, pattern long, n long") \
         .groupBy("task", "pattern").agg(F.sum("n").alias("n")).collect()  # at most 3 ** labellers rows a task
-    votes = _votes(rows, feats, shape, model.lexicons)
+    votes = _votes(rows, feats, shape, model.lexicons, has_words)
     extra_rows, extra = shape_features(shape)
     rows, feats = np.concatenate([rows, extra_rows.astype(np.int32)]), np.concatenate([feats, extra.astype(np.int32)])
     for task, names in TASKS.items():
