@@ -150,13 +150,13 @@ class ShardReader:
 
 
 def _tokenised(docs: DataFrame, vocabulary: str, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, crc, n_tokens, row, part, wide, ids): packed ids, long documents in parts."""
+    """(doc_id, crc, n_tokens, row, part, wide, ids): compressed ids, long documents in parts."""
 
     def encode(batches):
         task, row = TaskContext.get().partitionId() << 40, 0
         encoder = opened(ByteLevelIds, vocabulary)
         kind = "<u2" if len(encoder.lengths) <= 1 << 16 else "<u4"
-        end = END_ID.to_bytes(4, "little")
+        end, packer = END_ID.to_bytes(4, "little"), zstandard.ZstdCompressor(level=LEVEL)
         for batch in batches:
             out: list[tuple] = []
             size = 0
@@ -164,7 +164,7 @@ def _tokenised(docs: DataFrame, vocabulary: str, id_col: str, text_col: str) ->
                 packed = encoder.ids(text.as_py() or "") + end
                 crc, ids = zlib.crc32(packed), np.frombuffer(packed, "<u4").astype(kind)
                 for part, at in enumerate(range(0, len(ids), PART_IDS)):
-                    out.append((doc_id.as_py(), crc, len(ids), task + row, part, kind == "<u4", ids[at:at + PART_IDS].tobytes()))
+                    out.append((doc_id.as_py(), crc, len(ids), task + row, part, kind == "<u4", packer.compress(ids[at:at + PART_IDS].tobytes())))
                     size += len(out[-1][-1])
                     if size > 1 << 24:
                         yield _rows(out)
@@ -191,7 +191,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str | None = Non
 
     def write(batches):
         store, base = _store(folder)
-        task, shard, writer, name = TaskContext.get().partitionId(), 0, None, ""
+        task, shard, writer, name, unpacker = TaskContext.get().partitionId(), 0, None, "", zstandard.ZstdDecompressor()
 
         def report():
             writer.close()
@@ -207,7 +207,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str | None = Non
                     store.create_dir(base, recursive=True)
                     name = f"{uuid.uuid4().hex}.ids.zst"
                     writer = ShardWriter(store.open_output_stream(f"{base}/{name}", compression=None), wide.as_py())
-                writer.add(doc_id.as_py(), ids.as_buffer().to_pybytes(), part.as_py() == 0)
+                writer.add(doc_id.as_py(), unpacker.decompress(ids.as_py()), part.as_py() == 0)
         if writer:
             yield report()
 
