@@ -22,6 +22,7 @@ from huntlake.models.encoder import LinearAutoencoder
 from huntlake.models.preprocess import fit_preprocess
 from huntlake.operators import metrics as V
 from huntlake.operators.sample import BUCKETS, class_weights, hash_bucket, hash_split, smote
+from huntlake.session import scratch_path
 
 # Rows that the forest of the stage classifier is fitted on in the queries, at most.
 FIT_ROWS = 20_000
@@ -146,6 +147,11 @@ def train_detector(df: DataFrame, target: str = "is_apt", key: str = "flow_id",
         stacked = stacked.withColumn("label", c(target).cast("double"))
         if balance:
             stacked, weight = class_weights(stacked, "label", "weight"), "weight"
+    # A written table: it is read twice below, and the optimizer's constraints on the long chain of
+    # prepared columns, which a checkpoint would keep and renamed columns multiply, end here.
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, "detector-train")
+    stacked.select(*([c(key)] if row_key else []), *[c(n) for n in stack_cols], "label", "is_validation", *([weight] if weight else [])).write.parquet(path)
+    stacked = spark.read.parquet(path)
     boosted = BoostedTrees(stack_cols, label="label", key=row_key, weight=weight, validation="is_validation", **params).fit(stacked)
     ptrain.unpersist()
     train.unpersist()
