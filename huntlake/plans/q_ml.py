@@ -259,8 +259,11 @@ def m12_fixed(spark, sf_dir):
     from huntlake.models.boosting import BoostedTreesModel
     names = ["Total Fwd Packet", "RST Flag Count"]
     told = M.explain_rows(BoostedTreesModel.from_state({"features": names, "trees": [FIXED_TREE]}), flows_view(spark, sf_dir), "flow_id", top_k=2)
-    own = [F.filter("top_contributions", lambda t, n=n: t["name"] == n)[0]["contribution"] for n in names]
-    return told.select("flow_id", r6(F.col("base_value")).alias("base_value"), r6(F.col("raw_margin")).alias("raw_margin"), r6(own[0]).alias("packets"), r6(own[1]).alias("resets"))
+
+    def own(name):
+        return F.filter("top_contributions", lambda t: t["name"] == name)[0]["contribution"]
+
+    return told.select("flow_id", r6(F.col("base_value")).alias("base_value"), r6(F.col("raw_margin")).alias("raw_margin"), r6(own(names[0])).alias("packets"), r6(own(names[1])).alias("resets"))
 
 
 # The Shapley value of two features from the four expectations of the tree.
