@@ -68,8 +68,8 @@ def start_flow_windows(spark: SparkSession, stream: DataFrame, out_path: str, ch
     agg = windowed_flow_counts(stream, src_col, dst_col, window=window, session_gap=session_gap, **kwargs)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        (batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
-              .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(out_path))
+        # a folder of its own: a micro-batch without rows still leaves a file with the columns, so the result can be read back empty
+        batch.write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/batch_id={batch_id}")
 
     writer = agg.writeStream.outputMode("append" if session_gap else "update").foreachBatch(sink).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")

@@ -181,3 +181,13 @@ def test_lines_without_a_time_are_kept_without_a_named_place(spark):
     spark.createDataFrame([("never", "a", "b", "user_login"), (None, "c", "d", "APT_attack_x")], "t string, s string, d string, e string").write.csv(src)
     ingest.start_log_ingest(spark, src, index, scratch_path(spark, "odd-attacks"), scratch_path(spark, "odd-ckpt")).awaitTermination()
     assert {r.raw for r in spark.read.parquet(ingest.quarantine_of(index)).collect()} == {"never,a,b,user_login", "c,d,APT_attack_x"}
+
+
+def test_sessions_that_all_stay_open_give_an_empty_result(spark):
+    src, schema = scratch_path(spark, "open-sessions"), "timestamp timestamp, source string, destination string, protocol string"
+    start = dt.datetime(2024, 1, 1)
+    spark.createDataFrame([(start + dt.timedelta(seconds=s), "a", "x", "TCP") for s in range(0, 600, 30)], schema).write.parquet(src)
+    out, stream = scratch_path(spark, "open-sessions-out"), spark.readStream.schema(schema).parquet(src).withWatermark("timestamp", "10 minutes")
+    SW.start_flow_windows(spark, stream, out, scratch_path(spark, "open-sessions-ckpt"), session_gap="60 seconds").awaitTermination()
+    found = SW.latest_windows(spark, out)
+    assert found.columns[:4] == ["flow_id", "session_start", "session_end", "packets"] and found.count() == 0
