@@ -14,13 +14,17 @@ from huntlake.functions.cols import c
 from huntlake.operators.prefix import running_sums
 
 
+PART_ROWS = 500_000  # of the left table in a task of the alignment, about
+
+
 def with_position(df: DataFrame, out: str = "position") -> DataFrame:
     """Adds the 0-based position of each row. ``df`` comes straight from whole files: columns may be chosen, rows not be filtered, joined or grouped."""
     rows = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
     files = rows.groupBy("__file").agg((F.max("__row") + 1).alias("__n"))  # one row a file
     firsts = running_sums(files, ["__file"], ["__n"], descending=False).select(
         F.col("__file"), (F.col("cum___n") - F.col("__n")).cast("long").alias("__first"))
-    return rows.join(firsts, "__file").withColumn(out, F.col("__first") + F.col("__row")).drop("__file", "__row", "__first")
+    # one small row a file: sent to the rows, for a shuffle by file would bring all rows of a file into one task
+    return rows.join(F.broadcast(firsts), "__file").withColumn(out, F.col("__first") + F.col("__row")).drop("__file", "__row", "__first")
 
 
 def align_by_position(left: DataFrame, right: DataFrame, out: str = "position") -> tuple[DataFrame, DataFrame]:
@@ -28,5 +32,7 @@ def align_by_position(left: DataFrame, right: DataFrame, out: str = "position")
     Column names must differ: which side's value would be kept is not for this function to say."""
     if both := set(left.columns) & set(right.columns):
         raise ValueError(f"columns on both sides: {sorted(both)}")
-    a, b = with_position(left, out), with_position(right, out)
+    # as many parts as rows ask for, so that what a task sorts does not grow with the tables
+    parts = left.count() // PART_ROWS + 1
+    a, b = (with_position(df, out).repartition(parts, c(out)) for df in (left, right))
     return a.join(b, out), a.join(b.select(c(out)), out, "left_anti")

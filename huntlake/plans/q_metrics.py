@@ -311,6 +311,9 @@ SELECT flow_id, is_apt, siem_detection FROM m WHERE flow_id NOT IN (SELECT flow_
                                     M_CTE))
 
 
+C5_FILE_ROWS = 1_000_000
+
+
 @query("c5_align_by_position")
 def c5p(spark, sf_dir):
     """Two file tables without a common key, one of them shorter, aligned row by row."""
@@ -318,9 +321,10 @@ def c5p(spark, sf_dir):
     from huntlake.session import scratch_path
     paths = scratch_path(spark, "c5-siem"), scratch_path(spark, "c5-ml")
     df = scored(spark, sf_dir).select("flow_id", "siem_detection", "apt_prediction")
-    last = df.agg(F.max("flow_id")).first()[0]
-    df.repartitionByRange(5, "flow_id").sortWithinPartitions("flow_id").drop("apt_prediction").write.parquet(paths[0])
-    df.where(F.col("flow_id") < last).repartitionByRange(3, "flow_id").sortWithinPartitions("flow_id").select("apt_prediction").write.parquet(paths[1])
+    last, n = df.agg(F.max("flow_id"), F.count(F.lit(1))).first()
+    files = n // C5_FILE_ROWS  # a file is sorted and written by one task
+    df.repartitionByRange(5 + files, "flow_id").sortWithinPartitions("flow_id").drop("apt_prediction").write.parquet(paths[0])
+    df.where(F.col("flow_id") < last).repartitionByRange(3 + files, "flow_id").sortWithinPartitions("flow_id").select("apt_prediction").write.parquet(paths[1])
     aligned, rest = align_by_position(spark.read.parquet(paths[0]), spark.read.parquet(paths[1]))
     return aligned.unionByName(rest, allowMissingColumns=True)
 

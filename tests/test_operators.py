@@ -307,3 +307,12 @@ def test_entry_point_without_a_corpus_library(tmp_path):
             "warnings.simplefilter('ignore'); assert 'op1_secret_scan' not in e.queries() and 'm9_score' in e.queries() and e.oracle_sql()")
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
+
+
+def test_positions_do_not_bring_the_rows_of_a_file_together(spark):
+    from huntlake.operators.position import with_position
+    from huntlake.session import scratch_path
+    path = scratch_path(spark, "pos-plan")
+    spark.range(1000).coalesce(1).write.parquet(path)
+    plan = with_position(spark.read.parquet(path))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
